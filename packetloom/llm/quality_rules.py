@@ -7,7 +7,8 @@ base 48 (symbol classes, see symbols.py; rarer characters share classes by hash)
 entries at most, however large the corpus. Languages beyond the `most_langs` most common share one model.
 
 Log perplexities (per character) are compared within language and length class: a document outside
-median +/- width * max(interquartile range, floor) is rejected. Classes of fewer than `least_docs` documents have no band.
+[median - below * spread, median + above * spread] is rejected; spread is the interquartile range, `floor` at least. The upper band
+is the wider one: text that changes language or style midway is unusual but clean, while monotonous text is what the lower one is for. Classes of fewer than `least_docs` documents have no band.
 
 Defined cases: null text has no words and fails the base rules, like every text of under 10 words; null lang is a
 language of its own; repeated rows count as often as they stand; other columns may bear any name and are ignored.
@@ -171,7 +172,7 @@ def _score(shared, schema: pa.Schema):
 SCORED = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), *((c, pa.int64()) for c in COUNT_NAMES), ("n_chars", pa.int64()), ("log_ppl", pa.float64())])
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", width: float = 6.0, floor: float = 0.02, least_docs: int = 200, most_langs: int = 16) -> DataFrame:
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", below: float = 4.0, above: float = 28.0, floor: float = 0.02, least_docs: int = 200, most_langs: int = 16) -> DataFrame:
     """doc_id, the counts of text_counts(), base_failed, kept, log_ppl and the band's low and high, a row for each of docs."""
     spark = docs.sparkSession
     prepare(spark)
@@ -189,7 +190,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     scored = written(docs.mapInArrow(_score(shared, SCORED), ddl), "scored")
     scored = scored.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))).withColumn("class", F.floor(F.log2(F.col("n_chars") + 1)))
     cuts = scored.where("not base_failed and log_ppl is not null").groupBy("lang", "class").agg(F.percentile_approx("log_ppl", [0.25, 0.5, 0.75], 1000).alias("q"), F.count("*").alias("m")).where(F.col("m") >= least_docs)
-    reach = width * F.greatest(F.col("q")[2] - F.col("q")[0], F.lit(floor))
-    bands = cuts.select("lang", "class", (F.col("q")[1] - reach).alias("low"), (F.col("q")[1] + reach).alias("high"))
+    spread = F.greatest(F.col("q")[2] - F.col("q")[0], F.lit(floor))
+    bands = cuts.select("lang", "class", (F.col("q")[1] - below * spread).alias("low"), (F.col("q")[1] + above * spread).alias("high"))
     inside = F.coalesce(F.col("log_ppl").between(F.col("low"), F.col("high")), F.lit(True))
     return scored.join(F.broadcast(bands), ["lang", "class"], "left").select("doc_id", *COUNT_NAMES, "base_failed", (~F.col("base_failed") & inside).alias("kept"), "log_ppl", "low", "high")
