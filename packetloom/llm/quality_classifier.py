@@ -1,6 +1,7 @@
 """Quality classifier (operator 8): supervised subword embeddings, in the manner of fastText.
 
-A text's features are its words and the byte 3- and 4-grams within its words, hashed into `1 << BITS` buckets. Each bucket has a learned
+A text's features are its words, its word pairs (all pairs of a word with itself count as one feature) and
+the byte 3- and 4-grams within its words, hashed into `1 << BITS` buckets. Each bucket has a learned
 vector; a text is the average of its features' vectors, and a softmax layer gives the label. Vectors and layer are
 trained on the driver by stochastic gradient descent in numpy, one text a step, with classes weighed to equal parts.
 
@@ -27,6 +28,7 @@ from .runtime import prepare, record, slices
 
 BITS = 17
 DIM = 12
+TWICE = 0  # the bucket of all pairs of one word with itself
 
 
 def features(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -39,7 +41,13 @@ def features(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     owner = np.repeat(np.arange(len(col), dtype=np.int32), np.diff(ranges))
     shift = np.uint64(64 - BITS)
     with np.errstate(over="ignore"):
-        out, who = [(textvec.span_hashes(data, starts, ends) >> shift).astype(np.int32)], [owner]
+        words = textvec.span_hashes(data, starts, ends)
+        out, who = [(words >> shift).astype(np.int32)], [owner]
+        pairs = textvec.mix(words[:-1] * textvec._MULT[30] + words[1:]) >> shift
+        pairs = np.where(words[:-1] == words[1:], TWICE, pairs.astype(np.int32))
+        near = owner[:-1] == owner[1:]
+        out.append(pairs[near].astype(np.int32))
+        who.append(owner[:-1][near])
         lengths = ends - starts
         inside = np.repeat(owner, lengths)
         place = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
@@ -103,7 +111,7 @@ def train(lessons: list[tuple[int, np.ndarray, np.ndarray]], epochs: int, rate:
             down = p @ layer
             layer -= np.outer(p, hidden)
             bias -= p
-            vectors[used] -= np.outer(share * len(used) ** 0.5, down)
+            vectors[used] -= np.outer(share, down)
     return vectors @ (layer[1] - layer[0]), float(bias[1] - bias[0])
 
 
@@ -122,7 +130,7 @@ def _score(shared):
     return run
 
 
-def classify(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", max_rows: int = 4000, epochs: int = 8, rate: float = 1.0, seed: int = 5) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", max_rows: int = 4000, epochs: int = 8, rate: float = 0.3, seed: int = 5) -> DataFrame:
     """doc_id and score (the chance of label 1) of each row; labels are learned only from rows of `labels` where `learn` holds."""
     spark = docs.sparkSession
     prepare(spark)
