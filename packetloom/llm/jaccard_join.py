@@ -7,13 +7,13 @@ and probes the long ones by binary search for the texts that the merge found.
 
 Spread over a cluster, in four written steps:
 
-1. Sets are hashed; texts with equal sets become one node (their signature). Shingles seen three times
+1. Sets are hashed; texts with equal sets become one node (their signature). Shingles seen twice
    in one block of a task's rows are counted; the `frequent` most common ones stand last, by count, in the one
    order of all shingles (others: by hash). Any order gives the same links; this one keeps lists short.
 2. Each node posts its n - T + 1 first shingles (its short lists, where T = ceil(n * num / den)): a partner must
    stand in one of them. Postings travel as packed arrays, one of a node per task however many copies it has.
-   In a list, the posting nearest the front of its set leads; a list of two is dropped if length and
-   position rule a link out.
+   In short lists,
+   postings whose length and position rule out every link are dropped. The set with the smallest share of rare shingles leads a list.
 3. A leader with the members of all its lists is a block. Every linked pair shares a list, hence a block. Texts
    join their blocks; blocks over `chunk` shingles are dealt out as pairs of chunks, so no task gets more than two.
 4. In a block members are first held against the leader. Those linked with it are one component already,
@@ -47,9 +47,11 @@ SCAN = pa.schema([("kind", pa.int8()), ("doc_id", pa.int64()), ("n", pa.int64())
 POST = pa.schema([("bucket", pa.int32()), ("postings", pa.binary())])
 MEMBER = pa.schema([("block", pa.int64()), ("node", pa.int64()), ("n", pa.int64())])
 EDGE = pa.schema([("u", pa.int64()), ("v", pa.int64())])
-POSTING = np.dtype([("token", "<u8"), ("node", "<i8"), ("n", "<u4"), ("pos", "<u4")])
+POSTING = np.dtype([("token", "<u8"), ("node", "<i8"), ("n", "<u4"), ("pos", "<u4"), ("rare", "<u2")])
 BLOCK_TOKENS = 1 << 22  # shingles counted together before the rare ones among them are forgotten
 FLUSH = 1 << 21  # postings packed at once
+HEAPED = 2048  # postings in short lists that are merged by a heap; more are counted in an array
+PAIRED = 24  # lists of up to so many postings are thinned pair by pair
 
 
 def needed(n: int, m: int, num: int, den: int) -> int:
@@ -63,7 +65,7 @@ def _scan(k: int):
 
         def common() -> Iterator[pa.RecordBatch]:
             tokens, seen = np.unique(np.concatenate(held), return_counts=True)
-            tokens, seen = tokens[seen > 2].view(np.int64), seen[seen > 2]
+            tokens, seen = tokens[seen > 1].view(np.int64), seen[seen > 1]
             m = len(tokens)
             if m:
                 none = pa.nulls(m, pa.int64())
@@ -86,16 +88,14 @@ def _scan(k: int):
     return run
 
 
-def ordered(s: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """A sorted set in the common order: by hash, then the frequent ones by rank."""
+def ordered(s: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, int]:
+    """A sorted set in the common order (by hash, then the frequent ones by rank), and how many are not frequent."""
     if not len(frequent) or not len(s):
-        return s
+        return s, len(s)
     at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
     often = frequent[at] == s
-    if not often.any():
-        return s
     late = s[often]
-    return np.concatenate([s[~often], late[np.argsort(rank[at[often]], kind="stable")]])
+    return np.concatenate([s[~often], late[np.argsort(rank[at[often]], kind="stable")]]), len(s) - len(late)
 
 
 def _post(k: int, num: int, den: int, buckets: int, shared):
@@ -122,9 +122,11 @@ def _post(k: int, num: int, den: int, buckets: int, shared):
                         continue
                     if len(posted) < 1 << 20:  # beyond it copies are merely posted again
                         posted.add(node)
-                    front = ordered(s, frequent, rank)[: n - -(-num * n // den) + 1]
+                    front, rare = ordered(s, frequent, rank)
+                    front = front[: n - -(-num * n // den) + 1]
                     rows = np.empty(len(front), POSTING)
                     rows["token"], rows["node"], rows["n"], rows["pos"] = front, node, n, np.arange(len(front))
+                    rows["rare"] = rare * 65535 // n
                     held.append(rows)
                     size += len(rows)
                 if size >= FLUSH:
@@ -149,18 +151,23 @@ def _lists(num: int, den: int):
         rows = rows[np.append(False, same) | np.append(same, False)]
         if not len(rows):
             return
-        share = rows["pos"] / rows["n"]
-        rows = rows[np.lexsort((rows["node"], share, rows["token"]))]
+        # the set with the smallest share of rare shingles leads in every list it stands in, so lists of the same texts make one block
+        rows = rows[np.lexsort((rows["node"], rows["rare"], rows["token"]))]
         starts = np.flatnonzero(np.append(True, rows["token"][1:] != rows["token"][:-1]))
         lengths = np.diff(np.append(starts, len(rows)))
         keep = np.ones(len(rows), bool)
-        two = starts[lengths == 2]
-        a, b = rows[two], rows[two + 1]
-        n, m = a["n"].astype(np.int64), b["n"].astype(np.int64)
-        most = np.minimum(n - a["pos"], m - b["pos"])  # nothing before a list that both stand in first is shared
-        off = two[most * (num + den) < num * (n + m)]
-        keep[off] = keep[off + 1] = False
-        block = np.repeat(rows["node"][starts], lengths)[keep]
+        for length in range(2, PAIRED + 1):  # short lists, pair by pair: nothing before a list that both stand in first is shared
+            at = starts[lengths == length][:, None] + np.arange(length)
+            n = rows["n"][at].astype(np.int64)
+            left = n - rows["pos"][at]
+            can = np.minimum(left[:, :, None], left[:, None, :]) * (num + den) >= num * (n[:, :, None] + n[:, None, :])
+            can[:, np.arange(length), np.arange(length)] = False
+            keep[at] = can.any(2)
+        lead = np.flatnonzero(keep)  # the first that is left leads
+        token = rows["token"][lead]
+        first = np.append(True, token[1:] != token[:-1])[: len(token)]
+        lead = lead[np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))] if len(first) else lead
+        block = rows["node"][lead]
         rows = rows[keep]
         order = np.lexsort((rows["node"], block))
         block, node, n = block[order], rows["node"][order], rows["n"][order]
@@ -192,35 +199,42 @@ class Forest:
         return True
 
 
-def divide_skip(query: np.ndarray, index: dict[int, list[int]], least: int) -> dict[int, int]:
+def divide_skip(query: np.ndarray, index: dict[int, list[int] | np.ndarray], least: int) -> dict[int, int]:
     """Members that stand in at least `least` of the query's inverted lists, with their counts.
 
     The long lists set aside number least / (0.0085 * log2(longest) + 1), as in Li, Lu and Lu,
     "Efficient Merging and Filtering Algorithms for Approximate String Searches".
     """
-    lists = sorted((found for t in query.tolist() if (found := index.get(t))), key=len)
+    lists = sorted((found for t in query.tolist() if (found := index.get(t)) is not None), key=len)
     if len(lists) < least:
         return {}
     longest = len(lists[-1])
     aside = min(least - 1, int(least / (0.0085 * np.log2(longest + 1) + 1)))
     short, long = lists[: len(lists) - aside], lists[len(lists) - aside :]
-    counts: dict[int, int] = {}
-    for member in heapq.merge(*short):
-        counts[member] = counts.get(member, 0) + 1
-    out = {}
-    for member, count in counts.items():
-        if count < least - aside:
-            continue
-        left = aside
-        for one in long:
-            if count + left < least:
-                break
-            at = bisect_left(one, member)
-            count += at < len(one) and one[at] == member
-            left -= 1
-        if count >= least:
-            out[member] = count
-    return out
+    if sum(map(len, short)) <= HEAPED:
+        merged: dict[int, int] = {}
+        for member in heapq.merge(*short):
+            merged[member] = merged.get(member, 0) + 1
+        found = {m: c for m, c in merged.items() if c >= least - aside}
+        members, counts = np.fromiter(found, np.int64, len(found)), np.fromiter(found.values(), np.int64, len(found))
+    else:  # the same counts, scattered into an array
+        seen = np.bincount(np.concatenate(short))
+        members = np.flatnonzero(seen >= least - aside)
+        counts = seen[members]
+    for k, one in enumerate(long):
+        fit = counts + (aside - k) >= least
+        members, counts = members[fit], counts[fit]
+        if not len(members):
+            return {}
+        if len(members) <= 8:
+            for i, member in enumerate(members.tolist()):
+                at = bisect_left(one, member)
+                counts[i] += at < len(one) and one[at] == member
+        else:
+            one = np.asarray(one)
+            counts = counts + (one[np.minimum(np.searchsorted(one, members), len(one) - 1)] == members)
+    fit = counts >= least
+    return dict(zip(members[fit].tolist(), counts[fit].tolist()))
 
 
 def linked_pairs(sets: list[np.ndarray], num: int, den: int, lead: int = 0) -> list[tuple[int, int]]:
@@ -244,10 +258,12 @@ def linked_pairs(sets: list[np.ndarray], num: int, den: int, lead: int = 0) -> l
         at = np.minimum(np.searchsorted(wanted, s), len(wanted) - 1)
         for t in s[wanted[at] == s].tolist():
             index.setdefault(t, []).append(x)
+    if len(sets) > 64:
+        index = {t: np.array(x, np.int64) for t, x in index.items()}
     for o in others:
         own = len(sets[o])
         for x, count in divide_skip(sets[o], index, -(-num * own // den)).items():
-            if count * (num + den) >= num * (own + int(sizes[x])) and forest.join(o, x):
+            if x != o and count * (num + den) >= num * (own + int(sizes[x])) and forest.join(o, x):
                 edges.append((o, x))
     return edges
 
@@ -287,19 +303,36 @@ def _ddl(schema: pa.Schema) -> str:
     return ", ".join(f"{f.name} {kinds[f.type]}" for f in schema)
 
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("tokens", pa.binary()), ("seen", pa.binary())])
+    for batch in batches:
+        yield record({c: pa.array([batch.column(batch.schema.names.index(n)).to_numpy().astype(np.int64).tobytes()], pa.binary()) for c, n in (("tokens", "token"), ("seen", "seen"))}, schema)
+
+
 def _frequent(scan: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
-    top = scan.where("kind = 1").groupBy("token").agg(F.sum("seen").alias("seen")).orderBy(F.desc("seen"), "token").limit(most).toPandas()
-    tokens = top["token"].to_numpy(np.int64).view(np.uint64)
-    order = np.lexsort((tokens, top["seen"].to_numpy(np.int64)))
-    rank = np.empty(len(tokens), np.int64)
-    rank[order] = np.arange(len(tokens))
+    """At most `most` of the shingles seen most often, sorted, with their ranks by count. They reach the driver as packed arrays."""
+    sums = written(scan.where("kind = 1").groupBy("token").agg(F.sum("seen").alias("seen")), "counts")
+    least, room = 1, most
+    for r in sorted(sums.groupBy("seen").count().collect(), key=lambda r: -r.seen):
+        room -= r["count"]
+        if room < 0:
+            least = r.seen + 1
+            break
+    blobs = sums.where(F.col("seen") >= least).mapInArrow(_pack, "tokens binary, seen binary").collect()
+    release(sums)
+    tokens = np.concatenate([np.frombuffer(r.tokens, np.uint64) for r in blobs] or [np.zeros(0, np.uint64)])
+    seen = np.concatenate([np.frombuffer(r.seen, np.int64) for r in blobs] or [np.zeros(0, np.int64)])
+    del blobs
     by_token = np.argsort(tokens)
-    return tokens[by_token], rank[by_token]
+    tokens, seen = tokens[by_token], seen[by_token]
+    rank = np.empty(len(tokens), np.int32)
+    rank[np.argsort(seen, kind="stable")] = np.arange(len(tokens), dtype=np.int32)
+    return tokens, rank
 
 
 def jaccard_components(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 75, den: int = 100,
-    frequent: int = 1 << 19, chunk: int = 1 << 18,
+    frequent: int = 1 << 21, chunk: int = 1 << 18,
 ) -> DataFrame:
     """doc_id, n_shingles and component_id (the least doc_id that links reach) of each row of docs.
 
