@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from . import textvec
 from .components import components
-from .runtime import partitions, prepare, record, release, slices, text_column, written
+from .runtime import most_common, partitions, prepare, record, release, slices, written
 
 SCAN = pa.schema([("kind", pa.int8()), ("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("token", pa.int64()), ("seen", pa.int64())])
 POST = pa.schema([("bucket", pa.int32()), ("postings", pa.binary())])
@@ -49,7 +49,7 @@ MEMBER = pa.schema([("block", pa.int64()), ("node", pa.int64()), ("n", pa.int64(
 EDGE = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 POSTING = np.dtype([("token", "<u8"), ("node", "<i8"), ("n", "<u4"), ("pos", "<u4"), ("rare", "<u2")])
 BLOCK_TOKENS = 1 << 22  # shingles counted together before the rare ones among them are forgotten
-FLUSH = 1 << 21  # postings packed at once
+FLUSH = 1 << 20  # postings packed at once
 HEAPED = 2048  # postings in short lists that are merged by a heap; more are counted in an array
 PAIRED = 24  # lists of up to so many postings are thinned pair by pair
 
@@ -312,13 +312,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _frequent(scan: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
     """At most `most` of the shingles seen most often, sorted, with their ranks by count. They reach the driver as packed arrays."""
     sums = written(scan.where("kind = 1").groupBy("token").agg(F.sum("seen").alias("seen")), "counts")
-    least, room = 1, most
-    for r in sorted(sums.groupBy("seen").count().collect(), key=lambda r: -r.seen):
-        room -= r["count"]
-        if room < 0:
-            least = r.seen + 1
-            break
-    blobs = sums.where(F.col("seen") >= least).mapInArrow(_pack, "tokens binary, seen binary").collect()
+    blobs = most_common(sums, "seen", most).mapInArrow(_pack, "tokens binary, seen binary").collect()
     release(sums)
     tokens = np.concatenate([np.frombuffer(r.tokens, np.uint64) for r in blobs] or [np.zeros(0, np.uint64)])
     seen = np.concatenate([np.frombuffer(r.seen, np.int64) for r in blobs] or [np.zeros(0, np.int64)])

@@ -81,7 +81,7 @@ def record(batches: dict[str, object], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([a if isinstance(a := batches[f.name], pa.Array) else pa.array(a, type=f.type) for f in schema], schema=schema)
 
 
-def slices(batch: pa.RecordBatch, name: str, limit: int = 1 << 21) -> Iterator[tuple[int, int, pa.Array]]:
+def slices(batch: pa.RecordBatch, name: str, limit: int = 1 << 20) -> Iterator[tuple[int, int, pa.Array]]:
     """Consecutive row ranges whose texts hold about `limit` bytes at most; a longer text stands alone."""
     import numpy as np
 
@@ -95,3 +95,16 @@ def slices(batch: pa.RecordBatch, name: str, limit: int = 1 << 21) -> Iterator[t
         hi = min(hi, len(col))
         yield lo, hi, col.slice(lo, hi - lo)
         lo = hi
+
+
+def most_common(counts: DataFrame, column: str, most: int) -> DataFrame:
+    """The rows of highest `column`, `most` at most; ties at the cut are left out together. Only a histogram reaches the driver."""
+    from pyspark.sql import functions as F
+
+    least, room = 0, most
+    for r in sorted(counts.groupBy(F.col(column).alias("c")).agg(F.count("*").alias("rows")).collect(), key=lambda r: -r.c):
+        room -= r.rows
+        if room < 0:
+            least = r.c + 1
+            break
+    return counts.where(F.col(column) >= least)

@@ -31,7 +31,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if _pow["n"] < n:
-        size = max(n, 1 << 21)
+        size = max(n, 1 << 20)
         for key, base in (("up", _BASE), ("down", _INV)):
             a = np.full(size, base, dtype=np.uint64)
             a[0] = 1

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import prepare, record, text_column
+from .runtime import most_common, prepare, record, release, text_column, written
 
 Rule = tuple[str, str, str]  # verdict, host, path
 _TAG = re.compile(r"<(script|style)\b.*?</\1\s*>|<[^>]*>", re.S | re.I)
@@ -168,12 +168,17 @@ def judge(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col:
     spark = pages.sparkSession
     prepare(spark)
     words = pages.select(F.col(html_col).cast("string").alias("html")).mapInArrow(_words(), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    counts = {r.word: r.n for r in words.orderBy(F.desc("n"), "word").limit(vocabulary).collect()}
+    words = written(words, "words")
+    counts = {r.word: r.n for r in most_common(words, "n", vocabulary).collect()}
     host, path = parts(F.col(url_col).cast("string"))
     urls = pages.select(F.col(id_col).cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
     rule, verdict = rule_of(rules, F.col("host"), F.col("path"))
     urls = urls.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("verdict"))
     taught = urls.where("verdict is not null").mapInArrow(_tokens(spark.sparkContext.broadcast(counts)), "verdict string, token string, n long")
-    taught = taught.groupBy("verdict", "token").agg(F.sum("n").alias("n")).orderBy(F.col("token") != "", F.desc("n"), "verdict", "token").limit(features)
-    rows = [(r.verdict, r.token, r.n) for r in taught.collect()]
+    taught = taught.groupBy("verdict", "token").agg(F.sum("n").alias("n"))
+    taught = written(taught, "taught")
+    rows = [(r.verdict, r.token, r.n) for r in taught.where("token = ''").unionAll(most_common(taught.where("token <> ''"), "n", features)).collect()]
+    rows.sort()
+    release(words)
+    release(taught)
     return urls.mapInArrow(_judge(spark.sparkContext.broadcast((counts, rows))), "page_id long, host string, path string, rule string, verdict string")
