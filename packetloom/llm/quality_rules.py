@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textvec
@@ -49,14 +49,22 @@ def four_grams(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return code, off
 
 
+def _added(sums: tuple[np.ndarray, np.ndarray] | None, codes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted codes and their counts, of those so far and of more codes."""
+    code, n = np.unique(np.concatenate(codes), return_counts=True)
+    if sums is None:
+        return code, n
+    both, at = np.unique(np.concatenate([sums[0], code]), return_inverse=True)
+    return both, np.bincount(at, np.concatenate([sums[1], n]), len(both)).astype(np.int64)
+
+
 def _count():
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, np.ndarray] = {}
+        sums: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
         def out() -> Iterator[pa.RecordBatch]:
-            for lang, n in sums.items():
-                code = np.flatnonzero(n)
-                yield record({"lang": pa.array([lang] * len(code), pa.string()), "code": code.astype(np.int32), "n": n[code]}, GRAMS)
+            for lang, (code, n) in sums.items():
+                yield record({"lang": pa.array([lang] * len(code), pa.string()), "code": code.astype(np.int32), "n": n}, GRAMS)
             sums.clear()
 
         held: dict[str, list[np.ndarray]] = {}
@@ -64,8 +72,7 @@ def _count():
 
         def add() -> None:
             for lang, codes in held.items():
-                n = np.bincount(np.concatenate(codes), minlength=A**4)
-                sums[lang] = sums[lang] + n if lang in sums else n
+                sums[lang] = _added(sums.get(lang), codes)
             held.clear()
 
         for batch in batches:
@@ -75,36 +82,46 @@ def _count():
                 for d in range(hi - lo):
                     held.setdefault(langs[lo + d], []).append(code[off[d] : off[d + 1]])
                 size += len(code)
-                if size > 1 << 23:
+                if size > 1 << 22:
                     add()
                     size = 0
-                    if len(sums) > 4:
-                        yield from out()
         add()
         yield from out()
 
     return run
 
 
+def _discounts(n1: float, n2: float, n3: float, n4: float) -> tuple[float, float, float]:
+    y = n1 / (n1 + 2 * n2) if n1 else 0.5
+    cuts = (1 - 2 * y * n2 / n1 if n1 else 0.5, 2 - 3 * y * n3 / n2 if n2 else 1.0, 3 - 4 * y * n4 / n3 if n3 else 1.5)
+    return tuple(min(max(x, 0.0), float(i)) for i, x in enumerate(cuts, 1))
+
+
+def _interpolated(table: np.ndarray, below: np.ndarray, cuts: tuple[float, float, float]) -> np.ndarray:
+    """p(symbol | context) of one order; table: a row of counts for each context."""
+    cut = np.where(table >= 3, cuts[2], np.where(table == 2, cuts[1], np.where(table == 1, cuts[0], 0.0)))
+    total = table.sum(1, keepdims=True)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return np.where(total > 0, (table - cut) / total + cut.sum(1, keepdims=True) / total * below, below)
+
+
 def log_probs(codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """-ln p(last symbol | three before) for each code, by interpolated modified Kneser-Ney from sorted 4-gram codes."""
-    by_order = {4: np.zeros(A**4)}
-    by_order[4][codes] = counts
-    for order in (3, 2, 1):  # in how many longer contexts each shorter gram occurs
-        by_order[order] = (by_order[order + 1] > 0).reshape(A, -1).sum(0).astype(np.float64)
+    three = np.bincount(codes % A**3, minlength=A**3).astype(np.float64)  # in how many longer contexts each shorter gram occurs
+    two = (three > 0).reshape(A, -1).sum(0).astype(np.float64)
+    one = (two > 0).reshape(A, -1).sum(0).astype(np.float64)
     prob = np.full((1, A), 1.0 / A)
-    for order in (1, 2, 3, 4):
-        table = by_order[order].reshape(-1, A)
-        n1, n2, n3, n4 = (float((table == i).sum()) for i in (1, 2, 3, 4))
-        y = n1 / (n1 + 2 * n2) if n1 else 0.5
-        cuts = (1 - 2 * y * n2 / n1 if n1 else 0.5, 2 - 3 * y * n3 / n2 if n2 else 1.0, 3 - 4 * y * n4 / n3 if n3 else 1.5)
-        d1, d2, d3 = (min(max(x, 0.0), i) for i, x in enumerate(cuts, 1))
-        cut = np.where(table >= 3, d3, np.where(table == 2, d2, np.where(table == 1, d1, 0.0)))
-        total = table.sum(1, keepdims=True)
-        below = np.tile(prob, (A, 1)) if order > 1 else prob
-        with np.errstate(invalid="ignore", divide="ignore"):
-            prob = np.where(total > 0, (table - cut) / total + cut.sum(1, keepdims=True) / total * below, below)
-    return -np.log(np.maximum(prob.reshape(-1), 1e-12)).astype(np.float32)
+    for k, lower in enumerate((one, two, three)):
+        table = lower.reshape(-1, A)
+        prob = _interpolated(table, np.tile(prob, (A, 1)) if k else prob, _discounts(*((lower == i).sum() for i in (1, 2, 3, 4))))
+    cuts = _discounts(*((counts == i).sum() for i in (1, 2, 3, 4)))
+    out = np.empty(A**4, np.float32)
+    edges = np.searchsorted(codes, np.arange(A + 1) * A**3)
+    for first in range(A):  # one first symbol at a time keeps the memory low
+        table = np.zeros(A**3)
+        table[codes[edges[first] : edges[first + 1]] - first * A**3] = counts[edges[first] : edges[first + 1]]
+        out[first * A**3 : (first + 1) * A**3] = -np.log(np.maximum(_interpolated(table.reshape(-1, A), prob, cuts), 1e-12)).reshape(-1)
+    return out
 
 
 class Models:
@@ -189,7 +206,12 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ddl = ", ".join(f"{f.name} {'string' if f.type == pa.string() else 'double' if f.type == pa.float64() else 'long'}" for f in SCORED)
     scored = written(docs.mapInArrow(_score(shared, SCORED), ddl), "scored")
     scored = scored.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))).withColumn("class", F.floor(F.log2(F.col("n_chars") + 1)))
-    cuts = scored.where("not base_failed and log_ppl is not null").groupBy("lang", "class").agg(F.percentile_approx("log_ppl", [0.25, 0.5, 0.75], 1000).alias("q"), F.count("*").alias("m")).where(F.col("m") >= least_docs)
+    # exact quartiles of log perplexities rounded to 1/1000, from a histogram: the same in every run
+    bins = scored.where("not base_failed and log_ppl is not null").groupBy("lang", "class", F.round("log_ppl", 3).alias("bin")).agg(F.count("*").alias("m"))
+    whole = Window.partitionBy("lang", "class")
+    bins = bins.select("lang", "class", "bin", F.sum("m").over(whole.orderBy("bin")).alias("upto"), F.sum("m").over(whole).alias("docs")).where(F.col("docs") >= least_docs)
+    quartiles = F.array(*[F.min(F.when(F.col("upto") >= p * F.col("docs"), F.col("bin"))) for p in (0.25, 0.5, 0.75)])
+    cuts = bins.groupBy("lang", "class").agg(quartiles.alias("q"))
     spread = F.greatest(F.col("q")[2] - F.col("q")[0], F.lit(floor))
     bands = cuts.select("lang", "class", (F.col("q")[1] - below * spread).alias("low"), (F.col("q")[1] + above * spread).alias("high"))
     inside = F.coalesce(F.col("log_ppl").between(F.col("low"), F.col("high")), F.lit(True))

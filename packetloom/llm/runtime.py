@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import uuid
 from collections.abc import Iterator
@@ -82,19 +83,29 @@ def record(batches: dict[str, object], schema: pa.Schema) -> pa.RecordBatch:
 
 
 def slices(batch: pa.RecordBatch, name: str, limit: int = 1 << 20) -> Iterator[tuple[int, int, pa.Array]]:
-    """Consecutive row ranges whose texts hold about `limit` bytes at most; a longer text stands alone."""
+    """Consecutive row ranges whose texts hold about `limit` bytes at most, as large_string arrays with nulls as empty
+    texts; a longer text stands alone."""
     import numpy as np
 
-    col = text_column(batch, name)
+    col = batch.column(batch.schema.get_field_index(name))
     if not len(col):
         return
-    offsets = np.frombuffer(col.buffers()[1], dtype=np.int64)[col.offset : col.offset + len(col) + 1]
+    offsets = np.frombuffer(col.buffers()[1], dtype=np.int64 if pa.types.is_large_string(col.type) else np.int32)[col.offset : col.offset + len(col) + 1]
     lo = 0
     while lo < len(col):
-        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + limit, side="right")) - 1)
-        hi = min(hi, len(col))
-        yield lo, hi, col.slice(lo, hi - lo)
+        hi = min(len(col), max(lo + 1, int(np.searchsorted(offsets, int(offsets[lo]) + limit, side="right")) - 1))
+        yield lo, hi, pc.fill_null(col.slice(lo, hi - lo).cast(pa.large_string()), "")
         lo = hi
+    tidy()
+
+
+def tidy() -> None:
+    """Give memory that a worker has freed back to the system: workers are reused, and several share an executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
 
 
 def most_common(counts: DataFrame, column: str, most: int) -> DataFrame:
