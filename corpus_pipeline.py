@@ -18,17 +18,16 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep. A doc_id of which any row is rejected goes whole."""
-    judged = quality_rules.quality_rules(docs)
-    bad = judged.where("not kept").select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__bad"]), "left_anti").select(*COLUMNS)
+    """Documents that the quality rules keep, row by row."""
+    return quality_rules.keep_good(docs).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked ones: that of least doc_id. Rows that repeat a doc_id are one document's."""
     found = jaccard_join.jaccard_components(docs)
     gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti").select(*COLUMNS)
+    # merged at every size: the ids grow with the corpus, so they are never broadcast
+    return docs.join(gone.hint("merge"), docs["doc_id"] == gone["__gone"], "left_anti").select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -139,7 +139,8 @@ def mix(docs: DataFrame, weights: list[float] = (1, 2, 3), most: float = 3.0, se
     # rows with a hash below the edge are in; of those that share the edge's hash, as many as fit
     rule = written(rule.select("part", "__size", F.col("__bucket").alias("e_bucket"), F.col("__hash").alias("e_hash"), (F.col("room") - F.col("least") + 1).alias("allowed"), "ties"), "edges")
 
-    ruled = placed(sized if with_texts else lean).join(rule, ["part", "__size"], "left")
+    # merged at every size: the edges grow with the corpus, so they are never broadcast
+    ruled = placed(sized if with_texts else lean).join(rule.hint("merge"), ["part", "__size"], "left")
     here = F.shiftrightunsigned("__hash", 54)
     low, e_low = (F.shiftrightunsigned(F.shiftleft(c, 10), 10) for c in ("__hash", "e_hash"))
     below = (here < F.col("e_bucket")) | ((here == F.col("e_bucket")) & (low < e_low))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textvec
-from .runtime import prepare, record, slices, written
+from .runtime import prepare, record, release, slices, written
 from .symbols import A, symbols
 
 GRAMS = pa.schema([("lang", pa.string()), ("code", pa.int32()), ("n", pa.int64())])
@@ -189,8 +189,11 @@ def _score(shared, schema: pa.Schema):
 SCORED = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), *((c, pa.int64()) for c in COUNT_NAMES), ("n_chars", pa.int64()), ("log_ppl", pa.float64())])
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", below: float = 4.0, above: float = 28.0, floor: float = 0.02, least_docs: int = 200, most_langs: int = 16) -> DataFrame:
-    """doc_id, the counts of text_counts(), base_failed, kept, log_ppl and the band's low and high, a row for each of docs."""
+REPEATS = "100 * n_repeat_words > 20 * n_words"
+
+
+def _models(docs: DataFrame, id_col: str, text_col: str, lang_col: str, most_langs: int):
+    """docs as doc_id, text and lang (of a model), and the broadcast models."""
     spark = docs.sparkSession
     prepare(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit("\0null")).alias("lang"))
@@ -202,17 +205,64 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     for lang, part in grams.groupby("lang"):
         part = part.sort_values("code")
         arrays[lang] = part["code"].to_numpy(np.int32), part["n"].to_numpy(np.int64)
-    shared = spark.sparkContext.broadcast(arrays)
+    return docs, spark.sparkContext.broadcast(arrays)
+
+
+def _scored(docs: DataFrame, shared) -> DataFrame:
     ddl = ", ".join(f"{f.name} {'string' if f.type == pa.string() else 'double' if f.type == pa.float64() else 'long'}" for f in SCORED)
     scored = written(docs.mapInArrow(_score(shared, SCORED), ddl), "scored")
-    scored = scored.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))).withColumn("class", F.floor(F.log2(F.col("n_chars") + 1)))
-    # exact quartiles of log perplexities rounded to 1/1000, from a histogram: the same in every run
+    return scored.withColumn("base_failed", (F.col("n_words") < 10) | F.expr(REPEATS)).withColumn("class", F.floor(F.log2(F.col("n_chars") + 1)))
+
+
+def _bands(scored: DataFrame, below: float, above: float, floor: float, least_docs: int) -> DataFrame:
+    """low and high of each language and length class that has enough documents: from exact quartiles of log perplexities
+    rounded to 1/1000, by a histogram, so every run finds the same."""
     bins = scored.where("not base_failed and log_ppl is not null").groupBy("lang", "class", F.round("log_ppl", 3).alias("bin")).agg(F.count("*").alias("m"))
     whole = Window.partitionBy("lang", "class")
     bins = bins.select("lang", "class", "bin", F.sum("m").over(whole.orderBy("bin")).alias("upto"), F.sum("m").over(whole).alias("docs")).where(F.col("docs") >= least_docs)
     quartiles = F.array(*[F.min(F.when(F.col("upto") >= p * F.col("docs"), F.col("bin"))) for p in (0.25, 0.5, 0.75)])
-    cuts = bins.groupBy("lang", "class").agg(quartiles.alias("q"))
     spread = F.greatest(F.col("q")[2] - F.col("q")[0], F.lit(floor))
-    bands = cuts.select("lang", "class", (F.col("q")[1] - below * spread).alias("low"), (F.col("q")[1] + above * spread).alias("high"))
+    return bins.groupBy("lang", "class").agg(quartiles.alias("q")).select("lang", "class", (F.col("q")[1] - below * spread).alias("low"), (F.col("q")[1] + above * spread).alias("high"))
+
+
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", below: float = 4.0, above: float = 28.0, floor: float = 0.02, least_docs: int = 200, most_langs: int = 16) -> DataFrame:
+    """doc_id, the counts of text_counts(), base_failed, kept, log_ppl and the band's low and high, a row for each of docs."""
+    lean, shared = _models(docs, id_col, text_col, lang_col, most_langs)
+    scored = _scored(lean, shared)
+    bands = _bands(scored, below, above, floor, least_docs)
     inside = F.coalesce(F.col("log_ppl").between(F.col("low"), F.col("high")), F.lit(True))
     return scored.join(F.broadcast(bands), ["lang", "class"], "left").select("doc_id", *COUNT_NAMES, "base_failed", (~F.col("base_failed") & inside).alias("kept"), "log_ppl", "low", "high")
+
+
+def _filter(shared, bands: dict[tuple[str, int], tuple[float, float]], text_col: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        models = Models(shared.value)
+        for batch in batches:
+            langs = batch.column(batch.schema.names.index("__lang")).to_pylist()
+            keep: list[bool] = []
+            for lo, hi, col in slices(batch, text_col):
+                counts = text_counts(col)
+                code, off = four_grams(col)
+                words, again = counts["n_words"], counts["n_repeat_words"]
+                fine = (words >= 10) & (100 * again <= 20 * words)
+                for d in range(hi - lo):
+                    band = bands.get((langs[lo + d], (int(off[d + 1] - off[d]) + 1).bit_length() - 1))
+                    keep.append(bool(fine[d]) and (band is None or band[0] <= models[langs[lo + d]][code[off[d] : off[d + 1]]].mean(dtype=np.float64) <= band[1]))
+            if len(batch):
+                yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", below: float = 4.0, above: float = 28.0, floor: float = 0.02, least_docs: int = 200, most_langs: int = 16) -> DataFrame:
+    """The rows of docs that quality_rules() keeps, all columns as they are. Rows are scored once more instead of joined
+    with their verdicts, so no text is shuffled."""
+    lean, shared = _models(docs, id_col, text_col, lang_col, most_langs)
+    scored = _scored(lean, shared)
+    bands = {(r.lang, r["class"]): (r.low, r.high) for r in _bands(scored, below, above, floor, least_docs).collect()}
+    release(scored)
+    known = F.coalesce(F.col(lang_col).cast("string"), F.lit("\0null"))
+    if shared.value.keys() & {"\0rest"}:
+        known = F.when(known.isin(*shared.value), known).otherwise("\0rest")
+    marked = docs.withColumn("__lang", known)
+    return marked.mapInArrow(_filter(shared, bands, text_col), marked.schema).drop("__lang")
