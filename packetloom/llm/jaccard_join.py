@@ -331,7 +331,7 @@ def jaccard_components(
     """doc_id, n_shingles and component_id (the least doc_id that links reach) of each row of docs.
 
     frequent: how many common shingles are ranked by count (16 bytes each on the driver and every executor).
-    chunk: shingles of a block's members that one search task takes at most, times two.
+    chunk: shingles of a block's members that one search task takes at most, times two (or 16 members, however long).
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -345,7 +345,7 @@ def jaccard_components(
     posted = docs.select("text").mapInArrow(_post(k, num, den, parts * 4, shared), _ddl(POST))
     members = written(posted.repartition(parts, "bucket").mapInArrow(_lists(num, den), _ddl(MEMBER)).distinct(), "members")
 
-    sized = members.groupBy("block").agg(F.ceil(F.sum("n") / chunk).cast("int").alias("chunks"))
+    sized = members.groupBy("block").agg(F.least(F.ceil(F.sum("n") / chunk), F.ceil(F.count("*") / 8)).cast("int").alias("chunks"))
     spread = F.when(F.col("chunks") == 1, F.array(F.struct(F.lit(0).alias("one"), F.lit(0).alias("two"))))
     mine = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
     others = F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: c != mine)

@@ -60,12 +60,12 @@ def release(df: DataFrame) -> None:
 
 
 def _cleanup() -> None:
-    spark = SparkSession.getActiveSession()
-    for path in _written if spark else ():
-        try:
+    try:
+        spark = SparkSession.getActiveSession()
+        for path in _written if spark else ():
             _delete(spark, path)
-        except Exception:  # the session may be gone at exit; the folder belongs to the cluster then
-            return
+    except Exception:  # the session may be gone at exit; the folder belongs to the cluster then
+        return
 
 
 def partitions(spark: SparkSession) -> int:

@@ -16,9 +16,7 @@ ignored.
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .runtime import release, written
@@ -26,10 +24,6 @@ from .runtime import release, written
 BINS = 4096
 
 
-def _first_key(low: int, width: float, b: int) -> int:
-    return low + math.ceil(b * width)
-
-
 def splitters(keyed: DataFrame, many: int, tolerance: float) -> list[int]:
     """many - 1 keys (doc ids) such that rows below the i-th weigh i/many of all bytes, within tolerance of a piece's share
     or as near as whole keys allow. keyed: columns key (long), size (long)."""
@@ -45,16 +39,13 @@ def splitters(keyed: DataFrame, many: int, tolerance: float) -> list[int]:
         spans = sorted({ranges[r] for r in open_.values()})
         # one pass: every open range is cut into equal bins, its rows counted
         bins = max(2, min(BINS, (BINS * 16) // len(spans)))
-        which: Column = F.lit(None).cast("int")
-        bin_: Column = F.lit(None).cast("long")
         starts = F.array(*[F.lit(s[0]).cast("long") for s in spans])
         ends = F.array(*[F.lit(s[1]).cast("long") for s in spans])
         steps = F.array(*[F.lit(max(1, -(-(s[1] - s[0]) // bins))).cast("long") for s in spans])
-        which = F.size(F.filter(starts, lambda s: s <= F.col("key")))
-        inside = keyed.withColumn("w", which).where((F.col("w") > 0) & (F.col("key") < F.element_at(ends, F.greatest("w", F.lit(1)))))
-        bin_ = F.floor((F.col("key") - F.element_at(starts, F.col("w"))) / F.element_at(steps, F.col("w")))
+        inside = keyed.withColumn("w", F.size(F.filter(starts, lambda s: s <= F.col("key")))).where((F.col("w") > 0) & (F.col("key") < F.element_at(ends, F.greatest("w", F.lit(1)))))
+        placed = inside.select("w", (F.col("key") - F.element_at(starts, F.col("w"))).alias("d"), F.element_at(steps, F.col("w")).alias("s"), "size")
         counted: dict[int, list[tuple[int, int]]] = {}
-        for w, b, n in inside.groupBy("w", bin_.alias("b")).agg(F.sum("size")).collect():
+        for w, b, n in placed.groupBy("w", F.expr("d div s").alias("b")).agg(F.sum("size")).collect():  # whole numbers: keys are too large for doubles
             counted.setdefault(w - 1, []).append((b, n))
         finer: dict[tuple[int, int], list[tuple[int, int, int, int]]] = {}
         for k, (first, end, below) in enumerate(spans):
@@ -98,7 +89,5 @@ def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: s
         base.append(at)
         at += counts.get(p, 0)
     offset = F.element_at(F.array(*[F.lit(b).cast("long") for b in base]), F.col("piece") + 1)
-    from pyspark.sql import Window
-
     rank = F.row_number().over(Window.partitionBy("piece").orderBy(F.col("doc_id").asc_nulls_first(), "tie"))
     return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.floor(F.col("piece") / pieces).cast("int").alias("shard"), (offset + rank - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
