@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import incident_id, severity_rank
 
 #: The stage of each alert category, in order of an attack.
-STAGES = {"recon": 0, "web": 1, "web-attack": 1, "credential": 1, "exploit": 1, "malware": 2, "threat-intel": 2, "exfiltration": 3, "dos": 3}
+STAGES = {"recon": 0, "web": 1, "web-attack": 1, "evasion": 1, "credential": 1, "malware": 2, "threat-intel": 2, "exfiltration": 3, "dos": 4}
 
 
 def contributions(alerts: DataFrame) -> DataFrame:
