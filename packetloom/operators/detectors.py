@@ -108,11 +108,15 @@ def flip_flops(df: DataFrame, ip: str, mac: str, idle: int, n: int, span: int, m
     return window_hits(back, [ip], n, span)
 
 
-def amplification(df: DataFrame, key: list[str], response: Column, query: Column, span: int, min_bytes: int, min_ratio: float) -> DataFrame:
-    """Rows whose key got min_bytes of responses in the ring, and min_ratio times the bytes of its queries."""
+def amplification(df: DataFrame, key: list[str], response: Column, query: Column, span: int, min_bytes: int, min_ratio: float, unmatched: Column | None = None) -> DataFrame:
+    """Rows whose key got min_bytes of responses in the ring, and min_ratio times the bytes of its queries; or min_bytes of unmatched ones alone."""
     rows = rate(df, key, response, span, out="response_bytes").drop("anchor", "bucket")
     rows = rate(rows, key, query, span, out="query_bytes").drop("anchor", "bucket")
-    return rows.where((F.col("response_bytes") >= min_bytes) & (F.col("response_bytes") >= min_ratio * F.col("query_bytes")))
+    much = (F.col("response_bytes") >= min_bytes) & (F.col("response_bytes") >= min_ratio * F.col("query_bytes"))
+    if unmatched is None:
+        return rows.where(much)
+    rows = rate(rows, key, unmatched, span, out="unmatched_bytes").drop("anchor", "bucket")
+    return rows.where((F.col("unmatched_bytes") >= min_bytes) | much)
 
 
 def tunnel_subdomains(df: DataFrame, key: list[str], name: str, n: int, span: int, min_entropy: float, min_length: float) -> DataFrame:

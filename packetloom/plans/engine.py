@@ -17,6 +17,7 @@ from ..operators import feeds
 from ..operators import handshake as H
 from ..operators import predicates as P
 from ..operators import primitives as K
+from ..operators import stateful as S
 from .rules import Rule, RuleSet, header, predicate
 
 SECOND = 1_000_000_000
@@ -48,6 +49,19 @@ class Engine:
         m = self.heard.where("app_protocol = 'dns'").withColumn("m", F.explode("app_msgs"))
         return m.withColumns({"qname": F.col("m")["qname"], "response": F.col("m")["is_response"] == "true", "rcode": F.col("m")["rcode"], "id": F.col("m")["id"], "qtype": F.col("m")["qtype_name"]}).drop("m", "app_msgs")
 
+    @cached_property
+    def dns_events(self) -> DataFrame:
+        """Responses by outcome, and questions opening and closing; silenced packets are part of the state and then left out."""
+        m = self.packets.where("app_protocol = 'dns' and g = 'UDP'").select("seq", "t", "src", "dst", "sport", "dport", F.length("payload").cast("long").alias("size"), F.explode("app_msgs").alias("m"))
+        m = m.withColumns({"response": F.col("m")["is_response"] == "true", "qname": F.coalesce(F.col("m")["qname"], F.lit("")), "qtype": F.col("m")["qtype"], "id": F.col("m")["id"]}).where("response is not null and id is not null")
+        ends = {"client": F.when(F.col("response"), F.col("dst")).otherwise(F.col("src")), "server": F.when(F.col("response"), F.col("src")).otherwise(F.col("dst")), "cport": F.when(F.col("response"), F.col("dport")).otherwise(F.col("sport"))}
+        return S.dns_transactions(m.withColumns(ends))
+
+    @cached_property
+    def dns_responses(self) -> DataFrame:
+        rows = self.packets.where("app_protocol = 'dns' and g = 'UDP'").select("seq", "g", "src", "dst", "sport", "dport", F.length("payload").cast("long").alias("size"), self.silenced.alias("quiet"))
+        return self.dns_events.where("what = 'response'").join(rows, "seq").where("not quiet").drop("quiet")
+
     @cached_property
     def probes(self) -> DataFrame:
         failed = self.handshakes.where("bad").select("seq", "t", "src", "sport", "dst", "dport", "g")
@@ -121,12 +135,35 @@ class Engine:
                 if r.get("kind") == "overlap":
                     frags = D.fragment_overlaps(frags, ["src", "dst", "ip_proto", "ip_id"], "a", "z", 30 * SECOND)
                 elif r.get("kind") == "tiny":
-                    frags = frags.where(D.tiny_fragment(F.col("frag_offset"), F.col("more_fragments"), F.col("frag_len"), 20, int(r.get("min_size", 256))))
+                    # a first fragment that splits the transport header, or any but the last one under min_size
+                    least = F.when(F.col("ip_proto") == 6, 20).when(F.col("ip_proto") == 17, 8).otherwise(0)
+                    frags = frags.where((F.col("frag_offset") == 0) & (F.col("frag_len") < least) | F.col("more_fragments") & (F.col("frag_len") < int(r.get("min_size", 256))))
                 elif r.get("kind") == "oversize":
                     frags = frags.where(D.oversize_fragment(F.col("frag_offset"), F.col("frag_len")))
                 else:
-                    return None
+                    frags = K.window_hits(S.incomplete_datagrams(audible), ["src"], n, span)
                 return self._out(frags, sid, [F.col("src")])
+            case "ttl_anomaly":
+                sampled = audible
+                if r.get("scope") == "external" and (home := self.rules.variables.get("HOME_NET")):
+                    sampled = audible.where(~P.address("src", home))
+                odd = S.hop_anomalies(sampled, self.handshakes, int(r.get("min_samples", 10)), int(r.get("max_hop_diff", 3)))
+                return self._out(K.window_hits(odd, ["src"], n, span), sid, [F.col("src")])
+            case "dns_spoof":
+                kind = r.get("kind")
+                if kind == "id_race":
+                    heard = self.dns_responses.select("seq", "g", "src", "dst", "sport", "dport").distinct()
+                    ids = S.asked_names(self.dns_events).join(heard, "seq")
+                    hit = D.distinct_scan(ids, ["client", "server", "qname"], "id", n, span)
+                elif kind == "qname_mismatch":
+                    hit = self.dns_responses.where("outcome = 'mismatch'")
+                else:
+                    hit = K.window_hits(self.dns_responses.where("outcome = 'unsolicited'"), ["client"], n, span)
+                return self._out(hit, sid, [F.col("client")])
+            case "dns_amplification":
+                free = F.when(F.col("outcome") == "matched", 0).otherwise(F.col("size")).cast("long")
+                hit = D.amplification(self.dns_responses, ["client"], F.col("size"), F.coalesce("query_size", F.lit(0)), span, int(r.get("min_bytes")), float(r.get("min_ratio", 10)), unmatched=free)
+                return self._out(hit, sid, [F.col("client")])
             case "arp_spoof":
                 return self._arp(r, sid, n, span)
             case "dns_tunnel":
