@@ -188,3 +188,102 @@ def incomplete_datagrams(packets: DataFrame) -> DataFrame:
     """Datagrams whose fragments did not all come within 30 s: t is their deadline, seq their first fragment's."""
     frags = packets.where("frag_offset > 0 or more_fragments").select("seq", "t", "src", "dst", "g", "ip_proto", "ip_id", "frag_offset", "more_fragments", "frag_len")
     return folded(frags, ["src", "dst", "ip_proto", "ip_id"], _Datagram, "seq long, t long, src string, dst string, g string, n_frags int")
+
+
+#: The least deviation that a metric's score divides by, and the least value that counts as high.
+FLOORS = {"packets": 10.0, "bytes": 10000.0, "conns": 0.5, "dns": 0.2, "dsts": 10.0, "fanout": 10.0}
+LEVELS = {"packets": 10.0, "bytes": 10000.0, "conns": 2.0, "dns": 1.0, "dsts": 20.0, "fanout": 20.0}
+
+
+class Learned:
+    """One metric of one host: plain mean and mean deviation over the first intervals, then averages that move by alpha, by at most
+    max_step, and stand still while the value stands out (for up to 60 intervals). Fires once a run, at its sustain-th interval."""
+
+    def __init__(self, interval: int, learn: int, threshold: float, sustain: int, max_step: float, levels: dict[str, float], drop: set[str], alpha: float = 0.1, adapt: int = 60, idle: int = 86400 * SECOND):
+        self.interval, self.learn, self.threshold, self.sustain, self.max_step, self.levels, self.drop = interval, learn, threshold, sustain, max_step, levels, drop
+        self.alpha, self.adapt, self.idle = alpha, adapt, idle
+        self.last: int | None = None
+        self._anew()
+
+    def _anew(self) -> None:
+        self.n, self.mean, self.dev, self.run, self.told = 0, 0.0, 0.0, 0, False
+
+    def _step(self, x: float, floor: float) -> None:
+        def bounded(move: float, of: float) -> float:
+            most = self.max_step * max(of, floor)
+            return min(max(move, -most), most)
+
+        away = abs(x - self.mean)
+        self.mean += bounded(self.alpha * (x - self.mean), self.mean)
+        self.dev += bounded(self.alpha * (away - self.dev), self.dev)
+
+    def update(self, x: float, metric: str) -> float | None:
+        """The score if this interval fires, else None."""
+        floor = FLOORS[metric]
+        if self.n < self.learn:
+            self.n += 1
+            away = abs(x - self.mean) if self.n > 1 else 0.0
+            self.mean += (x - self.mean) / self.n
+            self.dev += (away - self.dev) / (self.n - 1) if self.n > 1 else 0.0
+            return None
+        score = (x - self.mean) / max(self.dev, floor)
+        high = score >= self.threshold and x >= self.levels[metric]
+        low = metric in self.drop and self.mean >= floor and x <= 0.1 * self.mean
+        if not high and not low:
+            self.run, self.told = 0, False
+            self._step(x, floor)
+            return None
+        self.run += 1
+        if self.run > self.adapt:
+            self._step(x, floor)
+        if self.run < self.sustain or self.told:
+            return None
+        self.told = True
+        return score
+
+    def add(self, row) -> Iterable[tuple]:
+        out = []
+        if self.last is not None:
+            if row.t - self.last > self.idle:
+                self._anew()
+            else:  # intervals without any row
+                for k in range(self.last + self.interval, row.t, self.interval):
+                    if (score := self.update(0.0, row.metric)) is not None:
+                        out.append((row.seq, k + self.interval, row.host, row.metric, 0.0, score))
+        self.last = row.t
+        if (score := self.update(row.x, row.metric)) is not None:
+            out.append((row.seq, row.t + self.interval, row.host, row.metric, row.x, score))
+        return out
+
+    def end(self) -> Iterable[tuple]:
+        return ()
+
+
+def interval_metrics(packets: DataFrame, counted, fanout, interval: int, metrics: list[str]) -> DataFrame:
+    """Values of each metric in each aligned interval (t is its start) that some packet starts and a later one ends: rates a second, but
+    distinct addresses as they are; `fanout` is a host's own.
+
+    counted and fanout are the conditions on packets that count; all packets move the clock.
+    """
+    start = F.col("t") - F.pmod(F.col("t") + F.lit(62_135_596_800 * SECOND % interval), F.lit(interval))
+    rows = packets.select("seq", "src", "dst", start.alias("start"), counted.alias("hit"), fanout.alias("fan"), F.coalesce(F.nullif("wire_len", F.lit(0)), "capture_len").alias("size"),
+                          F.coalesce((F.col("g") == "TCP") & (F.col("tcp_flags").bitwiseAND(18) == SYN), F.lit(False)).alias("conn"),
+                          F.coalesce((F.col("app_protocol") == "dns") & F.exists("app_msgs", lambda m: (m["qname"] != "") & (m["is_response"] != "true")), F.lit(False)).alias("ask"))
+    secs = interval / SECOND
+    one = lambda c: F.sum((F.col("hit") & c).cast("double")) / secs
+    whole = rows.groupBy("start").agg(
+        F.max("seq").alias("seq"), one(F.lit(True)).alias("packets"), (F.sum(F.when(F.col("hit"), F.col("size")).otherwise(0).cast("double")) / secs).alias("bytes"), one(F.col("conn")).alias("conns"),
+        one(F.col("ask")).alias("dns"), F.count_distinct(F.when(F.col("hit"), F.col("dst"))).cast("double").alias("dsts"))
+    wide = [m for m in metrics if m != "fanout"]
+    pairs = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("x")) for m in wide]) if wide else F.array().cast("array<struct<metric:string,x:double>>")
+    out = whole.select("start", "seq", F.lit("").alias("host"), F.explode(pairs).alias("p")).select("start", "seq", "host", "p.*")
+    if "fanout" in metrics:
+        hosts = rows.where("hit and fan and dst is not null").groupBy("start", F.col("src").alias("host")).agg(F.max("seq").alias("seq"), F.count_distinct("dst").cast("double").alias("x"))
+        out = out.unionByName(hosts.withColumn("metric", F.lit("fanout")))
+    last = rows.agg(F.max("start").alias("__last"))  # one row: the interval that nothing has closed yet
+    return out.crossJoin(F.broadcast(last)).where("start < __last").withColumnRenamed("start", "t").drop("__last")
+
+
+def learned_baselines(metrics: DataFrame, interval: int, learn: int = 10, threshold: float = 4.0, sustain: int = 3, max_step: float = 0.2, levels: dict[str, float] | None = None, drop: set[str] = frozenset()) -> DataFrame:
+    """Intervals at which a metric has stood out from what was learned of it for long enough."""
+    return folded(metrics, ["metric", "host"], lambda: Learned(interval, learn, threshold, sustain, max_step, LEVELS | (levels or {}), drop), "seq long, t long, host string, metric string, x double, score double")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import cached_property, reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import entropy
@@ -25,6 +25,10 @@ WINDOW = 60 * SECOND
 FIRING = ["sid", "seq", "t", "key", "src", "dst", "sport", "dport", "proto"]
 
 
+def _items(text: str) -> list[str]:
+    return [x.strip() for x in text.strip("[]").split(",") if x.strip()]
+
+
 class Engine:
     def __init__(self, rules: RuleSet, packets: DataFrame, whitelist: str | None = None, feed_tables: dict[str, DataFrame] | None = None):
         self.rules, self.feed_tables = rules, feed_tables or {}
@@ -116,7 +120,15 @@ class Engine:
                 return self._out(D.distinct_scan(pings, ["src"], "dst", int(r.get("distinct_hosts")), span), sid, [F.col("src")])
             case "udp_flood":
                 size = F.length("payload").cast("long") + 8 if r.get("metric") == "bytes" else F.lit(1).cast("long")
-                return self._out(D.rate_flood(audible.where("g = 'UDP'"), [side], size, span, n), sid, [F.col(side)])
+                # who spoke first in a flow (by_dst: between two addresses), until it has been idle for 30 s; the other one replies
+                pair = H.connection() if side == "src" else F.concat_ws("~", F.least("src", "dst"), F.greatest("src", "dst"))
+                udp = K.sessions(self.packets.where("g = 'UDP'").withColumns({"pair": pair, "quiet": self.silenced}), ["pair"], 30 * SECOND)
+                opener = F.first("src").over(Window.partitionBy("pair", "session").orderBy("t", "seq"))
+                udp = udp.withColumn("reply", F.col("src") != opener).where(F.col("reply") | ~F.col("quiet") & header(r))
+                udp = udp.withColumn("addr", F.when(F.col("reply"), F.col("dst" if side == "src" else "src")).otherwise(F.col(side)))
+                udp = udp.select("seq", "t", "g", "src", "dst", "sport", "dport", "payload", "reply", "addr")
+                hit = D.rate_flood(udp, ["addr"], size, span, n, F.col("reply"), float(r.get("max_reply_ratio", 0.02)))
+                return self._out(hit, sid, [F.col("addr")])
             case "icmp_flood":
                 icmp = audible.where("g = 'ICMP'")
                 if r.get("kind") == "echo":
@@ -168,6 +180,8 @@ class Engine:
                 return self._arp(r, sid, n, span)
             case "dns_tunnel":
                 asked = self.dns.where(~F.col("response") & F.col("qname").isNotNull())
+                if allow := r.get("allow"):
+                    asked = asked.where(~P.domain(F.col("qname"), _items(allow)))
                 if r.get("kind") == "txt":
                     return self._out(D.detection_filter(asked.where("qtype in ('TXT', 'NULL')"), "src", n, span), sid, [F.col("src"), F.col("dst")])
                 hit = D.tunnel_subdomains(asked, ["src", "dst"], "qname", n, span, float(r.get("min_entropy", 3.5)), float(r.get("min_length", 50)))
@@ -176,15 +190,43 @@ class Engine:
                 none = self.dns.where(F.col("response") & (F.col("rcode") == "3") & F.col("qname").isNotNull())
                 return self._out(D.nxdomain_burst(none, "dst", "qname", n, span, float(r.get("min_entropy", 3.0))), sid, [F.col("dst")])
             case "beacon":
-                starts = audible.where(header(r)).where("g = 'TCP'").where(F.col("tcp_flags").bitwiseAND(18) == 2)
-                hit = D.beacons(starts, ["src", "dst", "dport"], int(r.get("min_events", 16)))
-                return self._out(hit, sid, [F.col("src"), F.col("dst"), F.col("dport")])
+                return self._beacon(r, audible, sid)
+            case "baseline":
+                return self._baseline(r, sid)
             case "icmp_tunnel":
                 text = F.decode("payload", "ISO-8859-1")
                 echoes = audible.where("g = 'ICMP' and icmp_type in (0, 8) and length(payload) > 0").withColumns({"size": F.length("payload"), "h": entropy(text)})
                 return self._out(D.tunnel_sizes(echoes, ["src", "dst"], "size", "h", n, span), sid, [F.col("src"), F.col("dst")])
         return None
 
+    def _beacon(self, r: Rule, rows: DataFrame, sid: Column) -> DataFrame:
+        skip = (F.col("g") == "UDP") & (F.col("dport") == 53) | P.port("dport", r.get("allow_ports", "123"))
+        if addrs := r.get("allow_addrs"):
+            skip = skip | P.address("dst", addrs)
+        lean = rows.where("g in ('TCP', 'UDP')").where(header(r)).where(~skip)
+        lean = lean.select("seq", "t", "g", "src", "dst", "sport", "dport", "tcp_flags", "tcp_seq", "app_msgs")
+        syn = lean.where((F.col("g") == "TCP") & (F.col("tcp_flags").bitwiseAND(18) == 2)).drop("app_msgs")
+        syn = D.flow_starts(syn, ["src", "sport", "dst", "dport", "tcp_seq"], 60 * SECOND)
+        talk = D.flow_starts(lean.where("g = 'UDP'").drop("app_msgs").withColumn("conn", H.connection()), ["conn"], 30 * SECOND).drop("conn")
+        key = ["src", "dst", "dport", "g"]
+        starts = K.sessions(syn.unionByName(talk), key, 6 * 3600 * SECOND)
+        jitter = float(r.get("jitter", 0.25))
+        gaps = [int(float(r.get(k, d)) * SECOND) for k, d in (("min_interval", 10), ("max_interval", 3600))]
+        hit = D.beacons(starts, [*key, "session"], int(r.get("min_events", 10)), streak=int(r.get("persistence", 4)), min_share=float(r.get("min_fraction", 0.7)), low_gap=gaps[0], high_gap=gaps[1], low=1 - jitter, high=1 + jitter)
+        if allow := r.get("allow"):  # destinations that have been named as an allowed domain by then
+            names = lean.withColumn("m", F.explode("app_msgs")).select(*key, F.col("t").alias("named_t"), F.coalesce(F.col("m")["sni"], F.regexp_replace(F.col("m")["host"], r":[0-9]*$", "")).alias("name"))
+            named = names.where(P.domain(F.col("name"), _items(allow))).groupBy(*key).agg(F.min("named_t").alias("named_t"))
+            hit = hit.join(named, key, "left").where(F.col("named_t").isNull() | (F.col("named_t") > F.col("t")))
+        return self._out(hit, sid, [F.col("src"), F.col("dst"), F.col("dport")])
+
+    def _baseline(self, r: Rule, sid: Column) -> DataFrame:
+        interval = int(r.get("interval", 60)) * SECOND
+        metrics = [m.strip() for m in r.get("metrics", ",".join(S.FLOORS)).split(",")]
+        levels = {k.strip(): float(v) for k, v in (x.split("=") for x in r.get("min_level", "").split(",") if x)}
+        values = S.interval_metrics(self.packets, ~self.silenced & header(r), P.address("src", r.src), interval, metrics)
+        hit = S.learned_baselines(values, interval, int(r.get("learn_intervals", 10)), float(r.get("threshold", 4)), int(r.get("sustain", 3)), float(r.get("max_step", 0.2)), levels, {x.strip() for x in r.get("drop", "").split(",") if x})
+        return self._out(hit.withColumns({"src": F.nullif("host", F.lit("")), "dst": F.lit(None).cast("string")}), sid, [F.col("host"), F.col("metric")])
+
     def _arp(self, r: Rule, sid: Column, n: int, span: int) -> DataFrame | None:
         arp = self.heard.where("g = 'ARP'")
         claims = arp.where("src <> '0.0.0.0'").withColumnRenamed("arp_sender_mac", "mac")

@@ -57,3 +57,32 @@ alert ip any any -> any any (msg:"f"; detect:frag_attack; kind:flood; count:4; s
 alert ip any any -> any any (msg:"y"; detect:frag_attack; kind:tiny; min_size:256; sid:3;)
 """)
     assert got == {1: {"10.0.0.1"}, 2: {"10.0.0.3"}, 3: {"10.0.0.5"}}
+
+
+def test_beacon_baseline_and_replies(spark, tmp_path):
+    frames = []
+    for i in range(44):  # one start a minute; the second host's destination is allowed
+        for k, host in enumerate(("10.0.0.1", "10.0.0.2")):
+            frames.append((60 * i + 1, T.tcp(host, 2000 + i, "198.51.100.9", 443, "S", i)))
+            if k:
+                frames.append((60 * i + 2, T.tcp(host, 2000 + i, "198.51.100.9", 443, "PA", i + 1, 1, T.hello("cdn.ok.example"))))
+    for i in range(44):  # as many irregular ones
+        frames.append((60 * i + (i * i * 7) % 50, T.tcp("10.0.0.3", 2000 + i, "198.51.100.9", 80 + i % 2 * 8000, "S", i)))
+    frames += [(40 * 60 + i / 400, T.ping("10.0.0.4", f"203.0.{i // 250}.{i % 250 + 1}")) for i in range(400)]  # a burst to many addresses
+    for i in range(100):  # answered, and not answered
+        frames += [(5 + i / 100, T.udp("10.0.0.5", 7, "192.0.2.8", 9)), (5.001 + i / 100, T.udp("192.0.2.8", 9, "10.0.0.5", 7)), (5 + i / 100, T.udp("10.0.0.6", 7, "192.0.2.8", 9))]
+    got = fired(spark, tmp_path, frames, """
+alert ip any any -> any any (msg:"b"; detect:beacon; allow:[ok.example]; sid:1;)
+alert ip any any -> any any (msg:"l"; detect:baseline; metrics:dsts; sustain:1; sid:2;)
+alert udp any any -> any any (msg:"u"; detect:udp_flood; track:by_src; count:100; seconds:5; sid:3;)
+""")
+    assert got == {1: {"10.0.0.1|198.51.100.9|443"}, 2: {"|dsts"}, 3: {"10.0.0.6"}}
+
+
+def test_learned():
+    from packetloom.operators.stateful import Learned
+
+    model = Learned(60, 5, 4.0, 2, 0.2, {"packets": 10.0}, {"packets"})
+    values = [100, 110, 90, 100, 100] + [100, 300, 300, 300, 100, 300, 300] + [100, 5, 5]
+    fired = [i for i, x in enumerate(values) if model.update(float(x), "packets") is not None]
+    assert fired == [7, 11, 14]
