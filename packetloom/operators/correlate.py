@@ -18,11 +18,11 @@ def contributions(alerts: DataFrame) -> DataFrame:
     return alerts.select("*", F.explode(sides).alias("c")).select(*alerts.columns, "c.*")
 
 
-def compromised_hosts(contrib: DataFrame, from_stage: int, to_stage: int, window: int) -> DataFrame:
+def compromised_hosts(contrib: DataFrame, from_stage: int | list[int], to_stage: int | list[int], window: int) -> DataFrame:
     """Hosts that attack in the later stage at most window after being a victim in the earlier: one row per attack, with the
     latest such exploit. As-of over one ordering of the host's rows, not a join of all pairs."""
-    victim = (F.col("role") == "victim") & (F.col("stage") == from_stage)
-    attack = (F.col("role") == "attacker") & (F.col("stage") == to_stage)
+    victim = (F.col("role") == "victim") & F.col("stage").isin(from_stage)
+    attack = (F.col("role") == "attacker") & F.col("stage").isin(to_stage)
     w = Window.partitionBy("host").orderBy("t", "seq").rowsBetween(Window.unboundedPreceding, -1)
     rows = contrib.withColumn("exploit_t", F.max(F.when(victim, F.col("t"))).over(w))
     return rows.where(attack & (F.col("t") - F.col("exploit_t") <= window))
@@ -74,3 +74,56 @@ def incident_updates(states: DataFrame, key: list[str]) -> DataFrame:
 def score(alerts: DataFrame, key: list[str]) -> DataFrame:
     """The number of stages times the sum of severity weights (1 to 4)."""
     return alerts.groupBy(*key).agg(F.count_distinct("stage").alias("n_stages"), F.sum(severity_rank(F.col("severity")) + 1).alias("weight")).withColumn("score", F.col("n_stages") * F.col("weight"))
+
+
+CHAINS = "src string, dst string, t long, kind string, stages array<int>, severity string, n_alerts long, extra long"
+
+
+def chain_states(alerts: DataFrame, from_stages: list[int], first: int, window: int, min_stages: int) -> DataFrame:
+    """Incidents of attacker and victim, and their updates: whenever the chain over most stages grows to one more, from min_stages on.
+
+    alerts: seq, t, src, dst, stage, reliable, weight. Events of a pair are the attacker's alerts on the victim, its stage-0 alerts on
+    anyone, and the victim's own reliable alerts of stages after from_stages once it has been hit by one of those. A chain never goes
+    back in stage; its gaps are at most `first` after a stage-0 event, else `window`. The attacker must have a reliable alert on the victim.
+    """
+    pairs = alerts.where("reliable").groupBy("src", "dst").agg(F.min("t").alias("sure_t")).where("src is not null and dst is not null")
+    hit = alerts.where(F.col("stage").isin(from_stages or [-1])).groupBy("src", "dst").agg(F.min("t").alias("from_t"))
+    pairs = pairs.join(hit, ["src", "dst"], "left").withColumnsRenamed({"src": "x", "dst": "y"})
+    own = pairs.join(alerts, F.col("x") == F.col("src")).where((F.col("dst") == F.col("y")) | (F.col("stage") == 0))
+    after = max(from_stages, default=99)
+    next_ = pairs.where("from_t is not null and x <> y").join(alerts.where("reliable").where(F.col("stage") > after), F.col("y") == F.col("src")).where("t >= from_t")
+    slim = ["x", "y", "sure_t", "t", "seq", "stage", "weight", (F.col("dst") == F.col("y")).alias("on_victim")]
+    events = own.select(*slim).unionByName(next_.select(*slim)).where("stage >= 0")
+
+    def fold(part: pd.DataFrame) -> pd.DataFrame:
+        rows = list(part.sort_values(["t", "stage", "seq"]).itertuples(index=False))
+        best: list[tuple[int, int, int]] = []  # stages, events, the event before
+        told, out = 0, []
+        for i, e in enumerate(rows):
+            mine = (1, 1, -1)
+            for j in range(i):
+                f = rows[j]
+                if f.stage <= e.stage and e.t - f.t <= (first if f.stage == 0 else window):
+                    there = (best[j][0] + (f.stage < e.stage), best[j][1] + 1, j)
+                    mine = there if there[:2] > mine[:2] else mine
+            best.append(mine)
+            if mine[0] >= min_stages and mine[0] > told and e.t >= e.sure_t:
+                chain, k = [], i
+                while k >= 0:
+                    chain.append(rows[k])
+                    k = best[k][2]
+                stages = sorted({int(c.stage) for c in chain})
+                out.append((e.x, e.y, e.t, "incident_update" if told else "incident", stages, "critical" if len(stages) >= 3 else "high", len(chain), sum(int(c.weight) for c in chain if not c.on_victim)))
+                told = mine[0]
+        return pd.DataFrame(out, columns=[c.split()[0] for c in CHAINS.split(", ")])
+
+    return events.groupBy("x", "y").applyInPandas(fold, CHAINS)
+
+
+def victim_weight(incidents: DataFrame, alerts: DataFrame, victim: str, day: int = 86_400_000_000_000) -> DataFrame:
+    """Adds `base`: the severity weights of all alerts on the victim in the 24 h up to each incident."""
+    on = alerts.select(F.col("dst").alias("__host"), F.col("t").alias("__t"), "weight")
+    rows = incidents.withColumn("__row", F.monotonically_increasing_id())
+    near = rows.join(on, (F.col(victim) == F.col("__host")) & F.col("__t").between(F.col("t") - day, F.col("t")), "left")
+    keep = [c for c in rows.columns if c != "__row"]
+    return near.groupBy("__row", *keep).agg(F.coalesce(F.sum("weight"), F.lit(0)).cast("long").alias("base")).drop("__row")

@@ -287,3 +287,139 @@ def interval_metrics(packets: DataFrame, counted, fanout, interval: int, metrics
 def learned_baselines(metrics: DataFrame, interval: int, learn: int = 10, threshold: float = 4.0, sustain: int = 3, max_step: float = 0.2, levels: dict[str, float] | None = None, drop: set[str] = frozenset()) -> DataFrame:
     """Intervals at which a metric has stood out from what was learned of it for long enough."""
     return folded(metrics, ["metric", "host"], lambda: Learned(interval, learn, threshold, sustain, max_step, LEVELS | (levels or {}), drop), "seq long, t long, host string, metric string, x double, score double")
+
+
+class _SlowFlow:
+    """One connection to an HTTP port, from its client's side: the spans of time in which it is slow by each rule.
+
+    rules: (sid, kind, min_age, seconds, min_rate, min_remaining), times in nanoseconds. Bytes are put in order by sequence number (early
+    ones are held, at most 16 segments); a head may be 16 KiB; bodies of unknown length are never slow.
+    """
+
+    idle, hold, head_most = 120 * SECOND, 16, 16384
+
+    def __init__(self, rules: list[tuple], ports: list[int]):
+        self.rules, self.ports = rules, ports
+        self.client: tuple | None = None
+        self._closed()
+        self.open: dict[int, tuple] = {}  # sid -> (enter, seq)
+
+    def _closed(self) -> None:
+        self.state, self.head, self.start, self.expected, self.seen = None, b"", 0, -1, 0
+        self.data_t, self.zero_t, self.last, self.expect, self.held = None, None, None, None, {}
+
+    def _feed(self, data: bytes, t: int) -> None:
+        while data:
+            if self.state == "body":
+                left = self.expected - self.seen if self.expected >= 0 else len(data)
+                took = min(left, len(data))
+                self.seen, data = self.seen + took, data[took:]
+                if self.expected >= 0 and self.seen >= self.expected:
+                    self.state = None
+                continue
+            if self.state is None:
+                self.state, self.head, self.start = "head", b"", t
+            self.head += data
+            at = self.head.find(b"\r\n\r\n")
+            if at < 0:
+                if len(self.head) > self.head_most:
+                    self.state, self.expected, self.seen = "body", -1, 0
+                return
+            lines, data = self.head[:at].lower().split(b"\r\n"), self.head[at + 4 :]
+            given = {k.strip(): v.strip() for k, _, v in (x.partition(b":") for x in lines[1:])}
+            n = given.get(b"content-length", b"")
+            self.expected = int(n) if n.isdigit() else -1 if b"chunked" in given.get(b"transfer-encoding", b"") else 0
+            self.seen, self.state = 0, "body" if self.expected else None
+
+    def _spans(self, until: int) -> Iterator[tuple[int, int, int]]:
+        """(sid, from, to) within the time from the last packet until the next one, in which nothing changes but the clock."""
+        for sid, kind, age, seconds, rate, remaining in self.rules:
+            low, high = self.last, until
+            if kind == "slow_read":
+                if self.zero_t is None:
+                    continue
+                low = max(low, self.zero_t + age + 1)
+            else:
+                if self.state != ("head" if kind == "slow_headers" else "body") or self.data_t is None:
+                    continue
+                low, high = max(low, self.start + age + 1), min(high, self.data_t + seconds + 1)
+                if kind == "slow_body":
+                    if self.expected - self.seen <= remaining or self.expected < 0:
+                        continue
+                    low = max(low, self.start + int(self.seen / rate * SECOND) + 1)
+            if low < high:
+                yield sid, low, high
+
+    def _pass(self, until: int) -> list[tuple]:
+        """Moves the clock on; returns the spans that have ended before `until`."""
+        out = []
+        now = {sid: (low, high) for sid, low, high in self._spans(until)}
+        for sid in {*now, *self.open}:
+            if sid in self.open and (sid not in now or now[sid][0] > self.last):
+                out.append(self._row(sid, *self.open.pop(sid), self.last))
+            if sid in now:
+                enter = self.open.pop(sid, now[sid][0])
+                enter = enter if isinstance(enter, tuple) else (enter, self.seq)
+                if now[sid][1] < until:
+                    out.append(self._row(sid, *enter, now[sid][1]))
+                else:
+                    self.open[sid] = enter
+        return out
+
+    def _row(self, sid: int, enter: int, seq: int, leave: int) -> tuple:
+        return (sid, seq, enter, leave, *self.client)
+
+    def _stop(self, t: int) -> list[tuple]:
+        out = self._pass(min(t, self.last + self.idle)) if self.last is not None else []
+        end = min(t, self.last + self.idle) if self.last is not None else t
+        out += [self._row(sid, *x, end) for sid, x in self.open.items()]
+        self.open = {}
+        self._closed()
+        return out
+
+    def add(self, row) -> Iterable[tuple]:
+        out = []
+        if self.last is not None:
+            out = self._stop(row.t) if row.t - self.last >= self.idle or row.tcp_flags & (FIN | RST) else self._pass(row.t)
+        side = (row.src, row.sport, row.dst, row.dport)
+        if self.client is None:
+            mine = row.dport in self.ports if not row.tcp_flags & SYN else not row.tcp_flags & 16
+            self.client = side if mine else (row.dst, row.dport, row.src, row.sport)
+        if row.tcp_flags & (FIN | RST):
+            return out
+        self.last, self.seq = row.t, row.seq
+        if side != self.client:
+            return out
+        data, at = bytes(row.payload or b""), row.tcp_seq
+        if row.tcp_flags & SYN:
+            self.expect, self.held = (at + 1) % (1 << 32), {}
+        elif data:
+            self.data_t = row.t
+            self.expect = at if self.expect is None else self.expect
+            self.held.setdefault(at, data)
+            if len(self.held) > self.hold:
+                self.expect = min(self.held, key=lambda s: (s - self.expect) % (1 << 32))
+            for s in sorted(self.held, key=lambda s: (s - self.expect + (1 << 31)) % (1 << 32)):
+                ahead = (s - self.expect + (1 << 31)) % (1 << 32) - (1 << 31)
+                if ahead > 0:
+                    break
+                fresh = self.held.pop(s)[-ahead:]
+                self.expect = (self.expect + len(fresh)) % (1 << 32)
+                self._feed(fresh, row.t)
+        zero = row.tcp_window == 0 and not row.tcp_flags & SYN
+        self.zero_t = (self.zero_t if self.zero_t is not None else row.t) if zero else None
+        return out
+
+    def end(self) -> Iterable[tuple]:
+        return self._stop(self.last + self.idle) if self.last is not None else ()
+
+
+def slow_spans(packets: DataFrame, rules: list[tuple], ports: list[int]) -> DataFrame:
+    """When each HTTP connection was slow by each rule: sid, seq, enter, leave and the addresses from the client's side.
+
+    rules: (sid, kind, min_age, seconds, min_rate, min_remaining), in seconds and bytes; kinds slow_headers, slow_body and slow_read.
+    """
+    tcp = packets.where((F.col("g") == "TCP") & (F.col("sport").isin(ports) | F.col("dport").isin(ports)))
+    slim = tcp.select("seq", "t", "src", "sport", "dst", "dport", "tcp_flags", "tcp_seq", "tcp_window", "payload").withColumn("conn", connection())
+    exact = [(sid, kind, int(age * SECOND), int(secs * SECOND), rate, left) for sid, kind, age, secs, rate, left in rules]
+    return folded(slim, ["conn"], lambda: _SlowFlow(exact, ports), "sid int, seq long, enter long, leave long, src string, sport int, dst string, dport int")

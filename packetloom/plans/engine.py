@@ -11,14 +11,16 @@ from functools import cached_property, reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import entropy
+from ..functions.scalars import SEVERITIES, entropy
+from ..operators import correlate as C
 from ..operators import detectors as D
 from ..operators import feeds
 from ..operators import handshake as H
 from ..operators import predicates as P
 from ..operators import primitives as K
 from ..operators import stateful as S
-from .rules import Rule, RuleSet, header, predicate
+from ..sources.decode import PORTS
+from .rules import Rule, RuleSet, header, predicate, stages_of
 
 SECOND = 1_000_000_000
 WINDOW = 60 * SECOND
@@ -31,7 +33,7 @@ def _items(text: str) -> list[str]:
 
 class Engine:
     def __init__(self, rules: RuleSet, packets: DataFrame, whitelist: str | None = None, feed_tables: dict[str, DataFrame] | None = None):
-        self.rules, self.feed_tables = rules, feed_tables or {}
+        self.rules, self.feed_tables, self.whitelist = rules, feed_tables or {}, whitelist
         if "stream_anomaly" not in packets.columns:
             packets = packets.withColumn("stream_anomaly", F.lit(None).cast("string"))
         self.packets = packets
@@ -66,6 +68,17 @@ class Engine:
         rows = self.packets.where("app_protocol = 'dns' and g = 'UDP'").select("seq", "g", "src", "dst", "sport", "dport", F.length("payload").cast("long").alias("size"), self.silenced.alias("quiet"))
         return self.dns_events.where("what = 'response'").join(rows, "seq").where("not quiet").drop("quiet")
 
+    @cached_property
+    def slow(self) -> DataFrame:
+        """When connections were slow by each slow HTTP rule, while the capture lasts; one pass for all rules."""
+        rules = [(r.sid, r.get("kind"), float(r.get("min_age", 10)), float(r.get("seconds", 30)), float(r.get("min_rate", 100)), int(r.get("min_remaining", 10240))) for r in self.rules.rules if r.detect == "slowloris"]
+        spans = S.slow_spans(self.packets, rules, [p for p, name in PORTS.items() if name == "http"])
+        end = self.packets.agg(F.max("t").alias("__end"))  # one row
+        kept = spans.withColumn("g", F.lit("TCP")).crossJoin(F.broadcast(end)).where("enter <= __end").drop("__end")
+        # the flow as a packet from its client, for whitelists and pass rules
+        quiet = [header(r) for r in self.rules.rules if r.action == "pass" and not r.options] + ([P.address("src", self.whitelist)] if self.whitelist else [])
+        return kept.where(~reduce(lambda a, b: a | b, quiet)) if quiet else kept
+
     @cached_property
     def probes(self) -> DataFrame:
         failed = self.handshakes.where("bad").select("seq", "t", "src", "sport", "dst", "dport", "g")
@@ -75,7 +88,7 @@ class Engine:
 
     def firings(self) -> DataFrame:
         """sid, seq, t, key (of deduplication) and the addresses of every firing of every rule."""
-        alerts = [r for r in self.rules.rules if r.action == "alert"]
+        alerts = [r for r in self.rules.rules if r.action == "alert" and r.detect != "incident"]
         plain = [r for r in alerts if not r.detect and not any(k.endswith("_feed") or k == "detection_filter" for k, _ in r.options)]
         out = []
         if plain:  # one pass for all of them
@@ -176,6 +189,10 @@ class Engine:
                 free = F.when(F.col("outcome") == "matched", 0).otherwise(F.col("size")).cast("long")
                 hit = D.amplification(self.dns_responses, ["client"], F.col("size"), F.coalesce("query_size", F.lit(0)), span, int(r.get("min_bytes")), float(r.get("min_ratio", 10)), unmatched=free)
                 return self._out(hit, sid, [F.col("client")])
+            case "slowloris":
+                mine = self.slow.where(F.col("sid") == r.sid).where(header(r))
+                entered = D.concurrent(mine, side, "enter", "leave", n).select("seq", "t")
+                return self._out(mine.withColumnRenamed("enter", "t").join(entered, ["seq", "t"]).drop("sid"), sid, [F.col(side)])
             case "arp_spoof":
                 return self._arp(r, sid, n, span)
             case "dns_tunnel":
@@ -280,3 +297,62 @@ class Engine:
         first = windows.withColumns({"kind": F.lit("alert"), "time": F.col("first_t"), "last_t": F.col("first_t"), "n": F.lit(1).cast("long")})
         both = first.unionByName(closed.select(*first.columns))
         return both.join(F.broadcast(meta), "sid").select("kind", "time", F.col("first_t").alias("first_seen"), F.col("last_t").alias("last_seen"), F.col("n").alias("count"), "sid", "rev", "msg", "severity", "category", "proto", "src", "sport", "dst", "dport")
+
+    def attributed(self, alerts: DataFrame) -> DataFrame:
+        """New alerts as the correlation sees them: seq, t, src, dst, stage (-1: none), weight, and whether the source is sure.
+
+        It is for beacons, slow HTTP, DNS tunnels over TCP, application rules on TCP, and signatures on TCP connections that have
+        completed their handshake. ARP names its actor by MAC, so its alerts are left to the victim's side.
+        """
+        app = {"app_proto", "stream_anomaly", "app_field", "app_reason", "app_content", "app_domain", "regex"}
+        sure = [r.sid for r in self.rules.rules if r.detect in ("beacon", "slowloris")]
+        over_tcp = [r.sid for r in self.rules.rules if r.detect in ("dns_tunnel", "dns_nxdomain_burst") or not r.detect and any(k in app for k, _ in r.options)]
+        plain = [r.sid for r in self.rules.rules if not r.detect]
+        stage = F.coalesce(*[F.when(F.col("category") == c, k) for c, k in self.rules.stages.items()], F.lit(-1))
+        weight = F.coalesce(*[F.when(F.col("severity") == x, k + 1) for k, x in enumerate(SEVERITIES)])
+        arp = F.col("proto") == "ARP"
+        burst = F.col("sid").isin([r.sid for r in self.rules.rules if r.detect == "dns_nxdomain_burst"] or [-1])
+        # an NXDOMAIN burst is its client's doing, and names no target
+        who = F.when(burst, F.col("dst")).when(~arp, F.col("src"))
+        rows = alerts.where("kind = 'alert'").select("sid", F.col("time").alias("t"), who.alias("src"), F.when(~burst, F.col("dst")).alias("dst"), "sport", "dport", "proto", stage.alias("stage"), weight.cast("long").alias("weight"))
+        rows = rows.withColumn("conn", H.connection())
+        known = self.handshakes.where("outcome = 'complete'").withColumn("conn", H.connection()).groupBy("conn").agg(F.min("t").alias("done_t"))
+        rows = rows.join(known, "conn", "left")
+        tcp = F.col("proto") == "TCP"
+        reliable = F.col("sid").isin(sure or [-1]) | tcp & F.col("sid").isin(over_tcp or [-1]) | tcp & F.col("sid").isin(plain or [-1]) & (F.col("done_t") <= F.col("t"))
+        return rows.withColumns({"reliable": F.coalesce(reliable & F.col("src").isNotNull(), F.lit(False)), "seq": F.col("sid").cast("long")})
+
+    def incidents(self, alerts: DataFrame | None = None) -> DataFrame:
+        """Incidents of the rule set's incident rules over its alerts, and updates when a chain grows."""
+        if alerts is None:
+            alerts = self.alerts()
+            # read many times below: kept in the shared folder rather than made anew by every use
+            alerts = alerts.checkpoint() if alerts.sparkSession.sparkContext.getCheckpointDir() else alerts
+        seen = self.attributed(alerts)
+        out = []
+        for r in self.rules.rules:
+            if r.detect != "incident":
+                continue
+            kind, start, end = r.get("kind"), stages_of(r, "from", self.rules), stages_of(r, "to", self.rules)
+            if kind == "multi_stage":
+                rows = C.chain_states(seen, start, int(r.get("first_window", 86400)) * SECOND, int(r.get("window", 3600)) * SECOND, int(r.get("min_stages", 2)))
+                rows = rows.withColumn("factor", F.size("stages")).select("src", "dst", "t", "kind", "stages", "severity", "extra", "factor")
+                victim = "dst"
+            elif kind == "compromised_host":
+                both = C.contributions(seen).where("role = 'victim' or reliable")
+                hit = C.compromised_hosts(both, start, end, int(r.get("window", 86400)) * SECOND)
+                stages = F.array_sort(F.array_distinct(F.array(*[F.lit(x) for x in start[:1]], F.col("stage"))))
+                rows = hit.groupBy("host").agg(F.min_by(F.struct("t", stages.alias("stages"), "weight", "exploit_t"), F.struct("t", "seq")).alias("h"))
+                by = both.where((F.col("role") == "victim") & F.col("stage").isin(start)).select("host", F.col("t").alias("exploit_t"), "peer").groupBy("host", "exploit_t").agg(F.min("peer").alias("dst"))
+                rows = rows.select("host", "h.*").join(by, ["host", "exploit_t"]).select(F.col("host").alias("src"), "dst", "t", F.lit("incident").alias("kind"), "stages", F.lit("critical").alias("severity"), F.col("weight").alias("extra"), F.size("stages").alias("factor"))
+                victim = "src"
+            else:
+                syn = self.heard.where((F.col("g") == "TCP") & (F.col("tcp_flags").bitwiseAND(18) == 2)).select("t", "seq", "src", "dst")
+                hits = C.callbacks(syn, seen.where("reliable").where(F.col("stage").isin(start)), int(r.get("window", 120)) * SECOND)
+                rows = hits.groupBy(F.col("host").alias("src"), F.col("peer").alias("dst")).agg(F.min("t").alias("t"))
+                rows = rows.select("src", "dst", "t", F.lit("incident").alias("kind"), F.array(*[F.lit(x) for x in start[:1]]).alias("stages"), F.lit("critical").alias("severity"), F.lit(0).cast("long").alias("extra"), F.lit(2).alias("factor"))
+                victim = "src"
+            fits = P.address("src", r.src) & P.address("dst", r.dst) if kind != "callback" else P.address("dst", r.src) & P.address("src", r.dst)
+            rows = C.victim_weight(rows.where(fits), seen, victim).withColumn("score", F.col("factor") * (F.col("base") + F.col("extra")))
+            out.append(rows.select("kind", F.col("t").alias("time"), F.lit(r.sid).alias("sid"), F.lit(kind).alias("incident_kind"), F.lit(r.msg).alias("msg"), "severity", "stages", "score", "src", "dst"))
+        return reduce(DataFrame.unionByName, out)

@@ -66,6 +66,7 @@ class RuleSet:
     bindings: dict[str, str] = field(default_factory=dict)
     feeds: dict[str, tuple[str, str, str]] = field(default_factory=dict)
     stages: dict[str, int] = field(default_factory=dict)
+    stage_names: list[str] = field(default_factory=list)
 
 
 def split_options(text: str) -> list[tuple[str, str]]:
@@ -147,10 +148,13 @@ def parse(text: str) -> RuleSet:
                     raise ValueError(f"unknown feed kind {kind}")
                 out.feeds[name] = (kind, path, age[0].removeprefix("max_age:") if age else "7d")
             elif word == "stage":
-                _, cats = rest.split()
-                place = len(set(out.stages.values()))
+                name, cats = rest.split()
+                place = len(out.stage_names)
                 if place >= 16:
                     raise ValueError("over 16 stages")
+                if name in out.stage_names or (set(out.stages) & set(cats.split(","))):
+                    raise ValueError(f"stage {name} or one of its categories again")
+                out.stage_names.append(name)
                 out.stages |= {c: place for c in cats.split(",")}
             elif word in ("alert", "pass"):
                 rules.append((n, line))
@@ -209,6 +213,8 @@ def _rule(n: int, line: str, given: RuleSet) -> Rule:
         raise ValueError(f"unknown detector {rule.detect}")
     if rule.detect and any(k in SIGNATURE - {"stream_anomaly"} for k, _ in rule.options):
         raise ValueError("a detector takes no signature options")
+    if rule.detect == "incident":
+        _incident(rule, given)
     for key, value in rule.options:
         if key == "regex":
             P.translate_regex(unquote(value.partition(",")[2]))
@@ -219,6 +225,35 @@ def _rule(n: int, line: str, given: RuleSet) -> Rule:
     return rule
 
 
+def _incident(rule: Rule, given: RuleSet) -> None:
+    kind = rule.get("kind")
+    if kind not in ("multi_stage", "compromised_host", "callback"):
+        raise ValueError(f"unknown kind {kind} of incident")
+    if not given.stage_names:
+        raise ValueError("incidents need stages")
+    if kind != "multi_stage" and (rule.get("min_stages") or rule.get("first_window")):
+        raise ValueError("min_stages and first_window belong to kind multi_stage")
+    if kind != "compromised_host" and rule.get("to"):
+        raise ValueError("to belongs to kind compromised_host")
+    if int(rule.get("min_stages", 2)) > len(given.stage_names):
+        raise ValueError("min_stages is more than the stages of the file")
+    start, end = stages_of(rule, "from", given), stages_of(rule, "to", given)
+    if not start and kind != "multi_stage" or kind == "compromised_host" and not end:
+        raise ValueError("no stages to go from or to")
+    if kind == "compromised_host" and set(start) & set(end):
+        raise ValueError("from and to share a stage")
+
+
+def stages_of(rule: Rule, option: str, given: RuleSet) -> list[int]:
+    """Numbers of the stages that an incident rule goes from or to; by default from exploit to c2 and exfil."""
+    names = rule.get(option)
+    if names is None:
+        return [i for i, n in enumerate(given.stage_names) if n in (("exploit",) if option == "from" else ("c2", "exfil"))]
+    if missing := [n for n in names.split(",") if n.strip() not in given.stage_names]:
+        raise ValueError(f"unknown stage {missing[0]}")
+    return sorted(given.stage_names.index(n.strip()) for n in names.split(","))
+
+
 def header(rule: Rule) -> Column:
     group = F.col("g").isin("IP", "TCP", "UDP", "ICMP") if rule.proto == "ip" else F.col("g") == rule.proto.upper()
     forward = P.address("src", rule.src) & P.port("sport", rule.sport) & P.address("dst", rule.dst) & P.port("dport", rule.dport)

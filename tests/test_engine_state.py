@@ -86,3 +86,69 @@ def test_learned():
     values = [100, 110, 90, 100, 100] + [100, 300, 300, 300, 100, 300, 300] + [100, 5, 5]
     fired = [i for i, x in enumerate(values) if model.update(float(x), "packets") is not None]
     assert fired == [7, 11, 14]
+
+
+def test_incidents(spark, tmp_path):
+    x, y, c2 = "203.0.113.5", "10.0.0.9", "198.51.100.7"
+
+    def talk(t, a, b, port, data, sport=5000):
+        return [(t, T.tcp(a, sport, b, port, "S", 10)), (t + 0.01, T.tcp(b, port, a, sport, "SA", 70, 11)), (t + 0.02, T.tcp(a, sport, b, port, "A", 11, 71)), (t + 0.03, T.tcp(a, sport, b, port, "PA", 11, 71, data))]
+
+    frames = [(1 + p / 50, T.tcp(x, 40000, y, p, "S", p)) for p in range(1, 26)]  # recon
+    frames += talk(60, x, y, 80, b"GET /evil HTTP/1.1\r\nHost: a\r\n\r\n")  # exploit
+    frames += talk(90, y, x, 4444, b"shell")  # calls back
+    frames += talk(120, y, c2, 8081, b"C2CHECKIN")  # the victim's own later stage
+    frames += talk(130, "10.0.0.8", c2, 8081, b"C2CHECKIN", 6000)  # never a victim
+    (tmp_path / "x.pcap").write_bytes(T.pcap([(int(t * S), f) for t, f in sorted(frames, key=lambda z: z[0])]))
+    rows = pcap.packets(pcap.read_frames(spark, f"{tmp_path}/x.pcap")).cache()
+    rules = R.parse("""
+stage recon recon
+stage exploit web
+stage c2 malware
+alert ip any any -> any any (msg:"scan"; detect:port_scan; distinct_ports:20; seconds:10; sid:1; category:recon;)
+alert tcp any any -> any any (msg:"evil"; content:"/evil"; sid:2; severity:high; category:web;)
+alert tcp any any -> any any (msg:"c2"; content:"C2CHECKIN"; sid:3; severity:critical; category:malware;)
+alert ip any any -> any any (msg:"m"; detect:incident; kind:multi_stage; sid:11;)
+alert ip any any -> any any (msg:"h"; detect:incident; kind:compromised_host; sid:12;)
+alert ip any any -> any any (msg:"b"; detect:incident; kind:callback; sid:13;)
+""")
+    got = sorted((r.sid, r.kind, r.src, r.dst, r.severity, r.score) for r in Engine(rules, rows).incidents().collect())
+    # medium 2 (scan) and high 3 on the victim; its own critical alert adds 4
+    assert got == [(11, "incident", x, y, "high", 10), (11, "incident_update", x, y, "critical", 27), (12, "incident", y, x, "critical", 18), (13, "incident", y, x, "critical", 10)]
+
+
+def test_incident_rules():
+    import pytest
+
+    for options in ("kind:odd", "kind:callback; to:c2", "kind:multi_stage; min_stages:4", "kind:compromised_host; from:c2", "kind:multi_stage; from:nope"):
+        with pytest.raises(R.RuleErrors):
+            R.parse(f"stage recon a\nstage exploit b\nstage c2 c\nalert ip any any -> any any (detect:incident; {options}; sid:1;)")
+
+
+def test_slow_http(spark, tmp_path):
+    server = ("192.0.2.1", 80)
+    post = b"POST / HTTP/1.1\r\nContent-Length: 100000\r\n\r\n"
+
+    def flow(client, k, parts, window=65535):
+        a = (client, 4000 + k, *server)
+        out, at = [(k / 100, T.tcp(*a, "S", 0))], 1
+        for t, data in parts:
+            out.append((t + k / 100, T.tcp(*a, "PA", at, 1, data, window=window)))
+            at += len(data)
+        return out
+
+    frames = [(60, T.ping("10.9.9.9", "192.0.2.1"))]  # the clock goes on
+    for k in range(3):
+        frames += flow("10.0.0.1", k, [(1, b"GET / HTTP/1.1\r\n"), (8, b"X: 1\r\n"), (16, b"X: 2\r\n")])  # heads that don't end
+        frames += flow("10.0.0.2", k, [(1, b"GET / HTTP/1.1\r\n"), (8, b"X: 1\r\n\r\n")])  # this one does
+        frames += flow("10.0.0.3", k, [(1, post), (10, b"x" * 10), (20, b"x" * 10)])  # a body drop by drop
+        frames += flow("10.0.0.4", k, [(1, post), (2, b"x" * 1400), (3, b"x" * 1400)] + [(4 + i, b"x" * 1400) for i in range(20)])  # slow enough
+        frames += flow("10.0.0.5", k, [(1, b"GET / HTTP/1.1\r\n\r\n"), (2, b"")], window=0)  # doesn't read
+    frames += flow("10.0.0.6", 0, [(1, b"GET / HTTP/1.1\r\n"), (8, b"X: 1\r\n"), (16, b"X: 2\r\n")])  # one connection only
+    got = fired(spark, tmp_path, frames, """
+alert tcp any any -> any any (msg:"h"; detect:slowloris; kind:slow_headers; track:by_src; count:3; seconds:30; min_age:10; sid:1;)
+alert tcp any any -> any any (msg:"s"; detect:slowloris; kind:slow_headers; track:by_dst; count:4; seconds:30; min_age:10; sid:2;)
+alert tcp any any -> any any (msg:"b"; detect:slowloris; kind:slow_body; track:by_src; count:3; seconds:30; min_age:20; min_rate:100; min_remaining:10240; sid:3;)
+alert tcp any any -> any any (msg:"r"; detect:slowloris; kind:slow_read; track:by_src; count:3; min_age:20; sid:4;)
+""")
+    assert got == {1: {"10.0.0.1"}, 2: {"192.0.2.1"}, 3: {"10.0.0.3"}, 4: {"10.0.0.5"}}
