@@ -31,6 +31,11 @@ def _items(text: str) -> list[str]:
     return [x.strip() for x in text.strip("[]").split(",") if x.strip()]
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """A relation that many rules read, computed once into the shared checkpoint folder; without one, by each rule anew."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df
+
+
 class Engine:
     def __init__(self, rules: RuleSet, packets: DataFrame, whitelist: str | None = None, feed_tables: dict[str, DataFrame] | None = None):
         self.rules, self.feed_tables, self.whitelist = rules, feed_tables or {}, whitelist
@@ -47,8 +52,7 @@ class Engine:
 
     @cached_property
     def handshakes(self) -> DataFrame:
-        rows = H.outcomes(self.packets).withColumns({"g": F.lit("TCP"), "bad": F.col("outcome") != "complete"})
-        return rows
+        return _kept(H.outcomes(self.packets)).withColumns({"g": F.lit("TCP"), "bad": F.col("outcome") != "complete"})
 
     @cached_property
     def dns(self) -> DataFrame:
@@ -61,7 +65,7 @@ class Engine:
         m = self.packets.where("app_protocol = 'dns' and g = 'UDP'").select("seq", "t", "src", "dst", "sport", "dport", F.length("payload").cast("long").alias("size"), F.explode("app_msgs").alias("m"))
         m = m.withColumns({"response": F.col("m")["is_response"] == "true", "qname": F.coalesce(F.col("m")["qname"], F.lit("")), "qtype": F.col("m")["qtype"], "id": F.col("m")["id"]}).where("response is not null and id is not null")
         ends = {"client": F.when(F.col("response"), F.col("dst")).otherwise(F.col("src")), "server": F.when(F.col("response"), F.col("src")).otherwise(F.col("dst")), "cport": F.when(F.col("response"), F.col("dport")).otherwise(F.col("sport"))}
-        return S.dns_transactions(m.withColumns(ends))
+        return _kept(S.dns_transactions(m.withColumns(ends)))
 
     @cached_property
     def dns_responses(self) -> DataFrame:
@@ -72,7 +76,7 @@ class Engine:
     def slow(self) -> DataFrame:
         """When connections were slow by each slow HTTP rule, while the capture lasts; one pass for all rules."""
         rules = [(r.sid, r.get("kind"), float(r.get("min_age", 10)), float(r.get("seconds", 30)), float(r.get("min_rate", 100)), int(r.get("min_remaining", 10240))) for r in self.rules.rules if r.detect == "slowloris"]
-        spans = S.slow_spans(self.packets, rules, [p for p, name in PORTS.items() if name == "http"])
+        spans = _kept(S.slow_spans(self.packets, rules, [p for p, name in PORTS.items() if name == "http"]))
         end = self.packets.agg(F.max("t").alias("__end"))  # one row
         kept = spans.withColumn("g", F.lit("TCP")).crossJoin(F.broadcast(end)).where("enter <= __end").drop("__end")
         # the flow as a packet from its client, for whitelists and pass rules
@@ -97,6 +101,8 @@ class Engine:
         for r in alerts:
             if r not in plain and (rows := self._special(r)) is not None:
                 out.append(rows)
+        if not out:  # no rule applies, such as when feeds or bindings are missing
+            return self._out(self.packets.where("false"), F.lit(0), [F.col("src")])
         return reduce(DataFrame.unionByName, out)
 
     def _out(self, rows: DataFrame, sid: Column, key: list[Column]) -> DataFrame:
@@ -325,9 +331,7 @@ class Engine:
     def incidents(self, alerts: DataFrame | None = None) -> DataFrame:
         """Incidents of the rule set's incident rules over its alerts, and updates when a chain grows."""
         if alerts is None:
-            alerts = self.alerts()
-            # read many times below: kept in the shared folder rather than made anew by every use
-            alerts = alerts.checkpoint() if alerts.sparkSession.sparkContext.getCheckpointDir() else alerts
+            alerts = _kept(self.alerts())
         seen = self.attributed(alerts)
         out = []
         for r in self.rules.rules:

@@ -152,3 +152,8 @@ alert tcp any any -> any any (msg:"b"; detect:slowloris; kind:slow_body; track:b
 alert tcp any any -> any any (msg:"r"; detect:slowloris; kind:slow_read; track:by_src; count:3; min_age:20; sid:4;)
 """)
     assert got == {1: {"10.0.0.1"}, 2: {"192.0.2.1"}, 3: {"10.0.0.3"}, 4: {"10.0.0.5"}}
+
+
+def test_nothing_applies(spark, tmp_path):
+    rule = 'alert arp any any -> any any (msg:"s"; detect:arp_spoof; kind:static_violation; sid:1;)'
+    assert fired(spark, tmp_path, [(1, T.ping("10.0.0.1", "10.0.0.2"))], rule) == {}
