@@ -256,6 +256,39 @@ def test_line_dedup(spark):
     assert sum(r.n_removed_lines for r in got.collect()) > 0
 
 
+def brute_common_runs(rows, min_words):
+    """Every run of lines of min_words words that stood before goes, whatever its length."""
+    firsts, gone, order = set(), defaultdict(set), sorted((i, t) for i, t in rows)
+    for i, t in order:
+        lines = t.split("\n")
+        n = [len(WORD.findall(x)) for x in lines]
+        for a in range(len(lines)):
+            for b in range(a, len(lines)):
+                if sum(n[a : b + 1]) >= min_words:
+                    run = tuple(lines[a : b + 1])
+                    if run in firsts:
+                        gone[i].update(range(a, b + 1))
+                    firsts.add(run)
+    return {i: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i]) for i, t in order}
+
+
+def test_line_dedup_whole_matches(spark):
+    passage = [" ".join(f"p{k}w{j}" for j in range(n)) for k, n in enumerate((60, 40))]
+    rows = [(1, "\n".join(["start one", *passage, "end one"])), (2, "\n".join(["other start", *passage, "another end"]))]
+    got = {r.doc_id: r.clean_text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: rows[0][1], 2: "other start\nanother end"}
+    rng = np.random.default_rng(10)
+    lines = [" ".join(f"l{k}w{j}" for j in range(rng.integers(1, 9))) for k in range(40)] + ["", " "]
+    rows = []
+    for i in range(80):
+        a, n = int(rng.integers(0, 36)), int(rng.integers(2, 6))
+        parts = [f"own {i}", *lines[a : a + n], *["", ""][: i % 3], f"{i} own", *[lines[k] for k in rng.integers(0, 42, 4)], *lines[a : a + i % 4]]
+        rows.append((i, "\n".join(parts)))
+    rows.append((80, rows[3][1]))
+    got = {r.doc_id: r.clean_text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), min_words=12).collect()}
+    assert got == brute_common_runs(rows, 12) != brute_lines(rows, 12)
+
+
 def test_sharding(spark, odd, none):
     assert sharding.shard(none).count() == 0
     rng = np.random.default_rng(6)
