@@ -6,9 +6,14 @@ language are stored and broadcast; workers unfold them into one array of log pro
 base 48 (symbol classes, see symbols.py; rarer characters share classes by hash), so a model has 48**4
 entries at most, however large the corpus. Languages beyond the `most_langs` most common share one model.
 
-Log perplexities (per character) are compared within language and length class: a document outside
-[median - below * spread, median + above * spread] is rejected; spread is the interquartile range, `floor` at least. The upper band
-is the wider one: text that changes language or style midway is unusual but clean, while monotonous text is what the lower one is for. Classes of fewer than `least_docs` documents have no band.
+Each language has two models, one for each half of the texts (by crc32 of the text, so copies stay together), and a text is scored
+by those of the other half: junk would otherwise be no surprise to a model that has learned that very text.
+
+Log perplexities (per character) are compared within language and length class: a document under median - below * spread is
+rejected; spread is the interquartile range, `floor` at least. Clean text that changes language scores high under one model, so
+for the upper side the parts of a text (PART characters) are scored each by the model that fits it best, its own language's or
+that of a named one with `least_docs` rows: mixed languages score like plain text then. A document whose parts score is over
+median + above * spread, or over median + parts_above * spread of these scores, is rejected: junk that no model fits. Classes of fewer than `least_docs` documents have no band.
 
 Defined cases: null text has no words and fails the base rules, like every text of under 10 words; null lang is a
 language of its own; repeated rows count as often as they stand; other columns may bear any name and are ignored.
@@ -16,7 +21,7 @@ language of its own; repeated rows count as often as they stand; other columns m
 
 from __future__ import annotations
 
-from collections import OrderedDict
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +37,7 @@ GRAMS = pa.schema([("lang", pa.string()), ("code", pa.int32()), ("n", pa.int64()
 COUNT_NAMES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 SYMBOL_BYTES = np.zeros(256, bool)
 SYMBOL_BYTES[list(b"#*$%&|<>")] = True
+PART = 256
 _BLANK = " \t\n\x0b\x0c\r"
 
 
@@ -49,6 +55,11 @@ def four_grams(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return code, off
 
 
+def halves(col: pa.Array) -> np.ndarray:
+    """The half, 0 or 1, that each text belongs to."""
+    return np.array([zlib.crc32(t.encode()) & 1 for t in col.to_pylist()], np.int64)
+
+
 def _added(sums: tuple[np.ndarray, np.ndarray] | None, codes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Sorted codes and their counts, of those so far and of more codes."""
     code, n = np.unique(np.concatenate(codes), return_counts=True)
@@ -79,8 +90,9 @@ def _count():
             langs = batch.column(batch.schema.names.index("lang")).to_pylist()
             for lo, hi, col in slices(batch, "text"):
                 code, off = four_grams(col)
+                half = halves(col)
                 for d in range(hi - lo):
-                    held.setdefault(langs[lo + d], []).append(code[off[d] : off[d + 1]])
+                    held.setdefault(f"{half[d]}{langs[lo + d]}", []).append(code[off[d] : off[d + 1]])
                 size += len(code)
                 if size > 1 << 22:
                     add()
@@ -125,18 +137,58 @@ def log_probs(codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 class Models:
-    """The unfolded models of a worker: the last few languages used."""
-
-    def __init__(self, arrays: dict[str, tuple[np.ndarray, np.ndarray]]):
-        self.arrays, self.ready = arrays, OrderedDict()
-
-    def __getitem__(self, lang: str) -> np.ndarray:
-        if lang not in self.ready:
-            self.ready[lang] = log_probs(*self.arrays[lang])
-            if len(self.ready) > 6:
-                self.ready.popitem(last=False)
-        self.ready.move_to_end(lang)
-        return self.ready[lang]
+    """The unfolded models of a worker, and the languages whose models any part of a text may use."""
+
+    def __init__(self, shared: tuple[dict[str, tuple[np.ndarray, np.ndarray]], list[str]]):
+        self.arrays, self.common = shared
+        self.ready: dict[str, np.ndarray] = {}
+
+    def of(self, lang: str, half: int) -> np.ndarray:
+        """The model that scores texts of this half: the other half's, or if it has no texts their own."""
+        name = f"{1 - half}{lang}"
+        if name not in self.arrays:
+            name = f"{half}{lang}"
+        if name not in self.ready:
+            self.ready[name] = log_probs(*self.arrays[name]).astype(np.float16)  # half the memory; rounding evens out over a text
+        return self.ready[name]
+
+
+def perplexities(col: pa.Array, langs: list[str], models: Models) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text of a large_string array the mean -ln p of its characters by the model of its language, that by the model
+    that fits each part best (both NaN without characters), and the number of characters."""
+    half, names = halves(col), np.array(langs, object)
+    out = np.full((2, len(col)), np.nan)
+    n = np.zeros(len(col), np.int64)
+    for h in np.unique(half).tolist():
+        mine = half == h
+        own, best, n[mine] = _perplexities(col.filter(pa.array(mine)), names[mine].tolist(), models, h)
+        out[:, mine] = own, best
+    return out[0], out[1], n
+
+
+def _perplexities(col: pa.Array, langs: list[str], models: Models, half: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    code, off = four_grams(col)
+    n = np.diff(off)
+    parts = -(-n // PART)
+    owner = np.repeat(np.arange(len(n)), parts)
+    rank = np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)
+    edges = off[owner] + rank * PART
+    own = np.zeros(len(edges))
+    best = np.full(len(edges), np.inf)
+    used = np.array(langs, object)[owner]
+    for lang in dict.fromkeys([*models.common, *langs]):
+        mine = used == lang
+        if lang in models.common and len(edges):
+            sums = np.add.reduceat(models.of(lang, half)[code], edges, dtype=np.float64)
+            best = np.minimum(best, sums)
+            own[mine] = sums[mine]
+        elif mine.any():
+            for d in np.unique(owner[mine]):
+                at = np.flatnonzero(owner == d)
+                own[at] = np.add.reduceat(models.of(lang, half)[code[off[d] : off[d + 1]]], edges[at] - off[d], dtype=np.float64)
+    best = np.minimum(best, own)
+    with np.errstate(invalid="ignore"):
+        return np.bincount(owner, own, len(n)) / n, np.bincount(owner, best, len(n)) / n, n
 
 
 def text_counts(col: pa.Array) -> dict[str, np.ndarray]:
@@ -176,28 +228,25 @@ def _score(shared, schema: pa.Schema):
             ids = batch.column(batch.schema.names.index("doc_id"))
             for lo, hi, col in slices(batch, "text"):
                 rows = text_counts(col) | {"doc_id": ids.slice(lo, hi - lo), "lang": pa.array(langs[lo:hi], pa.string())}
-                code, off = four_grams(col)
-                mean = np.full(hi - lo, np.nan)
-                for d in range(hi - lo):
-                    if off[d + 1] > off[d]:
-                        mean[d] = models[langs[lo + d]][code[off[d] : off[d + 1]]].mean(dtype=np.float64)
-                yield record(rows | {"log_ppl": pa.array(mean, pa.float64(), from_pandas=True), "n_chars": np.diff(off)}, schema)
+                own, best, n_chars = perplexities(col, langs[lo:hi], models)
+                yield record(rows | {"log_ppl": pa.array(own, pa.float64(), from_pandas=True), "parts_ppl": pa.array(best, pa.float64(), from_pandas=True), "n_chars": n_chars}, schema)
 
     return run
 
 
-SCORED = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), *((c, pa.int64()) for c in COUNT_NAMES), ("n_chars", pa.int64()), ("log_ppl", pa.float64())])
+SCORED = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), *((c, pa.int64()) for c in COUNT_NAMES), ("n_chars", pa.int64()), ("log_ppl", pa.float64()), ("parts_ppl", pa.float64())])
 
 
 REPEATS = "100 * n_repeat_words > 20 * n_words"
 
 
-def _models(docs: DataFrame, id_col: str, text_col: str, lang_col: str, most_langs: int):
-    """docs as doc_id, text and lang (of a model), and the broadcast models."""
+def _models(docs: DataFrame, id_col: str, text_col: str, lang_col: str, most_langs: int, least_docs: int):
+    """docs as doc_id, text and lang (of a model), and the broadcast models with the common languages."""
     spark = docs.sparkSession
     prepare(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit("\0null")).alias("lang"))
-    top = [r.lang for r in docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs + 1).collect()]
+    rows = docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs + 1).collect()
+    top = [r.lang for r in rows]
     if len(top) > most_langs:
         docs = docs.withColumn("lang", F.when(F.col("lang").isin(top[:most_langs]), F.col("lang")).otherwise("\0rest"))
     grams = docs.mapInArrow(_count(), "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
@@ -205,7 +254,8 @@ def _models(docs: DataFrame, id_col: str, text_col: str, lang_col: str, most_lan
     for lang, part in grams.groupby("lang"):
         part = part.sort_values("code")
         arrays[lang] = part["code"].to_numpy(np.int32), part["n"].to_numpy(np.int64)
-    return docs, spark.sparkContext.broadcast(arrays)
+    common = [r.lang for r in rows[:most_langs] if r["count"] >= least_docs and r.lang not in ("\0null", "\0rest") and {"0" + r.lang, "1" + r.lang} & arrays.keys()]
+    return docs, spark.sparkContext.broadcast((arrays, common))
 
 
 def _scored(docs: DataFrame, shared) -> DataFrame:
@@ -214,27 +264,30 @@ def _scored(docs: DataFrame, shared) -> DataFrame:
     return scored.withColumn("base_failed", (F.col("n_words") < 10) | F.expr(REPEATS)).withColumn("class", F.floor(F.log2(F.col("n_chars") + 1)))
 
 
-def _bands(scored: DataFrame, below: float, above: float, floor: float, least_docs: int) -> DataFrame:
-    """low and high of each language and length class that has enough documents: from exact quartiles of log perplexities
-    rounded to 1/1000, by a histogram, so every run finds the same."""
-    bins = scored.where("not base_failed and log_ppl is not null").groupBy("lang", "class", F.round("log_ppl", 3).alias("bin")).agg(F.count("*").alias("m"))
-    whole = Window.partitionBy("lang", "class")
-    bins = bins.select("lang", "class", "bin", F.sum("m").over(whole.orderBy("bin")).alias("upto"), F.sum("m").over(whole).alias("docs")).where(F.col("docs") >= least_docs)
+def _bands(scored: DataFrame, below: float, above: float, parts_above: float, floor: float, least_docs: int) -> DataFrame:
+    """low, high and parts_high of each language and length class that has enough documents: from exact quartiles of log
+    perplexities rounded to 1/1000, by a histogram, so every run finds the same."""
+    scores = F.explode(F.array(*[F.struct(F.lit(c).alias("kind"), F.round(c, 3).alias("bin")) for c in ("log_ppl", "parts_ppl")])).alias("s")
+    bins = scored.where("not base_failed and log_ppl is not null").select("lang", "class", scores).groupBy("lang", "class", "s.kind", "s.bin").agg(F.count("*").alias("m"))
+    whole = Window.partitionBy("lang", "class", "kind")
+    bins = bins.select("lang", "class", "kind", "bin", F.sum("m").over(whole.orderBy("bin")).alias("upto"), F.sum("m").over(whole).alias("docs")).where(F.col("docs") >= least_docs)
     quartiles = F.array(*[F.min(F.when(F.col("upto") >= p * F.col("docs"), F.col("bin"))) for p in (0.25, 0.5, 0.75)])
     spread = F.greatest(F.col("q")[2] - F.col("q")[0], F.lit(floor))
-    return bins.groupBy("lang", "class").agg(quartiles.alias("q")).select("lang", "class", (F.col("q")[1] - below * spread).alias("low"), (F.col("q")[1] + above * spread).alias("high"))
+    found = bins.groupBy("lang", "class", "kind").agg(quartiles.alias("q")).select("lang", "class", F.col("kind") == "parts_ppl", F.col("q")[1], spread).toDF("lang", "class", "parts", "mid", "spread")
+    limits = [F.max(F.when(F.col("parts") == F.lit(parts), F.col("mid") + k * F.col("spread"))).alias(name) for name, parts, k in (("low", False, -below), ("high", False, above), ("parts_high", True, parts_above))]
+    return found.groupBy("lang", "class").agg(*limits)
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", below: float = 4.0, above: float = 28.0, floor: float = 0.02, least_docs: int = 200, most_langs: int = 16) -> DataFrame:
-    """doc_id, the counts of text_counts(), base_failed, kept, log_ppl and the band's low and high, a row for each of docs."""
-    lean, shared = _models(docs, id_col, text_col, lang_col, most_langs)
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", below: float = 4.0, above: float = 28.0, parts_above: float = 8.0, floor: float = 0.02, least_docs: int = 200, most_langs: int = 16) -> DataFrame:
+    """doc_id, the counts of text_counts(), base_failed, kept, log_ppl with the band's low and high, and parts_ppl with its parts_high, a row for each of docs."""
+    lean, shared = _models(docs, id_col, text_col, lang_col, most_langs, least_docs)
     scored = _scored(lean, shared)
-    bands = _bands(scored, below, above, floor, least_docs)
-    inside = F.coalesce(F.col("log_ppl").between(F.col("low"), F.col("high")), F.lit(True))
-    return scored.join(F.broadcast(bands), ["lang", "class"], "left").select("doc_id", *COUNT_NAMES, "base_failed", (~F.col("base_failed") & inside).alias("kept"), "log_ppl", "low", "high")
+    bands = _bands(scored, below, above, parts_above, floor, least_docs)
+    inside = F.coalesce((F.col("log_ppl") >= F.col("low")) & (F.col("parts_ppl") <= F.least("high", "parts_high")), F.lit(True))
+    return scored.join(F.broadcast(bands), ["lang", "class"], "left").select("doc_id", *COUNT_NAMES, "base_failed", (~F.col("base_failed") & inside).alias("kept"), "log_ppl", "low", "high", "parts_ppl", "parts_high")
 
 
-def _filter(shared, bands: dict[tuple[str, int], tuple[float, float]], text_col: str):
+def _filter(shared, bands: dict[tuple[str, int], tuple[float, float, float]], text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models = Models(shared.value)
         for batch in batches:
@@ -242,27 +295,28 @@ def _filter(shared, bands: dict[tuple[str, int], tuple[float, float]], text_col:
             keep: list[bool] = []
             for lo, hi, col in slices(batch, text_col):
                 counts = text_counts(col)
-                code, off = four_grams(col)
+                own, best, n_chars = perplexities(col, langs[lo:hi], models)
                 words, again = counts["n_words"], counts["n_repeat_words"]
                 fine = (words >= 10) & (100 * again <= 20 * words)
                 for d in range(hi - lo):
-                    band = bands.get((langs[lo + d], (int(off[d + 1] - off[d]) + 1).bit_length() - 1))
-                    keep.append(bool(fine[d]) and (band is None or band[0] <= models[langs[lo + d]][code[off[d] : off[d + 1]]].mean(dtype=np.float64) <= band[1]))
+                    band = bands.get((langs[lo + d], (int(n_chars[d]) + 1).bit_length() - 1))
+                    keep.append(bool(fine[d]) and (band is None or bool(band[0] <= own[d] and best[d] <= min(band[1:]))))
             if len(batch):
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", below: float = 4.0, above: float = 28.0, floor: float = 0.02, least_docs: int = 200, most_langs: int = 16) -> DataFrame:
+def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", below: float = 4.0, above: float = 28.0, parts_above: float = 8.0, floor: float = 0.02, least_docs: int = 200, most_langs: int = 16) -> DataFrame:
     """The rows of docs that quality_rules() keeps, all columns as they are. Rows are scored once more instead of joined
     with their verdicts, so no text is shuffled."""
-    lean, shared = _models(docs, id_col, text_col, lang_col, most_langs)
+    lean, shared = _models(docs, id_col, text_col, lang_col, most_langs, least_docs)
     scored = _scored(lean, shared)
-    bands = {(r.lang, r["class"]): (r.low, r.high) for r in _bands(scored, below, above, floor, least_docs).collect()}
+    bands = {(r.lang, r["class"]): (r.low, r.high, r.parts_high) for r in _bands(scored, below, above, parts_above, floor, least_docs).collect()}
     release(scored)
     known = F.coalesce(F.col(lang_col).cast("string"), F.lit("\0null"))
-    if shared.value.keys() & {"\0rest"}:
-        known = F.when(known.isin(*shared.value), known).otherwise("\0rest")
+    named = {name[1:] for name in shared.value[0]}
+    if "\0rest" in named:
+        known = F.when(known.isin(*named), known).otherwise("\0rest")
     marked = docs.withColumn("__lang", known)
     return marked.mapInArrow(_filter(shared, bands, text_col), marked.schema).drop("__lang")

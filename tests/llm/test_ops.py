@@ -189,6 +189,23 @@ def test_perplexity_band(spark):
     assert not got[999] and all(got[i] for i in range(300))
 
 
+LARGE = "/root/testdata/sf0.1"
+
+
+@pytest.mark.skipif(not os.path.isdir(LARGE), reason="no test tables")
+def test_upper_band_with_production_parameters(spark):
+    docs = spark.read.parquet(f"{LARGE}/documents.parquet").where("lang in ('de', 'en') and n_chars between 1023 and 2046").select("doc_id", "text", "lang")
+    assert docs.count() >= 400
+    clean = docs.join(spark.read.parquet(f"{LARGE}/labels.parquet").where("quality = 1").select("doc_id").distinct(), "doc_id")
+    texts = {x: clean.where(F.col("lang") == x).orderBy("doc_id").limit(9).collect() for x in ("de", "en")}
+    rng = np.random.default_rng(3)
+    rows = [(-1 - k, " ".join("".join(rng.choice(list("0123456789abcdef"), 8)) for _ in range(150)), x) for k, x in enumerate(("de", "en"))]
+    rows += [(-10 - k, a.text[:800] + "\n" + b.text[:800], x) for k, (a, b) in enumerate(zip(texts["de"], texts["en"])) for x in ("de", "en")[k % 2 :][:1]]
+    got = {r.doc_id: r for r in quality_rules.quality_rules(docs.unionAll(spark.createDataFrame(rows, docs.schema))).where("doc_id < 0").collect()}
+    assert not any(r.base_failed for r in got.values()) and len(got) == len(rows) == 11
+    assert {i for i, r in got.items() if not r.kept} == {-1, -2}
+
+
 @tables
 def test_language_query(spark):
     docs = {r.doc_id: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
