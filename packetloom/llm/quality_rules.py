@@ -13,7 +13,11 @@ Log perplexities (per character) are compared within language and length class:
 rejected; spread is the interquartile range, `floor` at least. Clean text that changes language scores high under one model, so
 for the upper side the parts of a text (PART characters) are scored each by the model that fits it best, its own language's or
 that of a named one with `least_docs` rows: mixed languages score like plain text then. A document whose parts score is over
-median + above * spread, or over median + parts_above * spread of these scores, is rejected: junk that no model fits. Classes of fewer than `least_docs` documents have no band.
+median + above * spread, or over median + parts_above * spread of these scores, is rejected: junk that no model fits. Classes of fewer than
+`least_docs` documents take the band of the classes up to 1, 2, 4 or 8 steps of length around, or else of the whole language, or else
+of all documents: the first of these that holds `least_docs`, and all documents in any case, so every document past the base rules
+meets a band at every size. Means
+over half the characters scatter sqrt(2) times as much, so a spread is widened by that for each step taken in, 4 at most.
 
 Defined cases: null text has no words and fails the base rules, like every text of under 10 words; null lang is a
 language of its own; repeated rows count as often as they stand; other columns may bear any name and are ignored.
@@ -26,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textvec
@@ -264,18 +268,37 @@ def _scored(docs: DataFrame, shared) -> DataFrame:
     return scored.withColumn("base_failed", (F.col("n_words") < 10) | F.expr(REPEATS)).withColumn("class", F.floor(F.log2(F.col("n_chars") + 1)))
 
 
+REACH = (0, 1, 2, 4, 8)  # how many length classes to each side a band may take in
+
+
 def _bands(scored: DataFrame, below: float, above: float, parts_above: float, floor: float, least_docs: int) -> DataFrame:
-    """low, high and parts_high of each language and length class that has enough documents: from exact quartiles of log
-    perplexities rounded to 1/1000, by a histogram, so every run finds the same."""
+    """low, high and parts_high of each language and length class with documents past the base rules, from its own documents or
+    the first wider group that has enough: from exact quartiles of log perplexities rounded to 1/1000, by a histogram, so
+    every run finds the same."""
     scores = F.explode(F.array(*[F.struct(F.lit(c).alias("kind"), F.round(c, 3).alias("bin")) for c in ("log_ppl", "parts_ppl")])).alias("s")
     bins = scored.where("not base_failed and log_ppl is not null").select("lang", "class", scores).groupBy("lang", "class", "s.kind", "s.bin").agg(F.count("*").alias("m"))
-    whole = Window.partitionBy("lang", "class", "kind")
-    bins = bins.select("lang", "class", "kind", "bin", F.sum("m").over(whole.orderBy("bin")).alias("upto"), F.sum("m").over(whole).alias("docs")).where(F.col("docs") >= least_docs)
+    classes = bins.select("lang", "class").distinct()
+
+    def group(level: int, lang: Column, of: Column) -> Column:
+        return F.struct(F.lit(level).alias("level"), lang.alias("of_lang"), of.cast("long").alias("of_class"))
+
+    near = [group(k, F.col("lang"), F.col("class") + d) for k, r in enumerate(REACH) for d in range(-r, r + 1)]
+    wide = [group(len(REACH), F.col("lang"), F.lit(0)), group(len(REACH) + 1, F.lit(""), F.lit(0))]
+    dealt = bins.select(F.explode(F.array(*near, *wide)).alias("g"), "kind", "bin", "m").groupBy("g.level", "g.of_lang", "g.of_class", "kind", "bin").agg(F.sum("m").alias("m"))
+    keys = ["level", "of_lang", "of_class", "kind"]
+    whole = Window.partitionBy(*keys)
+    dealt = dealt.select(*keys, "bin", F.sum("m").over(whole.orderBy("bin")).alias("upto"), F.sum("m").over(whole).alias("docs")).where((F.col("docs") >= least_docs) | (F.col("level") == len(REACH) + 1))
     quartiles = F.array(*[F.min(F.when(F.col("upto") >= p * F.col("docs"), F.col("bin"))) for p in (0.25, 0.5, 0.75)])
     spread = F.greatest(F.col("q")[2] - F.col("q")[0], F.lit(floor))
-    found = bins.groupBy("lang", "class", "kind").agg(quartiles.alias("q")).select("lang", "class", F.col("kind") == "parts_ppl", F.col("q")[1], spread).toDF("lang", "class", "parts", "mid", "spread")
+    found = dealt.groupBy(*keys).agg(quartiles.alias("q")).select(*keys[:3], F.col("kind") == "parts_ppl", F.col("q")[1], spread).toDF(*keys[:3], "parts", "mid", "spread")
+    widened = F.element_at(F.array(*[F.lit(2.0 ** (min(r, 4) / 2)) for r in (*REACH, 4, 4)]), F.col("level") + 1)
+    found = found.withColumn("spread", F.col("spread") * widened)
     limits = [F.max(F.when(F.col("parts") == F.lit(parts), F.col("mid") + k * F.col("spread"))).alias(name) for name, parts, k in (("low", False, -below), ("high", False, above), ("parts_high", True, parts_above))]
-    return found.groupBy("lang", "class").agg(*limits)
+    found = found.groupBy(*keys[:3]).agg(*limits)
+    own = [group(k, F.col("lang"), F.col("class")) for k in range(len(REACH))]
+    wanted = classes.select("lang", "class", F.explode(F.array(*own, *wide)).alias("g")).select("lang", "class", "g.*")
+    best = F.min(F.struct("level", "low", "high", "parts_high")).alias("b")
+    return wanted.join(found, keys[:3]).groupBy("lang", "class").agg(best).select("lang", "class", "b.low", "b.high", "b.parts_high")
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", below: float = 4.0, above: float = 28.0, parts_above: float = 8.0, floor: float = 0.02, least_docs: int = 200, most_langs: int = 16) -> DataFrame:

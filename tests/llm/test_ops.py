@@ -189,6 +189,14 @@ def test_perplexity_band(spark):
     assert not got[999] and all(got[i] for i in range(300))
 
 
+@tables
+def test_every_document_meets_a_band(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = [r for r in quality_rules.quality_rules(docs).collect() if not r.base_failed]
+    assert len(got) > 50 and all(r.low is not None and r.high is not None and r.parts_high is not None for r in got)
+    assert Counter(x.doc_id for x in quality_rules.keep_good(docs).collect()) == Counter(r.doc_id for r in got if r.kept)
+
+
 LARGE = "/root/testdata/sf0.1"
 
 
