@@ -15,22 +15,24 @@ Spread over a cluster, in four written steps:
    In short lists,
    postings whose length and position rule out every link are dropped. The set with the smallest share of rare shingles leads a list.
 3. A leader with the members of all its lists is a block. Every linked pair shares a list, hence a block. Texts
-   join their blocks; blocks over `chunk` shingles are dealt out as pairs of chunks, so no task gets more than two.
-4. In a block members are first held against the leader. Those linked with it are one component already,
-   so only the others search: heap-merge of short lists, binary probes of long ones, exact overlap. Edges
+   join their blocks; blocks over `chunk` shingles are dealt out in chunks, each with the leader.
+4. In a chunk members are first held against the leader. Those linked with it are one component already,
+   so only the others search: merge of the short lists, binary probes of long ones, exact overlap. What is left unlinked in a block
+   of several chunks searches the other chunks too, a pair of chunks a task, so no task gets more than two. Edges
    of a spanning forest come out; connected components follow.
 
 Nothing is capped or sampled: steps 2 to 4 see every node, and links are exact up to 64-bit hash
 collisions. The driver gets only the `frequent` shingles (16 bytes each, a fixed bound).
 
+Components are exact; links inside a component are not all visited, so none are counted.
+
 Defined cases: null or blank text has an empty set, n_shingles 0, and is its own component. Rows that repeat
-a doc_id share one component row each; a null doc_id is its own component (null) unless it links.
+a doc_id share one component row each; rows with a null doc_id link like others, and a component of such rows only is null.
 Columns other than the two named are ignored, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import heapq
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -46,11 +48,11 @@ from .runtime import most_common, partitions, prepare, record, release, slices,
 SCAN = pa.schema([("kind", pa.int8()), ("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("token", pa.int64()), ("seen", pa.int64())])
 POST = pa.schema([("bucket", pa.int32()), ("postings", pa.binary())])
 MEMBER = pa.schema([("block", pa.int64()), ("node", pa.int64()), ("n", pa.int64())])
-EDGE = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+EDGE = pa.schema([("kind", pa.int8()), ("u", pa.int64()), ("v", pa.int64())])  # 0: a link; 1: block and a member that its leader doesn't link with
+NAMED = pa.schema([("node", pa.int64()), ("text", pa.string())])
 POSTING = np.dtype([("token", "<u8"), ("node", "<i8"), ("n", "<u4"), ("pos", "<u4"), ("rare", "<u2")])
 BLOCK_TOKENS = 1 << 22  # shingles counted together before the rare ones among them are forgotten
 FLUSH = 1 << 20  # postings packed at once
-HEAPED = 2048  # postings in short lists that are merged by a heap; more are counted in an array
 PAIRED = 24  # lists of up to so many postings are thinned pair by pair
 
 
@@ -210,17 +212,10 @@ def divide_skip(query: np.ndarray, index: dict[int, list[int] | np.ndarray], lea
         return {}
     longest = len(lists[-1])
     aside = min(least - 1, int(least / (0.0085 * np.log2(longest + 1) + 1)))
-    short, long = lists[: len(lists) - aside], lists[len(lists) - aside :]
-    if sum(map(len, short)) <= HEAPED:
-        merged: dict[int, int] = {}
-        for member in heapq.merge(*short):
-            merged[member] = merged.get(member, 0) + 1
-        found = {m: c for m, c in merged.items() if c >= least - aside}
-        members, counts = np.fromiter(found, np.int64, len(found)), np.fromiter(found.values(), np.int64, len(found))
-    else:  # the same counts, scattered into an array
-        seen = np.bincount(np.concatenate(short))
-        members = np.flatnonzero(seen >= least - aside)
-        counts = seen[members]
+    short, long = lists[: len(lists) - aside], lists[len(lists) - aside :]  # the shortest is always short: aside < least
+    merged = np.sort(np.concatenate(short), kind="stable")  # a merge of sorted runs: equal members meet
+    edge = np.flatnonzero(np.append(True, merged[1:] != merged[:-1]))
+    members, counts = merged[edge], np.diff(np.append(edge, len(merged)))
     for k, one in enumerate(long):
         fit = counts + (aside - k) >= least
         members, counts = members[fit], counts[fit]
@@ -237,8 +232,20 @@ def divide_skip(query: np.ndarray, index: dict[int, list[int] | np.ndarray], lea
     return dict(zip(members[fit].tolist(), counts[fit].tolist()))
 
 
-def linked_pairs(sets: list[np.ndarray], num: int, den: int, lead: int = 0) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the link graph on `sets`."""
+def _index(sets: list[np.ndarray], wanted: np.ndarray) -> dict[int, np.ndarray]:
+    """The inverted lists of the wanted tokens, members by number."""
+    every = np.concatenate(sets)
+    member = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    at = np.minimum(np.searchsorted(wanted, every), len(wanted) - 1)
+    hit = np.flatnonzero(wanted[at] == every)
+    order = hit[np.argsort(at[hit], kind="stable")]  # members stay in order within a list
+    token, member = every[order], member[order]
+    cut = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else np.zeros(0, np.int64)
+    return dict(zip(token[cut].tolist(), np.split(member, cut[1:]))) if len(cut) else {}
+
+
+def linked_pairs(sets: list[np.ndarray], num: int, den: int, lead: int = 0) -> tuple[list[tuple[int, int]], list[int]]:
+    """Edges of a spanning forest of the link graph on `sets`, and the members that don't link with the leader."""
     n, edges, forest = len(sets), [], Forest(len(sets))
     sizes = np.array([len(s) for s in sets])
     head = sets[lead]
@@ -250,56 +257,75 @@ def linked_pairs(sets: list[np.ndarray], num: int, den: int, lead: int = 0) -> l
         if forest.join(lead, int(x)):
             edges.append((lead, int(x)))
     others = np.flatnonzero(~near).tolist()
-    if not others or (len(others) == 1 and int(near.sum()) == 1):
-        return edges
-    wanted = np.unique(np.concatenate([sets[o] for o in others]))
-    index: dict[int, list[int]] = {}
-    for x, s in enumerate(sets):  # in order of member number, so every list is sorted
-        at = np.minimum(np.searchsorted(wanted, s), len(wanted) - 1)
-        for t in s[wanted[at] == s].tolist():
-            index.setdefault(t, []).append(x)
-    if len(sets) > 64:
-        index = {t: np.array(x, np.int64) for t, x in index.items()}
+    if not others or n == 2:
+        return edges, others
+    index = _index(sets, np.unique(np.concatenate([sets[o] for o in others])))
     for o in others:
-        own = len(sets[o])
-        for x, count in divide_skip(sets[o], index, -(-num * own // den)).items():
-            if x != o and count * (num + den) >= num * (own + int(sizes[x])) and forest.join(o, x):
+        for x in partners(sets[o], index, sizes, num, den):
+            if x != o and forest.join(o, x):
                 edges.append((o, x))
-    return edges
+    return edges, others
 
 
-def _blocks(k: int, num: int, den: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, nodes, sets = None, [], []
+def partners(query: np.ndarray, index: dict[int, np.ndarray], sizes: np.ndarray, num: int, den: int) -> list[int]:
+    """The members that the query links with (itself, if it is one)."""
+    own = len(query)
+    found = divide_skip(query, index, -(-num * own // den))
+    return [x for x, count in found.items() if count * (num + den) >= num * (own + int(sizes[x]))]
+
 
-        def search() -> list[tuple[int, int]]:
-            if len(nodes) < 2:
-                return []
-            lead = nodes.index(key[0]) if key[0] in nodes else 0
-            return [(nodes[a], nodes[b]) for a, b in linked_pairs(sets, num, den, lead)]
+def _search(key: tuple, rows: list[tuple[int, bool, np.ndarray]], num: int, den: int) -> list[tuple[int, int, int]]:
+    """What the members of one cell say: rows of EDGE. Queries of a cell of two chunks are held against the others only."""
+    block, one, two, whole = key
+    if len(rows) < 2:
+        return []
+    nodes, sets = [r[0] for r in rows], [r[2] for r in rows]
+    if one == two:
+        edges, open_ = linked_pairs(sets, num, den, nodes.index(block))
+        return [(0, nodes[a], nodes[b]) for a, b in edges] + ([] if whole else [(1, block, nodes[x]) for x in open_])
+    asks, others = [r for r in rows if r[1]], [r for r in rows if not r[1]]
+    if not asks or not others:
+        return []
+    index = _index([r[2] for r in others], np.unique(np.concatenate([r[2] for r in asks])))
+    sizes = np.array([len(r[2]) for r in others])
+    return [(0, node, others[x][0]) for node, _, s in asks for x in partners(s, index, sizes, num, den)]
 
+
+def _blocks(k: int, num: int, den: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows = None, []
         for batch in batches:
-            keys = list(zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("block", "one", "two"))))
-            names = batch.column(batch.schema.get_field_index("node")).to_pylist()
-            found: list[tuple[int, int]] = []
+            keys = list(zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("block", "one", "two", "whole"))))
+            names, asks = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("node", "asks"))
+            found: list[tuple[int, int, int]] = []
             for lo, hi, col in slices(batch, "text"):
                 for i, s in enumerate(textvec.shingle_sets(col, k), lo):
                     if keys[i] != key:
-                        found += search()
-                        key, nodes, sets = keys[i], [], []
-                    if names[i] == textvec.set_signature(s) and (not nodes or nodes[-1] != names[i]):  # else another text under the same doc_id
-                        nodes.append(names[i])
-                        sets.append(s)
+                        found += _search(key, rows, num, den) if rows else []
+                        key, rows = keys[i], []
+                    if names[i] == textvec.set_signature(s) and (not rows or rows[-1][0] != names[i]):  # else another text under the same doc_id
+                        rows.append((names[i], asks[i], s))
             if found:
-                yield record({"u": [a for a, _ in found], "v": [b for _, b in found]}, EDGE)
-        if found := search():
-            yield record({"u": [a for a, _ in found], "v": [b for _, b in found]}, EDGE)
+                yield record(dict(zip(EDGE.names, zip(*found))), EDGE)
+        if rows and (found := _search(key, rows, num, den)):
+            yield record(dict(zip(EDGE.names, zip(*found))), EDGE)
+
+    return run
+
+
+def _nodes_of(k: int):
+    """The nodes of texts, with their texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, col in slices(batch, "text"):
+                yield record({"node": [textvec.set_signature(s) for s in textvec.shingle_sets(col, k)], "text": col.cast(pa.string())}, NAMED)
 
     return run
 
 
 def _ddl(schema: pa.Schema) -> str:
-    kinds = {pa.int8(): "tinyint", pa.int32(): "int", pa.int64(): "long", pa.binary(): "binary"}
+    kinds = {pa.int8(): "tinyint", pa.string(): "string", pa.int32(): "int", pa.int64(): "long", pa.binary(): "binary"}
     return ", ".join(f"{f.name} {kinds[f.type]}" for f in schema)
 
 
@@ -346,26 +372,39 @@ def jaccard_components(
     members = written(posted.repartition(parts, "bucket").mapInArrow(_lists(num, den), _ddl(MEMBER)).distinct(), "members")
 
     sized = members.groupBy("block").agg(F.least(F.ceil(F.sum("n") / chunk), F.ceil(F.count("*") / 8)).cast("int").alias("chunks"))
-    spread = F.when(F.col("chunks") == 1, F.array(F.struct(F.lit(0).alias("one"), F.lit(0).alias("two"))))
     mine = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
-    others = F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: c != mine)
-    everyone = F.flatten(F.transform(F.sequence(F.lit(0), F.col("chunks") - 2), lambda a: F.transform(F.sequence(a + 1, F.col("chunks") - 1), lambda b: F.struct(a.alias("one"), b.alias("two")))))
-    spread = spread.when(F.col("node") == F.col("block"), everyone).otherwise(
-        F.transform(others, lambda c: F.struct(F.least(mine, c).alias("one"), F.greatest(mine, c).alias("two")))
-    )
-    cells = members.join(sized, "block").select("block", "node", F.explode(spread).alias("cell")).select("block", "node", "cell.one", "cell.two")
-    placed = cells.join(reps, "node").select("block", "node", "one", "two", F.col("rep").alias("doc_id"))
-    texts = docs.join(placed.select("doc_id").distinct(), "doc_id", "left_semi")
-    cut = (
-        placed.join(texts, "doc_id")
-        .repartition(parts, "block", "one", "two").sortWithinPartitions("block", "one", "two", "node")
-    )
-    edges = written(cut.select("block", "one", "two", "node", "text").mapInArrow(_blocks(k, num, den), _ddl(EDGE)).distinct(), "links")
-
-    by_doc = edges.join(reps.select(F.col("node").alias("u"), F.col("rep").alias("a")), "u").join(reps.select(F.col("node").alias("v"), F.col("rep").alias("b")), "v")
-    roots = components(by_doc.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    release(members)
-    release(edges)
-    named = reps.join(roots, reps["rep"] == roots["node"], "left").select(reps["node"], F.coalesce("root", "rep").alias("component_id"))
+    dealt = members.join(sized, "block").withColumn("mine", mine)
+    nameless = not rows.where("doc_id is null and n > 0").isEmpty()
+
+    def searched(cells: DataFrame) -> DataFrame:
+        """cells (block, node, one, two, whole, asks) with the texts of their nodes, searched cell by cell."""
+        placed = cells.join(reps, "node").select("block", "node", "one", "two", "whole", "asks", F.col("rep").alias("doc_id"))
+        wanted = docs.join(placed.select("doc_id").distinct(), "doc_id", "left_semi")
+        cut = placed.join(wanted, "doc_id").drop("doc_id")
+        if nameless:  # nodes that have null ids only are told by their texts
+            texts = docs.where("doc_id is null and text is not null").select("text").mapInArrow(_nodes_of(k), "node long, text string").groupBy("node").agg(F.min("text").alias("text"))
+            cut = cut.unionByName(placed.where("doc_id is null").drop("doc_id").join(texts, "node"))
+        cut = cut.repartition(parts, "block", "one", "two").sortWithinPartitions("block", "one", "two", "node")
+        return cut.select("block", "one", "two", "whole", "asks", "node", "text").mapInArrow(_blocks(k, num, den), _ddl(EDGE)).distinct()
+
+    homes = F.when(F.col("node") == F.col("block"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array("mine"))
+    first = dealt.select("block", "node", F.explode(homes).alias("one"), (F.col("chunks") == 1).alias("whole")).select("*", F.col("one").alias("two"), F.lit(True).alias("asks"))
+    found = written(searched(first), "links")
+    tables = [found]
+    open_ = found.where("kind = 1").select(F.col("u").alias("block"), F.col("v").alias("node"))
+    if not open_.isEmpty():
+        asking = open_.join(dealt.select("block", "node", "mine", "chunks"), ["block", "node"])
+        others = F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: c != F.col("mine"))
+        queries = asking.select("block", "node", F.col("mine").alias("one"), F.explode(others).alias("two"), F.lit(True).alias("asks"))
+        chunks = asking.select("block", F.col("mine").alias("one")).distinct()
+        answers = dealt.join(chunks, "block").where("mine <> one").select("block", "node", "one", F.col("mine").alias("two"), F.lit(False).alias("asks"))
+        tables.append(written(searched(queries.unionByName(answers).withColumn("whole", F.lit(False))), "links"))
+    edges = tables[0] if len(tables) == 1 else tables[0].unionAll(tables[1])
+    roots = components(edges.where("kind = 0").select("u", "v"))
+    for df in (members, *tables):
+        release(df)
+    rooted = roots.unionAll(roots.select(F.col("root").alias("node"), "root").distinct()).join(reps, "node")
+    least = rooted.groupBy("root").agg(F.min("rep").alias("least"))
+    named = reps.join(rooted.join(least, "root").select("node", "least"), "node", "left").select("node", F.coalesce("least", "rep").alias("component_id"))
     full = rows.where("n > 0").join(named, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return full.unionAll(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))

@@ -127,9 +127,12 @@ def _delete():
                 if text is None:
                     rows.append((doc, None, 0, 0, 0))
                     continue
-                lines = text.split("\n")
-                gone = {i for s in cut or () for i in range(s["first"], s["last"] + 1) if i < len(lines)}
-                kept = text if not gone else "\n".join(x for i, x in enumerate(lines) if i not in gone)
+                lines, gone, upto = text.split("\n"), [], 0
+                for s in cut or ():  # in order of first lines
+                    gone += range(max(upto, s["first"]), min(s["last"] + 1, len(lines)))
+                    upto = max(upto, s["last"] + 1)
+                out = set(gone)
+                kept = text if not gone else "\n".join(x for i, x in enumerate(lines) if i not in out)
                 rows.append((doc, kept, len(lines), len(gone), sum(len(lines[i].split()) for i in gone)))
             if rows:
                 yield record(dict(zip(schema.names, zip(*rows))), schema)

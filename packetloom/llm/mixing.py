@@ -11,7 +11,7 @@ Only the counts by (source, length) meet in one task per source, never documents
 buckets, so no window holds a whole length of a hot source.
 
 Defined cases: null source is a source, last in order; null or blank text has size 0 and is never taken; rows that are alike in all of
-id, source and text are interchangeable; an empty table gives an empty result.
+id, source and text are interchangeable; an empty table gives an empty result. Other columns may bear any name but those of the four results.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from .runtime import prepare, written
 
 DP_WORDS = 1 << 15  # the most words that are fitted by dynamic programming
+PLAN_ROWS = 100_000  # sources whose plan is broadcast (some 60 bytes each); more are merge-joined
 
 
 def targets(sizes: dict, weights: list[float], most: float) -> dict:
@@ -107,45 +108,50 @@ def mix(docs: DataFrame, weights: list[float] = (1, 2, 3), most: float = 3.0, se
     """docs (only their id as doc_id, if not with_texts) with __size, __source_size, __target and __taken (words taken, repeats counted)."""
     spark = docs.sparkSession
     prepare(spark)
-    sized = docs.withColumns({"__size": words(F.col(text_col).cast("string")), "__source": F.col(source_col).cast("string"), "__hash": F.xxhash64(F.lit(seed), F.col(id_col).cast("string"), F.col(text_col).cast("string"))})
-    lean = written(sized.select(F.col(id_col).cast("long").alias("doc_id"), "__size", "__source", "__hash"), "lengths")
-    per_source = lean.groupBy("__source").agg(F.sum("__size").alias("n")).collect()
-    order = sorted(((r["__source"], r.n) for r in per_source), key=lambda x: (x[0] is None, (x[0] or "").encode()))
+    # the rows of docs travel in one column, so none of theirs can clash with those of the plan
+    def sized(*row: Column) -> DataFrame:
+        text = F.col(text_col).cast("string")
+        return docs.select(F.struct(*row).alias("row"), words(text).alias("size"), F.col(source_col).cast("string").alias("source"), F.xxhash64(F.lit(seed), F.col(id_col).cast("string"), text).alias("hash"))
+
+    lean = written(sized(F.col(id_col).cast("long").alias("doc_id")), "lengths")
+    per_source = lean.groupBy("source").agg(F.sum("size").alias("n")).collect()
+    order = sorted(((r["source"], r.n) for r in per_source), key=lambda x: (x[0] is None, (x[0] or "").encode()))
     goal = targets(dict(order), list(weights), most)
     plan = []
     for i, (s, n) in enumerate(order):
         whole = int(min(goal[s] // n, most)) if n else 0
         plan.append((i, s, int(n), float(goal[s]), whole, int(round(goal[s] - whole * n)) if n else 0))
-    plan = spark.createDataFrame(plan, "part int, p_source string, __source_size long, __target double, __whole int, budget long")
+    plan = spark.createDataFrame(plan, "part int, p_source string, source_size long, target double, whole int, budget long")
+    plan = F.broadcast(plan) if len(order) <= PLAN_ROWS else plan.hint("merge")  # one row a source
 
     def placed(rows: DataFrame) -> DataFrame:
-        return rows.join(F.broadcast(plan), rows["__source"].eqNullSafe(plan["p_source"]))
+        return rows.join(plan, rows["source"].eqNullSafe(plan["p_source"])).drop("source", "p_source")
 
-    rows = placed(lean).where("__size > 0").select("part", "__size", "__hash", "budget")
-    counts = rows.groupBy("part", "__size", "budget").agg(F.count("*").alias("docs"))
-    fitted = counts.withColumnRenamed("__size", "size").groupBy("part").applyInPandas(_fit, "part int, size long, take long").where("take > 0")
-    fitted = written(fitted.withColumnRenamed("size", "__size"), "fit")
+    rows = placed(lean).where("size > 0").select("part", "size", "hash", "budget")
+    counts = rows.groupBy("part", "size", "budget").agg(F.count("*").alias("docs"))
+    fitted = written(counts.groupBy("part").applyInPandas(_fit, "part int, size long, take long").where("take > 0"), "fit")
 
     # the take-th least hash of each (source, length): buckets of hashes are counted, one of them is sorted
-    rows = rows.withColumn("__bucket", F.shiftrightunsigned("__hash", 54))
-    filled = rows.groupBy("part", "__size", "__bucket").agg(F.count("*").alias("m"))
-    before = F.coalesce(F.sum("m").over(Window.partitionBy("part", "__size").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    edge = filled.withColumn("before", before).join(fitted, ["part", "__size"]).where("before < take and take <= before + m").select("part", "__size", "__bucket", (F.col("take") - F.col("before")).alias("room"))
-    near = rows.join(edge, ["part", "__size", "__bucket"])
-    rank = F.row_number().over(Window.partitionBy("part", "__size", "__bucket").orderBy(F.shiftrightunsigned(F.shiftleft("__hash", 10), 10)))
-    same = F.count("*").over(Window.partitionBy("part", "__size", "__bucket", "__hash"))
-    least = F.min("rank").over(Window.partitionBy("part", "__size", "__bucket", "__hash"))
+    rows = rows.withColumn("bucket", F.shiftrightunsigned("hash", 54))
+    filled = rows.groupBy("part", "size", "bucket").agg(F.count("*").alias("m"))
+    before = F.coalesce(F.sum("m").over(Window.partitionBy("part", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    edge = filled.withColumn("before", before).join(fitted, ["part", "size"]).where("before < take and take <= before + m").select("part", "size", "bucket", (F.col("take") - F.col("before")).alias("room"))
+    near = rows.join(edge, ["part", "size", "bucket"])
+    rank = F.row_number().over(Window.partitionBy("part", "size", "bucket").orderBy(F.shiftrightunsigned(F.shiftleft("hash", 10), 10)))
+    same = F.count("*").over(Window.partitionBy("part", "size", "bucket", "hash"))
+    least = F.min("rank").over(Window.partitionBy("part", "size", "bucket", "hash"))
     rule = near.withColumn("rank", rank).withColumn("ties", same).withColumn("least", least).where("rank = room")
     # rows with a hash below the edge are in; of those that share the edge's hash, as many as fit
-    rule = written(rule.select("part", "__size", F.col("__bucket").alias("e_bucket"), F.col("__hash").alias("e_hash"), (F.col("room") - F.col("least") + 1).alias("allowed"), "ties"), "edges")
+    rule = written(rule.select("part", "size", F.col("bucket").alias("e_bucket"), F.col("hash").alias("e_hash"), (F.col("room") - F.col("least") + 1).alias("allowed"), "ties"), "edges")
 
     # merged at every size: the edges grow with the corpus, so they are never broadcast
-    ruled = placed(sized if with_texts else lean).join(rule.hint("merge"), ["part", "__size"], "left")
-    here = F.shiftrightunsigned("__hash", 54)
-    low, e_low = (F.shiftrightunsigned(F.shiftleft(c, 10), 10) for c in ("__hash", "e_hash"))
+    whole = sized(*[F.col(f"`{c}`") for c in docs.columns]) if with_texts else lean
+    ruled = placed(whole).join(rule.hint("merge"), ["part", "size"], "left")
+    here = F.shiftrightunsigned("hash", 54)
+    low, e_low = (F.shiftrightunsigned(F.shiftleft(c, 10), 10) for c in ("hash", "e_hash"))
     below = (here < F.col("e_bucket")) | ((here == F.col("e_bucket")) & (low < e_low))
-    tied = F.coalesce((F.col("__hash") == F.col("e_hash")) & (F.col("allowed") < F.col("ties")), F.lit(False))
-    clear = ruled.where(~tied).withColumn("__in", F.coalesce(below | (F.col("__hash") == F.col("e_hash")), F.lit(False)))
-    split = ruled.where(tied).withColumn("__in", F.row_number().over(Window.partitionBy("part", "__size", "__hash").orderBy("__hash")) <= F.col("allowed"))
-    out = clear.unionByName(split).withColumn("__taken", (F.col("__size") * (F.col("__whole") + F.col("__in").cast("int"))).cast("long"))
-    return out.drop("part", "p_source", "__whole", "budget", "e_bucket", "e_hash", "allowed", "ties", "__in", "__hash", "__source")
+    tied = F.coalesce((F.col("hash") == F.col("e_hash")) & (F.col("allowed") < F.col("ties")), F.lit(False))
+    clear = ruled.where(~tied).withColumn("in", F.coalesce(below | (F.col("hash") == F.col("e_hash")), F.lit(False)))
+    split = ruled.where(tied).withColumn("in", F.row_number().over(Window.partitionBy("part", "size", "hash").orderBy("hash")) <= F.col("allowed"))
+    taken = (F.col("size") * (F.col("whole") + F.col("in").cast("int"))).cast("long")
+    return clear.unionByName(split).select("row.*", F.col("size").alias("__size"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), taken.alias("__taken"))

@@ -1,9 +1,10 @@
 """Quality classifier (operator 8): supervised subword embeddings, in the manner of fastText.
 
-A text's features are its words, its word pairs (all pairs of a word with itself count as one feature) and
-the byte 3- and 4-grams within its words, hashed into `1 << BITS` buckets. Each bucket has a learned
+A text's features are its words, its word pairs and the 3- and 4-grams of characters (code points) within its words,
+hashed into `1 << BITS` buckets. Each bucket has a learned
 vector; a text is the average of its features' vectors, and a softmax layer gives the label. Vectors and layer are
-trained on the driver by stochastic gradient descent in numpy, one text a step, with classes weighed to equal parts.
+trained on the driver by stochastic gradient descent in numpy, one text a step, with classes weighed to equal parts
+(few lessons are gone through more often, for `least_steps` steps); a score is a chance, so the labels' odds are added back.
 
 Training takes at most `max_rows` labelled rows (those of least seeded hash), a documented bound; what the driver gets
 is their distinct features, at most `1 << BITS` a text. Scoring covers every row: the softmax of an average of
@@ -28,38 +29,42 @@ from .runtime import prepare, record, slices
 
 BITS = 17
 DIM = 12
-TWICE = 0  # the bucket of all pairs of one word with itself
 
 
 def features(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Feature buckets of all texts of a large_string array, and their text numbers (not in order)."""
-    data, off = textvec.raw(col)
-    data = textvec.LOWER[data]
-    starts, ends, ranges = textvec.word_spans(data, off)
+    cps, off = textvec.code_points(col)
+    upper = (cps >= 65) & (cps <= 90)
+    cps = np.where(upper, cps + 32, cps).astype(np.uint64)
+    inside = ~((cps == 32) | (cps >= 9) & (cps <= 13))
+    cut = np.zeros(len(cps) + 1, bool)
+    cut[off] = True
+    begins = inside & (np.append(True, ~inside[:-1])[: len(cps)] | cut[:-1])
+    ends_ = inside & (np.append(~inside[1:], True)[: len(cps)] | cut[1:])
+    starts, ends = np.flatnonzero(begins), np.flatnonzero(ends_) + 1
     if not len(starts):
         return np.zeros(0, np.int32), np.zeros(0, np.int32)
-    owner = np.repeat(np.arange(len(col), dtype=np.int32), np.diff(ranges))
+    owner = (np.searchsorted(off, starts, side="right") - 1).astype(np.int32)
     shift = np.uint64(64 - BITS)
     with np.errstate(over="ignore"):
-        words = textvec.span_hashes(data, starts, ends)
+        words = textvec.unit_hashes(cps, starts, ends)
         out, who = [(words >> shift).astype(np.int32)], [owner]
         pairs = textvec.mix(words[:-1] * textvec._MULT[30] + words[1:]) >> shift
-        pairs = np.where(words[:-1] == words[1:], TWICE, pairs.astype(np.int32))
         near = owner[:-1] == owner[1:]
         out.append(pairs[near].astype(np.int32))
         who.append(owner[:-1][near])
         lengths = ends - starts
-        inside = np.repeat(owner, lengths)
+        of_char = np.repeat(owner, lengths)
         place = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         room = np.repeat(lengths, lengths) - place
-        byte = textvec._BYTE[data[textvec.SPACE_WORDS[data] == 1]]
-        gram = byte * textvec._MULT[20]
+        unit = textvec.mix(cps[inside] + textvec._MULT[31])
+        gram = unit * textvec._MULT[20]
         for n in (1, 2, 3):
-            gram = gram[:-1] + byte[n:] * textvec._MULT[20 + n] if len(byte) > n else gram[:0]
+            gram = gram[:-1] + unit[n:] * textvec._MULT[20 + n] if len(unit) > n else gram[:0]
             if n > 1:
                 fits = room[: len(gram)] > n
                 out.append((textvec.mix(gram[fits] + np.uint64(n)) >> shift).astype(np.int32))
-                who.append(inside[: len(gram)][fits])
+                who.append(of_char[: len(gram)][fits])
     return np.concatenate(out), np.concatenate(who)
 
 
@@ -83,7 +88,7 @@ def _lessons():
     return run
 
 
-def train(lessons: list[tuple[int, np.ndarray, np.ndarray]], epochs: int, rate: float, seed: int) -> tuple[np.ndarray, float]:
+def train(lessons: list[tuple[int, np.ndarray, np.ndarray]], epochs: int, rate: float, seed: int, least_steps: int = 24_000) -> tuple[np.ndarray, float]:
     """For each bucket the product of its vector with the layer (label 1 less label 0), and the bias; by SGD on the softmax loss."""
     labels = np.array([x[0] for x in lessons], np.int64)
     ones = labels.mean() if len(labels) else 0.5
@@ -94,6 +99,7 @@ def train(lessons: list[tuple[int, np.ndarray, np.ndarray]], epochs: int, rate:
     vectors = rng.uniform(-1 / DIM, 1 / DIM, (1 << BITS, DIM)).astype(np.float32)
     layer, bias = np.zeros((2, DIM), np.float32), np.zeros(2, np.float32)
     weigh = np.array([0.5 / (1 - ones), 0.5 / ones])
+    epochs = max(epochs, -(-least_steps // len(lessons)))
     steps, done = epochs * len(lessons), 0
     for _ in range(epochs):
         for i in rng.permutation(len(lessons)):
@@ -112,7 +118,8 @@ def train(lessons: list[tuple[int, np.ndarray, np.ndarray]], epochs: int, rate:
             layer -= np.outer(p, hidden)
             bias -= p
             vectors[used] -= np.outer(share, down)
-    return vectors @ (layer[1] - layer[0]), float(bias[1] - bias[0])
+    # the classes weighed the same so far: their odds among the lessons come back in
+    return vectors @ (layer[1] - layer[0]), float(bias[1] - bias[0] + np.log(ones / (1 - ones)))
 
 
 def _score(shared):

@@ -1,19 +1,18 @@
 """Quality rules (operator 10): text statistics, and perplexity bands of a modified Kneser-Ney model per language.
 
-Spark counts every character 4-gram of every text by language (each task adds up before it sends). From the sorted
-4-gram codes and their counts all lower orders follow (continuation counts), so only these two arrays per
-language are stored and broadcast; workers unfold them into one array of log probabilities. Codes are numbers in
-base 48 (symbol classes, see symbols.py; rarer characters share classes by hash), so a model has 48**4
-entries at most, however large the corpus. Languages beyond the `most_langs` most common share one model.
-
-Each language has two models, one for each half of the texts (by crc32 of the text, so copies stay together), and a text is scored
-by those of the other half: junk would otherwise be no surprise to a model that has learned that very text.
-
-Log perplexities (per character) are compared within language and length class: a document under median - below * spread is
-rejected; spread is the interquartile range, `floor` at least. Clean text that changes language scores high under one model, so
-for the upper side the parts of a text (PART characters) are scored each by the model that fits it best, its own language's or
-that of a named one with `least_docs` rows: mixed languages score like plain text then. A document whose parts score is over
-median + above * spread, or over median + parts_above * spread of these scores, is rejected: junk that no model fits. Classes of fewer than
+Spark counts every 4-gram of symbols of every text by language; the models are sorted hash arrays that grow with the corpus
+(see kneser_ney.py), dealt out in blocks of at most `bound` 4-grams where they are large. Each language has a model of its own,
+and one pooled model holds the counts of all languages together.
+
+Each model comes in two, one for each half of the texts (by crc32 of the text, so copies stay together), and a text is scored by
+those of the other half: junk would otherwise be no surprise to a model that has learned that very text.
+
+Log perplexities (per character) are compared within language and length class. A document whose score by its language's model is
+under median - below * spread is rejected: text that repeats what the model knows by heart. Clean text that changes language
+scores high under one model, so for the upper side the parts of a text (PART characters) are scored each by whichever fits
+it better, its language's or the pooled model; a document whose score is over median + above * spread is rejected: junk that fits
+neither. Spread is the interquartile range, `floor` at least: 3.5 of them below the median are Tukey's outer fence, above it twice
+that leaves room for text that changes language within a part. Classes of fewer than
 `least_docs` documents take the band of the classes up to 1, 2, 4 or 8 steps of length around, or else of the whole language, or else
 of all documents: the first of these that holds `least_docs`, and all documents in any case, so every document past the base rules
 meets a band at every size. Means
@@ -32,167 +31,72 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textvec
-from .runtime import prepare, record, release, slices, written
-from .symbols import A, symbols
+from .kneser_ney import GRAMS, Estimate, Model, block_of, count_grams, four_grams
+from .runtime import fresh, prepare, record, release, slices, written
 
-GRAMS = pa.schema([("lang", pa.string()), ("code", pa.int32()), ("n", pa.int64())])
 COUNT_NAMES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 SYMBOL_BYTES = np.zeros(256, bool)
 SYMBOL_BYTES[list(b"#*$%&|<>")] = True
 PART = 256
+BOUND = 4 << 20  # 4-grams of one block of models: some 100 MB in each worker
+POOLED = "\0all"
+SUMS = pa.list_(pa.list_(pa.float64()))
 _BLANK = " \t\n\x0b\x0c\r"
 
 
-def four_grams(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of the four symbols that end at each character, with boundaries before a text; the texts' offsets."""
-    s, _, off = symbols(col)
-    lengths = np.diff(off)
-    shift = np.repeat(3 * np.arange(1, len(lengths) + 1), lengths)
-    padded = np.zeros(len(s) + 3 * len(lengths), np.int32)
-    at = np.arange(len(s)) + shift
-    padded[at] = s
-    code = padded[at]
-    for j, f in ((1, A), (2, A * A), (3, A**3)):
-        code = code + padded[at - j] * np.int32(f)
-    return code, off
-
-
 def halves(col: pa.Array) -> np.ndarray:
     """The half, 0 or 1, that each text belongs to."""
     return np.array([zlib.crc32(t.encode()) & 1 for t in col.to_pylist()], np.int64)
 
 
-def _added(sums: tuple[np.ndarray, np.ndarray] | None, codes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted codes and their counts, of those so far and of more codes."""
-    code, n = np.unique(np.concatenate(codes), return_counts=True)
-    if sums is None:
-        return code, n
-    both, at = np.unique(np.concatenate([sums[0], code]), return_inverse=True)
-    return both, np.bincount(at, np.concatenate([sums[1], n]), len(both)).astype(np.int64)
-
-
-def _count():
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-
-        def out() -> Iterator[pa.RecordBatch]:
-            for lang, (code, n) in sums.items():
-                yield record({"lang": pa.array([lang] * len(code), pa.string()), "code": code.astype(np.int32), "n": n}, GRAMS)
-            sums.clear()
-
-        held: dict[str, list[np.ndarray]] = {}
-        size = 0
-
-        def add() -> None:
-            for lang, codes in held.items():
-                sums[lang] = _added(sums.get(lang), codes)
-            held.clear()
-
-        for batch in batches:
-            langs = batch.column(batch.schema.names.index("lang")).to_pylist()
-            for lo, hi, col in slices(batch, "text"):
-                code, off = four_grams(col)
-                half = halves(col)
-                for d in range(hi - lo):
-                    held.setdefault(f"{half[d]}{langs[lo + d]}", []).append(code[off[d] : off[d + 1]])
-                size += len(code)
-                if size > 1 << 22:
-                    add()
-                    size = 0
-        add()
-        yield from out()
-
-    return run
-
-
-def _discounts(n1: float, n2: float, n3: float, n4: float) -> tuple[float, float, float]:
-    y = n1 / (n1 + 2 * n2) if n1 else 0.5
-    cuts = (1 - 2 * y * n2 / n1 if n1 else 0.5, 2 - 3 * y * n3 / n2 if n2 else 1.0, 3 - 4 * y * n4 / n3 if n3 else 1.5)
-    return tuple(min(max(x, 0.0), float(i)) for i, x in enumerate(cuts, 1))
-
-
-def _interpolated(table: np.ndarray, below: np.ndarray, cuts: tuple[float, float, float]) -> np.ndarray:
-    """p(symbol | context) of one order; table: a row of counts for each context."""
-    cut = np.where(table >= 3, cuts[2], np.where(table == 2, cuts[1], np.where(table == 1, cuts[0], 0.0)))
-    total = table.sum(1, keepdims=True)
-    with np.errstate(invalid="ignore", divide="ignore"):
-        return np.where(total > 0, (table - cut) / total + cut.sum(1, keepdims=True) / total * below, below)
-
-
-def log_probs(codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """-ln p(last symbol | three before) for each code, by interpolated modified Kneser-Ney from sorted 4-gram codes."""
-    three = np.bincount(codes % A**3, minlength=A**3).astype(np.float64)  # in how many longer contexts each shorter gram occurs
-    two = (three > 0).reshape(A, -1).sum(0).astype(np.float64)
-    one = (two > 0).reshape(A, -1).sum(0).astype(np.float64)
-    prob = np.full((1, A), 1.0 / A)
-    for k, lower in enumerate((one, two, three)):
-        table = lower.reshape(-1, A)
-        prob = _interpolated(table, np.tile(prob, (A, 1)) if k else prob, _discounts(*((lower == i).sum() for i in (1, 2, 3, 4))))
-    cuts = _discounts(*((counts == i).sum() for i in (1, 2, 3, 4)))
-    out = np.empty(A**4, np.float32)
-    edges = np.searchsorted(codes, np.arange(A + 1) * A**3)
-    for first in range(A):  # one first symbol at a time keeps the memory low
-        table = np.zeros(A**3)
-        table[codes[edges[first] : edges[first + 1]] - first * A**3] = counts[edges[first] : edges[first + 1]]
-        out[first * A**3 : (first + 1) * A**3] = -np.log(np.maximum(_interpolated(table.reshape(-1, A), prob, cuts), 1e-12)).reshape(-1)
-    return out
-
-
-class Models:
-    """The unfolded models of a worker, and the languages whose models any part of a text may use."""
-
-    def __init__(self, shared: tuple[dict[str, tuple[np.ndarray, np.ndarray]], list[str]]):
-        self.arrays, self.common = shared
-        self.ready: dict[str, np.ndarray] = {}
-
-    def of(self, lang: str, half: int) -> np.ndarray:
-        """The model that scores texts of this half: the other half's, or if it has no texts their own."""
-        name = f"{1 - half}{lang}"
-        if name not in self.arrays:
-            name = f"{half}{lang}"
-        if name not in self.ready:
-            self.ready[name] = log_probs(*self.arrays[name]).astype(np.float16)  # half the memory; rounding evens out over a text
-        return self.ready[name]
-
-
-def perplexities(col: pa.Array, langs: list[str], models: Models) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each text of a large_string array the mean -ln p of its characters by the model of its language, that by the model
-    that fits each part best (both NaN without characters), and the number of characters."""
-    half, names = halves(col), np.array(langs, object)
-    out = np.full((2, len(col)), np.nan)
-    n = np.zeros(len(col), np.int64)
-    for h in np.unique(half).tolist():
-        mine = half == h
-        own, best, n[mine] = _perplexities(col.filter(pa.array(mine)), names[mine].tolist(), models, h)
-        out[:, mine] = own, best
-    return out[0], out[1], n
-
-
-def _perplexities(col: pa.Array, langs: list[str], models: Models, half: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    code, off = four_grams(col)
-    n = np.diff(off)
-    parts = -(-n // PART)
-    owner = np.repeat(np.arange(len(n)), parts)
-    rank = np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)
-    edges = off[owner] + rank * PART
-    own = np.zeros(len(edges))
-    best = np.full(len(edges), np.inf)
-    used = np.array(langs, object)[owner]
-    for lang in dict.fromkeys([*models.common, *langs]):
-        mine = used == lang
-        if lang in models.common and len(edges):
-            sums = np.add.reduceat(models.of(lang, half)[code], edges, dtype=np.float64)
-            best = np.minimum(best, sums)
-            own[mine] = sums[mine]
-        elif mine.any():
-            for d in np.unique(owner[mine]):
-                at = np.flatnonzero(owner == d)
-                own[at] = np.add.reduceat(models.of(lang, half)[code[off[d] : off[d + 1]]], edges[at] - off[d], dtype=np.float64)
-    best = np.minimum(best, own)
+def _of_half(batch: pa.RecordBatch, lo: int, hi: int, col: pa.Array) -> list[str]:
+    langs = batch.column(batch.schema.names.index("lang")).slice(lo, hi - lo).to_pylist()
+    return [f"{h}{lang}" for h, lang in zip(halves(col).tolist(), langs)]
+
+
+class Block:
+    """A block of all models, in a worker."""
+
+    def __init__(self, shared: tuple[dict[str, Model], int, int]):
+        self.models, self.number, self.blocks = shared
+
+    def model(self, half: int, lang: str) -> Model:
+        """The one that scores texts of this half: the other half's, or if that has no such texts their own."""
+        return self.models.get(f"{1 - half}{lang}") or self.models[f"{half}{lang}"]
+
+    def part_logs(self, col: pa.Array, langs: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each text and each of its parts the sums of ln p by its language's and by the pooled model, of this block's 4-grams."""
+        code, off = four_grams(col)
+        groups: dict[tuple[int, str], list[int]] = {}
+        for d, key in enumerate(zip(halves(col).tolist(), langs)):
+            if off[d + 1] > off[d]:
+                groups.setdefault(key, []).append(d)
+        out = [(np.zeros(0), np.zeros(0))] * len(col)
+        for (half, lang), texts in groups.items():
+            used, at = np.unique(np.concatenate([code[off[d] : off[d + 1]] for d in texts]), return_inverse=True)
+            n = np.array([off[d + 1] - off[d] for d in texts])
+            parts = -(-n // PART)
+            ends = np.cumsum(parts)
+            rank = np.arange(ends[-1]) - np.repeat(ends - parts, parts)
+            edges = np.repeat(np.cumsum(n) - n, parts) + rank * PART
+            here = np.flatnonzero(block_of(used, self.blocks) == self.number) if self.blocks > 1 else np.arange(len(used))
+            sums = []
+            for name in (lang, POOLED):
+                logs = np.zeros(len(used))
+                logs[here] = self.model(half, name).logs_of(used[here])
+                sums.append(np.add.reduceat(logs[at], edges))
+            for d, a, b in zip(texts, ends - parts, ends):
+                out[d] = sums[0][a:b], sums[1][a:b]
+        return out
+
+
+def _finished(logs: list[tuple[np.ndarray, np.ndarray]], n_chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """log_ppl and fit_ppl of each text; NaN without characters."""
     with np.errstate(invalid="ignore"):
-        return np.bincount(owner, own, len(n)) / n, np.bincount(owner, best, len(n)) / n, n
+        return np.array([-a.sum() for a, _ in logs]) / n_chars, np.array([-np.maximum(a, b).sum() for a, b in logs]) / n_chars
 
 
 def text_counts(col: pa.Array) -> dict[str, np.ndarray]:
@@ -224,58 +128,89 @@ def text_counts(col: pa.Array) -> dict[str, np.ndarray]:
     }
 
 
-def _score(shared, schema: pa.Schema):
+def _logs_of(batch: pa.RecordBatch, at: int, lo: int, hi: int, col: pa.Array, langs: list[str], block: Block) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The sums of the blocks so far (column `at`, null before the first) and of this one."""
+    found = block.part_logs(col, langs)
+    if block.number:
+        so_far = batch.column(at).slice(lo, hi - lo).to_pylist()
+        found = [(a + np.array(x), b + np.array(y)) for (a, b), (x, y) in zip(found, so_far)]
+    return found
+
+
+def _add(shared, text_col: str, lang_col: str, sums_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = Models(shared.value)
+        block = Block(shared.value)
         for batch in batches:
-            langs = batch.column(batch.schema.names.index("lang")).to_pylist()
-            ids = batch.column(batch.schema.names.index("doc_id"))
-            for lo, hi, col in slices(batch, "text"):
-                rows = text_counts(col) | {"doc_id": ids.slice(lo, hi - lo), "lang": pa.array(langs[lo:hi], pa.string())}
-                own, best, n_chars = perplexities(col, langs[lo:hi], models)
-                yield record(rows | {"log_ppl": pa.array(own, pa.float64(), from_pandas=True), "parts_ppl": pa.array(best, pa.float64(), from_pandas=True), "n_chars": n_chars}, schema)
+            at = batch.schema.names.index(sums_col)
+            langs = batch.column(batch.schema.names.index(lang_col)).to_pylist()
+            logs = [[a.tolist(), b.tolist()] for lo, hi, col in slices(batch, text_col) for a, b in _logs_of(batch, at, lo, hi, col, langs[lo:hi], block)]
+            yield pa.RecordBatch.from_arrays([pa.array(logs, SUMS) if i == at else c for i, c in enumerate(batch.columns)], names=batch.schema.names)
 
     return run
 
 
-SCORED = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), *((c, pa.int64()) for c in COUNT_NAMES), ("n_chars", pa.int64()), ("log_ppl", pa.float64()), ("parts_ppl", pa.float64())])
+def _last_block(docs: DataFrame, models: Estimate, text_col: str, lang_col: str, sums_col: str):
+    """docs with the sums of all blocks but the last in `sums_col`, and the last block, broadcast."""
+    sc = docs.sparkSession.sparkContext
+    docs = docs.withColumn(sums_col, F.lit(None).cast("array<array<double>>"))
+    plain = T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema])
+    for k in range(models.blocks - 1):
+        docs = written(docs.mapInArrow(_add(sc.broadcast((models.block(k), k, models.blocks)), text_col, lang_col, sums_col), plain), "blocks")
+    return docs, sc.broadcast((models.block(models.blocks - 1), models.blocks - 1, models.blocks))
+
+
+SCORED = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), *((c, pa.int64()) for c in COUNT_NAMES), ("n_chars", pa.int64()), ("log_ppl", pa.float64()), ("fit_ppl", pa.float64())])
+
+
+def _score(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = Block(shared.value)
+        for batch in batches:
+            names = batch.schema.names
+            langs, ids = batch.column(names.index("lang")).to_pylist(), batch.column(names.index("doc_id"))
+            for lo, hi, col in slices(batch, "text"):
+                logs = _logs_of(batch, names.index("sums"), lo, hi, col, langs[lo:hi], block)
+                n_chars = np.diff(textvec.code_points(col)[1])
+                own, fit = _finished(logs, n_chars)
+                rows = text_counts(col) | {"doc_id": ids.slice(lo, hi - lo), "lang": pa.array(langs[lo:hi], pa.string()), "n_chars": n_chars}
+                yield record(rows | {"log_ppl": pa.array(own, pa.float64(), from_pandas=True), "fit_ppl": pa.array(fit, pa.float64(), from_pandas=True)}, SCORED)
+
+    return run
 
 
 REPEATS = "100 * n_repeat_words > 20 * n_words"
 
 
-def _models(docs: DataFrame, id_col: str, text_col: str, lang_col: str, most_langs: int, least_docs: int):
-    """docs as doc_id, text and lang (of a model), and the broadcast models with the common languages."""
-    spark = docs.sparkSession
-    prepare(spark)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit("\0null")).alias("lang"))
-    rows = docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs + 1).collect()
-    top = [r.lang for r in rows]
-    if len(top) > most_langs:
-        docs = docs.withColumn("lang", F.when(F.col("lang").isin(top[:most_langs]), F.col("lang")).otherwise("\0rest"))
-    grams = docs.mapInArrow(_count(), "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
-    arrays = {}
-    for lang, part in grams.groupby("lang"):
-        part = part.sort_values("code")
-        arrays[lang] = part["code"].to_numpy(np.int32), part["n"].to_numpy(np.int64)
-    common = [r.lang for r in rows[:most_langs] if r["count"] >= least_docs and r.lang not in ("\0null", "\0rest") and {"0" + r.lang, "1" + r.lang} & arrays.keys()]
-    return docs, spark.sparkContext.broadcast((arrays, common))
-
-
-def _scored(docs: DataFrame, shared) -> DataFrame:
+def named(lang_col: str) -> Column:
+    return F.coalesce(F.col(lang_col).cast("string"), F.lit("\0null"))
+
+
+def _models(docs: DataFrame, text_col: str, lang_col: str, bound: int) -> Estimate:
+    prepare(docs.sparkSession)
+    texts = docs.select(F.col(text_col).cast("string").alias("text"), named(lang_col).alias("lang"))
+    own = written(texts.mapInArrow(count_grams(_of_half), GRAMS).groupBy("model", "code").agg(F.sum("n").alias("n")), "counts")
+    pooled = own.groupBy(F.concat(F.substring("model", 1, 1), F.lit(POOLED)).alias("model"), "code").agg(F.sum("n").alias("n"))
+    models = Estimate(own.unionAll(pooled), bound)
+    release(own)
+    return models
+
+
+def _scored(docs: DataFrame, models: Estimate, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    lean = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), named(lang_col).alias("lang"))
+    state, shared = _last_block(lean, models, "text", "lang", "sums")
     ddl = ", ".join(f"{f.name} {'string' if f.type == pa.string() else 'double' if f.type == pa.float64() else 'long'}" for f in SCORED)
-    scored = written(docs.mapInArrow(_score(shared, SCORED), ddl), "scored")
+    scored = written(state.mapInArrow(_score(shared), ddl), "scored")
     return scored.withColumn("base_failed", (F.col("n_words") < 10) | F.expr(REPEATS)).withColumn("class", F.floor(F.log2(F.col("n_chars") + 1)))
 
 
 REACH = (0, 1, 2, 4, 8)  # how many length classes to each side a band may take in
 
 
-def _bands(scored: DataFrame, below: float, above: float, parts_above: float, floor: float, least_docs: int) -> DataFrame:
-    """low, high and parts_high of each language and length class with documents past the base rules, from its own documents or
-    the first wider group that has enough: from exact quartiles of log perplexities rounded to 1/1000, by a histogram, so
-    every run finds the same."""
-    scores = F.explode(F.array(*[F.struct(F.lit(c).alias("kind"), F.round(c, 3).alias("bin")) for c in ("log_ppl", "parts_ppl")])).alias("s")
+def _bands(scored: DataFrame, below: float, above: float, floor: float, least_docs: int) -> DataFrame:
+    """low (for log_ppl) and high (for fit_ppl) of each language and length class with documents past the base rules, from its own
+    documents or the first wider group that has enough: from exact quartiles of log perplexities rounded to 1/1000, by a histogram,
+    so every run finds the same."""
+    scores = F.explode(F.array(*[F.struct(F.lit(c).alias("kind"), F.round(c, 3).alias("bin")) for c in ("log_ppl", "fit_ppl")])).alias("s")
     bins = scored.where("not base_failed and log_ppl is not null").select("lang", "class", scores).groupBy("lang", "class", "s.kind", "s.bin").agg(F.count("*").alias("m"))
     classes = bins.select("lang", "class").distinct()
 
@@ -290,56 +225,55 @@ def _bands(scored: DataFrame, below: float, above: float, parts_above: float, fl
     dealt = dealt.select(*keys, "bin", F.sum("m").over(whole.orderBy("bin")).alias("upto"), F.sum("m").over(whole).alias("docs")).where((F.col("docs") >= least_docs) | (F.col("level") == len(REACH) + 1))
     quartiles = F.array(*[F.min(F.when(F.col("upto") >= p * F.col("docs"), F.col("bin"))) for p in (0.25, 0.5, 0.75)])
     spread = F.greatest(F.col("q")[2] - F.col("q")[0], F.lit(floor))
-    found = dealt.groupBy(*keys).agg(quartiles.alias("q")).select(*keys[:3], F.col("kind") == "parts_ppl", F.col("q")[1], spread).toDF(*keys[:3], "parts", "mid", "spread")
+    found = dealt.groupBy(*keys).agg(quartiles.alias("q")).select(*keys[:3], F.col("kind") == "fit_ppl", F.col("q")[1], spread).toDF(*keys[:3], "fit", "mid", "spread")
     widened = F.element_at(F.array(*[F.lit(2.0 ** (min(r, 4) / 2)) for r in (*REACH, 4, 4)]), F.col("level") + 1)
     found = found.withColumn("spread", F.col("spread") * widened)
-    limits = [F.max(F.when(F.col("parts") == F.lit(parts), F.col("mid") + k * F.col("spread"))).alias(name) for name, parts, k in (("low", False, -below), ("high", False, above), ("parts_high", True, parts_above))]
+    limits = [F.max(F.when(F.col("fit") == F.lit(fit), F.col("mid") + k * F.col("spread"))).alias(name) for name, fit, k in (("low", False, -below), ("high", True, above))]
     found = found.groupBy(*keys[:3]).agg(*limits)
     own = [group(k, F.col("lang"), F.col("class")) for k in range(len(REACH))]
     wanted = classes.select("lang", "class", F.explode(F.array(*own, *wide)).alias("g")).select("lang", "class", "g.*")
-    best = F.min(F.struct("level", "low", "high", "parts_high")).alias("b")
-    return wanted.join(found, keys[:3]).groupBy("lang", "class").agg(best).select("lang", "class", "b.low", "b.high", "b.parts_high")
+    best = F.min(F.struct("level", "low", "high")).alias("b")
+    return wanted.join(found, keys[:3]).groupBy("lang", "class").agg(best).select("lang", "class", "b.low", "b.high")
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", below: float = 4.0, above: float = 28.0, parts_above: float = 8.0, floor: float = 0.02, least_docs: int = 200, most_langs: int = 16) -> DataFrame:
-    """doc_id, the counts of text_counts(), base_failed, kept, log_ppl with the band's low and high, and parts_ppl with its parts_high, a row for each of docs."""
-    lean, shared = _models(docs, id_col, text_col, lang_col, most_langs, least_docs)
-    scored = _scored(lean, shared)
-    bands = _bands(scored, below, above, parts_above, floor, least_docs)
-    inside = F.coalesce((F.col("log_ppl") >= F.col("low")) & (F.col("parts_ppl") <= F.least("high", "parts_high")), F.lit(True))
-    return scored.join(F.broadcast(bands), ["lang", "class"], "left").select("doc_id", *COUNT_NAMES, "base_failed", (~F.col("base_failed") & inside).alias("kept"), "log_ppl", "low", "high", "parts_ppl", "parts_high")
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", below: float = 3.5, above: float = 7.0, floor: float = 0.02, least_docs: int = 200, bound: int = BOUND) -> DataFrame:
+    """doc_id, the counts of text_counts(), base_failed, kept, log_ppl with its limit low, and fit_ppl with its limit high, a row for each of docs."""
+    scored = _scored(docs, _models(docs, text_col, lang_col, bound), id_col, text_col, lang_col)
+    bands = _bands(scored, below, above, floor, least_docs)
+    inside = F.coalesce((F.col("log_ppl") >= F.col("low")) & (F.col("fit_ppl") <= F.col("high")), F.lit(True))
+    # a row for each language and length class, so bands are broadcast
+    return scored.join(F.broadcast(bands), ["lang", "class"], "left").select("doc_id", *COUNT_NAMES, "base_failed", (~F.col("base_failed") & inside).alias("kept"), "log_ppl", "low", "fit_ppl", "high")
 
 
-def _filter(shared, bands: dict[tuple[str, int], tuple[float, float, float]], text_col: str):
+def _filter(shared, bands: dict[tuple[str, int], tuple[float, float]], text_col: str, lang_col: str, sums_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = Models(shared.value)
+        block = Block(shared.value)
         for batch in batches:
-            langs = batch.column(batch.schema.names.index("__lang")).to_pylist()
+            at = batch.schema.names.index(sums_col)
+            langs = batch.column(batch.schema.names.index(lang_col)).to_pylist()
             keep: list[bool] = []
             for lo, hi, col in slices(batch, text_col):
-                counts = text_counts(col)
-                own, best, n_chars = perplexities(col, langs[lo:hi], models)
-                words, again = counts["n_words"], counts["n_repeat_words"]
-                fine = (words >= 10) & (100 * again <= 20 * words)
+                counts, n_chars = text_counts(col), np.diff(textvec.code_points(col)[1])
+                own, fit = _finished(_logs_of(batch, at, lo, hi, col, langs[lo:hi], block), n_chars)
+                fine = (counts["n_words"] >= 10) & (100 * counts["n_repeat_words"] <= 20 * counts["n_words"])
                 for d in range(hi - lo):
                     band = bands.get((langs[lo + d], (int(n_chars[d]) + 1).bit_length() - 1))
-                    keep.append(bool(fine[d]) and (band is None or bool(band[0] <= own[d] and best[d] <= min(band[1:]))))
+                    keep.append(bool(fine[d]) and (band is None or bool(band[0] <= own[d] and fit[d] <= band[1])))
             if len(batch):
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", below: float = 4.0, above: float = 28.0, parts_above: float = 8.0, floor: float = 0.02, least_docs: int = 200, most_langs: int = 16) -> DataFrame:
+def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", below: float = 3.5, above: float = 7.0, floor: float = 0.02, least_docs: int = 200, bound: int = BOUND) -> DataFrame:
     """The rows of docs that quality_rules() keeps, all columns as they are. Rows are scored once more instead of joined
     with their verdicts, so no text is shuffled."""
-    lean, shared = _models(docs, id_col, text_col, lang_col, most_langs, least_docs)
-    scored = _scored(lean, shared)
-    bands = {(r.lang, r["class"]): (r.low, r.high, r.parts_high) for r in _bands(scored, below, above, parts_above, floor, least_docs).collect()}
+    models = _models(docs, text_col, lang_col, bound)
+    scored = _scored(docs, models, id_col, text_col, lang_col)
+    bands = {(r.lang, r["class"]): (r.low, r.high) for r in _bands(scored, below, above, floor, least_docs).collect()}
     release(scored)
-    known = F.coalesce(F.col(lang_col).cast("string"), F.lit("\0null"))
-    named = {name[1:] for name in shared.value[0]}
-    if "\0rest" in named:
-        known = F.when(known.isin(*named), known).otherwise("\0rest")
-    marked = docs.withColumn("__lang", known)
-    return marked.mapInArrow(_filter(shared, bands, text_col), marked.schema).drop("__lang")
+    lang, text, sums = fresh(docs, "lang_name", "whole_text", "part_sums")
+    marked = docs.withColumns({lang: named(lang_col), text: F.col(text_col).cast("string")})
+    state, shared = _last_block(marked, models, text, lang, sums)
+    release(models.grams)
+    return state.mapInArrow(_filter(shared, bands, text, lang, sums), T.StructType([T.StructField(f.name, f.dataType) for f in state.schema])).drop(lang, text, sums)

@@ -59,7 +59,7 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard(table(spark, sf_dir, "documents"), shards=40)
+    return sharding.shard(table(spark, sf_dir, "documents"), shards=40).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

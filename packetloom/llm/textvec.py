@@ -74,6 +74,25 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((acc[ends] - acc[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _MULT[63])
 
 
+def code_points(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Code points (uint32) and offsets in them of a large_string array without nulls."""
+    data, off = raw(col)
+    lead = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    return np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32), lead[off]
+
+
+def unit_hashes(units: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of units (code points, say), alike wherever the span stands."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    with np.errstate(over="ignore"):
+        up, down = _powers(len(units) + 1)
+        acc = np.empty(len(units) + 1, dtype=np.uint64)
+        acc[0] = 0
+        np.cumsum(mix(units.astype(np.uint64) + _MULT[62]) * up[: len(units)], out=acc[1:])
+        return mix((acc[ends] - acc[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _MULT[61])
+
+
 def shingles(words: np.ndarray, ranges: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of each k consecutive words of a text (of all words where there are fewer), and each text's range of them."""
     n = np.diff(ranges)

@@ -3,11 +3,12 @@
 import hashlib
 import os
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
+from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
-import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -51,8 +52,9 @@ def shingles(text, k=5):
 
 
 def brute_components(rows):
+    """Components over rows; rows with one id are one document, each row without an id is its own."""
     sets = [(i, shingles(t)) for i, t in rows]
-    up = {i: i for i, _ in sets}
+    up = list(range(len(sets)))
 
     def find(x):
         while up[x] != x:
@@ -60,11 +62,24 @@ def brute_components(rows):
         return x
 
     for a, (i, s) in enumerate(sets):
-        for j, r in sets[:a]:
-            if s and r and i is not None and j is not None and 100 * len(s & r) >= 75 * len(s | r):
-                x, y = find(i), find(j)
+        for b, (j, r) in enumerate(sets[:a]):
+            if s and r and 100 * len(s & r) >= 75 * len(s | r):
+                x, y = find(a), find(b)
                 up[max(x, y)] = min(x, y)
-    return Counter((i, len(s), find(i)) for i, s in sets)
+    least = {}
+    for a, (i, _) in enumerate(sets):
+        if i is not None:
+            least[find(a)] = min(i, least.get(find(a), i))
+    return Counter((i, len(s), least.get(find(a)) if s else i) for a, (i, s) in enumerate(sets))
+
+
+def test_jaccard_null_ids(spark):
+    words = [f"n{j}" for j in range(60)]
+    rows = [(None, " ".join(words)), (None, " ".join(["x", *words])), (3, " ".join(words[:-1])), (2, " ".join([*words, "y"])), (None, "quite another text of no one at all"), (None, "quite another text of no one at all"), (9, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for chunk in (1 << 18, 20):
+        got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(df, chunk=chunk).collect())
+        assert got == brute_components(rows)
 
 
 @pytest.mark.parametrize("chunk", [1 << 18, 40])
@@ -98,7 +113,7 @@ def test_divide_skip():
         q = sets[0]
         for least in (1, 5, len(q)):
             want = {x: n for x, s in enumerate(sets) if (n := len(np.intersect1d(s, q))) >= least}
-            assert jaccard_join.divide_skip(q, index, least) == want
+            assert jaccard_join.divide_skip(q, {t: np.array(x) for t, x in index.items()}, least) == want
 
 
 def brute_hits(docs, items, size=10):
@@ -170,31 +185,116 @@ def test_quality_counts(odd):
     assert Counter(x.doc_id for x in kept.collect()) == Counter(r.doc_id for r in got if r.kept)
 
 
-def test_kneser_ney_sums_to_one():
-    rng = np.random.default_rng(1)
-    text = "".join(rng.choice(list("abcde "), 3000))
-    code, _ = quality_rules.four_grams(pa.array([text], pa.large_string()))
-    codes, counts = np.unique(code, return_counts=True)
-    p = np.exp(-quality_rules.log_probs(codes, counts).astype(np.float64)).reshape(-1, quality_rules.A)
-    assert np.allclose(p.sum(1), 1, atol=1e-3)
-    seen = quality_rules.log_probs(codes, counts)[code].mean()
-    assert seen < np.log(quality_rules.A) / 2
+def symbols(text):
+    out = []
+    for c in text:
+        low = c.lower() if len(c.lower()) == 1 else c
+        out.append(" " if c.isspace() else "0" if c.isdecimal() else low)
+    return ["^"] * 3 + out
+
+
+def brute_kneser_ney(texts):
+    """-ln p of each symbol of a text, by dictionaries."""
+    counts = [None, None, None, None, Counter(tuple(s[i : i + 4]) for t in texts for s in [symbols(t)] for i in range(len(s) - 3))]
+    for n in (3, 2, 1):
+        counts[n] = Counter(g[1:] for g in counts[n + 1])
+    cuts, contexts = [None], [None]
+    for n in (1, 2, 3, 4):
+        c = Counter(counts[n].values())
+        y = c[1] / (c[1] + 2 * c[2]) if c[1] else 0.5
+        d = (1 - 2 * y * c[2] / c[1] if c[1] else 0.5, 2 - 3 * y * c[3] / c[2] if c[2] else 1.0, 3 - 4 * y * c[4] / c[3] if c[3] else 1.5)
+        cuts.append([min(max(x, 0.0), i) for i, x in enumerate(d, 1)])
+        by = defaultdict(list)
+        for g, k in counts[n].items():
+            by[g[:-1]].append(k)
+        contexts.append(by)
+
+    def p(g):
+        n = len(g)
+        if not n:
+            return 1 / (len(counts[1]) + 1)
+        seen = contexts[n].get(g[:-1])
+        if not seen:
+            return p(g[1:])
+        cut = lambda k: cuts[n][min(k, 3) - 1] if k else 0.0
+        k = counts[n][g]
+        return (k - cut(k)) / sum(seen) + sum(map(cut, seen)) / sum(seen) * p(g[1:])
+
+    return lambda text: [-np.log(max(p(tuple(s[i : i + 4])), 1e-12)) for s in [symbols(text)] for i in range(len(s) - 3)]
+
+
+def kn_rows():
+    rng = np.random.default_rng(12)
+    vocabulary = {"en": ["the", "cat", "sat", "on", "mats", "Dogs", "12"], "ru": ["кот", "спит", "на", "полу", "😀"], None: ["日本", "語", "の", "文"]}
+    return [(i, " ".join(rng.choice(vocabulary[x], int(rng.integers(11, 90)))), x) for i, x in enumerate(["en", "ru", None, "en"] * 12)] + [(50, "", "en"), (51, "lone", "xx")]
 
 
-def test_perplexity_band(spark):
-    rng = np.random.default_rng(2)
-    rows = [(i, " ".join(rng.choice(["the", "cat", "sat", "on", "a", "mat", "and", "ran"], 80)), "en") for i in range(300)]
-    rows.append((999, "".join(rng.choice(list("qzxjkvwy#"), 280)) + " a b c d e f g h i j k", "en"))
-    got = {r.doc_id: r.kept for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string"), above=8.0).collect()}
-    assert not got[999] and all(got[i] for i in range(300))
+@pytest.mark.parametrize("bound", [1 << 20, 100])
+def test_kneser_ney_brute(spark, bound):
+    rows = kn_rows()
+    half = {i: zlib.crc32(t.encode()) & 1 for i, t, _ in rows}
+    models = {}
+    for h in (0, 1):
+        for x in {x for *_, x in rows} | {"all"}:
+            mine = [t for i, t, y in rows if t and half[i] == h and x in (y, "all")]
+            if mine:
+                models[h, x] = brute_kneser_ney(mine)
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    for r in quality_rules.quality_rules(df, bound=bound).collect():
+        text, lang = next((t, x) for i, t, x in rows if i == r.doc_id)
+        if not text:
+            assert r.log_ppl is None
+            continue
+        own, whole = (models.get((1 - half[r.doc_id], x)) or models[half[r.doc_id], x] for x in (lang, "all"))
+        a, b = own(text), whole(text)
+        fit = sum(min(sum(a[k : k + 256]), sum(b[k : k + 256])) for k in range(0, len(a), 256))
+        assert abs(r.log_ppl - np.mean(a)) < 1e-4 and abs(r.fit_ppl - fit / len(a)) < 1e-4
+    kept = quality_rules.keep_good(df.withColumns({"whole_text": F.lit(1), "PART_SUMS": F.lit(2)}), bound=bound)
+    assert kept.columns == ["doc_id", "text", "lang", "whole_text", "PART_SUMS"]
+    assert {x.doc_id for x in kept.collect()} == {x.doc_id for x in quality_rules.quality_rules(df, bound=bound).where("kept").collect()}
+
+
+def brute_bands(rows, below=3.5, above=7.0, floor=0.02, least_docs=200):
+    """low and high of each (lang, class), from rows of quality_rules past the base rules: lists of (lang, class, log_ppl, fit_ppl)."""
+    out = {}
+    for lang, cls in {(x[0], x[1]) for x in rows}:
+        groups = [([x for x in rows if x[0] == lang and abs(x[1] - cls) <= r], r) for r in (0, 1, 2, 4, 8)] + [([x for x in rows if x[0] == lang], 4), (rows, 4)]
+        mine, reach = next(((g, r) for g, r in groups if len(g) >= least_docs), groups[-1])
+        limits = []
+        for col, k in ((2, -below), (3, above)):
+            v = sorted(float(Decimal(repr(x[col])).quantize(Decimal("0.001"), ROUND_HALF_UP)) for x in mine)
+            q = [v[int(np.ceil(p * len(v))) - 1] for p in (0.25, 0.5, 0.75)]
+            limits.append(q[1] + k * max(q[2] - q[0], floor) * 2 ** (min(reach, 4) / 2))
+        out[lang, cls] = limits
+    return out
 
 
 @tables
-def test_every_document_meets_a_band(spark):
+@pytest.mark.parametrize("least", [200, 20])
+def test_bands_brute(spark, least):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    got = [r for r in quality_rules.quality_rules(docs).collect() if not r.base_failed]
-    assert len(got) > 50 and all(r.low is not None and r.high is not None and r.parts_high is not None for r in got)
-    assert Counter(x.doc_id for x in quality_rules.keep_good(docs).collect()) == Counter(r.doc_id for r in got if r.kept)
+    of = {r.doc_id: r for r in docs.collect()}
+    got = quality_rules.quality_rules(docs, least_docs=least).collect()
+    size = lambda r: (len(of[r.doc_id].text) + 1).bit_length() - 1
+    past = [(of[r.doc_id].lang, size(r), r.log_ppl, r.fit_ppl) for r in got if not r.base_failed]
+    bands = brute_bands(past, least_docs=least)
+    assert len(past) > 50
+    for r in got:
+        if not r.base_failed:
+            low, high = bands[of[r.doc_id].lang, size(r)]
+            assert abs(r.low - low) < 1e-9 and abs(r.high - high) < 1e-9 and r.kept == (low <= r.log_ppl and r.fit_ppl <= high)
+    assert Counter(x.doc_id for x in quality_rules.keep_good(docs, least_docs=least).collect()) == Counter(r.doc_id for r in got if r.kept)
+
+
+def test_perplexity_bands_reject_both_sides(spark):
+    rng = np.random.default_rng(2)
+    words = ["the", "cat", "sat", "on", "a", "mat", "and", "ran"]
+    rows = [(i, " ".join(rng.choice(words, 80)), "en") for i in range(300)]
+    rows.append((999, "".join(rng.choice(list("qzxjkvwy#"), 280)) + " a b c d e f g h i j k", "en"))
+    rows.append((998, " ".join(["thecatsat" + "e" * (20 + i) for i in range(10)]), "en"))
+    got = {r.doc_id: r for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)).collect()}
+    assert not got[999].kept and got[999].fit_ppl > got[999].high and all(got[i].kept for i in range(300))
+    assert not got[998].base_failed
 
 
 LARGE = "/root/testdata/sf0.1"
@@ -224,16 +324,59 @@ def test_language_query(spark):
     assert sum(r.lang_pred == docs[r.doc_id].lang for r in test) >= 0.9 * len(test)
 
 
-def test_language_brute():
-    text = "abc bca, ça!"
-    col = pa.array([text, "", "12 34"], pa.large_string())
-    code, owner, has = language_id.trigrams(col)
-    assert has.tolist() == [True, False, False] and set(owner.tolist()) == {0}
-    bundle = np.zeros(language_id.DIM)
-    s = [int(x) for x in np.r_[code // language_id.A**2, [code[-1] // language_id.A % language_id.A, code[-1] % language_id.A]]]
-    for a, b, c in zip(s, s[1:], s[2:]):
-        bundle += np.roll(language_id._LETTERS[a], 2) * np.roll(language_id._LETTERS[b], 1) * language_id._LETTERS[c]
-    assert np.allclose(bundle, language_id.vectors(code).sum(0))
+def letter(c):
+    return language_id.letter_vectors(np.array([ord(c)]))[0].astype(np.float64)
+
+
+def brute_bundle(text):
+    """The sum of bound trigram vectors, letter by letter; None without a letter."""
+    low = [c.lower() if len(c.lower()) == 1 else c for c in text]
+    s = "".join(x if c.isalpha() else " " for c, x in zip(text, low))
+    s = " " + re.sub(" +", " ", s).strip(" ") + " "
+    out = np.zeros(language_id.DIM)
+    for g, n in Counter(s[i : i + 3] for i in range(len(s) - 2)).items() if s.strip() else ():
+        out += n * np.roll(letter(g[0]), 2) * np.roll(letter(g[1]), 1) * letter(g[2])
+    return out if s.strip() else None
+
+
+def brute_languages(rows, learn):
+    """lang_pred and score of each row (id, text, lang)."""
+    sums = {}
+    for i, t, x in rows:
+        if learn(i) and x is not None and t and (v := brute_bundle(t)) is not None:
+            sums[x] = sums.get(x, 0) + v
+    langs = sorted(sums)
+    out = []
+    for i, t, _ in rows:
+        v = brute_bundle(t or "")
+        if v is None or not langs:
+            out.append((i, "und", 0.0))
+            continue
+        cos = np.array([v @ sums[x] / np.linalg.norm(v) / np.linalg.norm(sums[x]) for x in langs])
+        e = np.exp(20 * (cos - cos.max()))
+        out.append((i, langs[int(cos.argmax())], e.max() / e.sum()))
+    return out
+
+
+def same_languages(got, want):
+    got, want = sorted(got, key=lambda x: (x[0] is None, x[0])), sorted(want, key=lambda x: (x[0] is None, x[0]))
+    return [x[:2] for x in got] == [x[:2] for x in want] and all(abs(a[2] - b[2]) < 1e-4 for a, b in zip(got, want))
+
+
+def test_language_brute(spark):
+    texts = ["abc bca, ça!", "", "12 34", "ab", "a", None, "кот спит", "日本語 𝓐", "İstanbul ẞ", " x1y2 z", "the cat", "la ça est", "the dog and the cat", "le chat est là"]
+    rows = [(i, t, ("en", "fr", None, "ru")[i % 4]) for i, t in enumerate(texts)]
+    want = brute_languages(rows, lambda i: i != 4)
+    for parts in (1, 5):  # a score does not hang on which texts share a batch
+        df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(parts)
+        assert same_languages([tuple(r) for r in language_id.identify(df, F.col("doc_id") != 4).collect()], want)
+
+
+@tables
+def test_language_query_brute(spark):
+    rows = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    want = brute_languages(rows, lambda i: zlib.crc32(str(i).encode()) % 3 != 1)
+    assert same_languages([(r.doc_id, r.lang_pred, r.score) for r in queries.op2_language_id(spark, SF).collect()], want)
 
 
 def test_language_odd(odd):
@@ -366,14 +509,101 @@ def test_urls(spark):
     assert got[7][:3] == ("h.org", "", None) and got[8][2] is None and got[9][2] == "com/"
 
 
+def words_of(counts):
+    names = list(counts)
+    return url_filter.Words(url_filter.hashes(names), np.array(list(counts.values())), sorted({len(x) for x in names}), sum(counts.values()))
+
+
+def brute_split(name, counts):
+    total = sum(counts.values()) or 1
+    best = [(0.0, [])]
+    for end in range(1, len(name) + 1):
+        options = []
+        for start in range(end):
+            piece = name[start:end]
+            unknown = np.log(total * 10.0) + 2.3 * len(piece)
+            cost = min(unknown, np.log(total / counts[piece])) if piece in counts else unknown
+            options.append((best[start][0] + cost, [*best[start][1], piece]))
+        best.append(min(options, key=lambda x: x[0]))
+    return best[-1]
+
+
+def cost_of(words, counts):
+    total = sum(counts.values()) or 1
+    return sum(min(np.log(total * 10.0) + 2.3 * len(w), np.log(total / counts[w]) if w in counts else np.inf) for w in words)
+
+
 def test_segmenter():
-    cut = url_filter.Segmenter({"cheap": 50, "pills": 40, "spam": 30, "farm": 30, "a": 100, "ill": 3})
+    counts = {"cheap": 50, "pills": 40, "spam": 30, "farm": 30, "a": 100, "ill": 3, "c" * 80: 2}
+    cut = url_filter.Segmenter(words_of(counts))
     assert cut.split("cheappills") == ["cheap", "pills"] and cut.split("spamfarm") == ["spam", "farm"] and "".join(cut.split("zzqcheap")) == "zzqcheap" and cut.split("") == []
+    assert cut.split("spam" + "c" * 80) == ["spam", "c" * 80]
+    rng = np.random.default_rng(11)
+    for _ in range(60):
+        name = "".join(rng.choice(["cheap", "pills", "spam", "a", "z", "ill", "q"], int(rng.integers(1, 7))))
+        assert "".join(cut.split(name)) == name and abs(cost_of(cut.split(name), counts) - brute_split(name, counts)[0]) < 1e-9
+
+
+def test_text_of():
+    assert url_filter.text_of("a<script>var x='<p>';</SCRIPT >b<style>p{}</style><p class='x'>c</p>").split() == ["a", "b", "c"]
+    assert url_filter.text_of("a <script> b <p>c") == "a   b  c" and url_filter.text_of("x < y") == "x < y"
+    for bad in ("<script" * 200_000, "<style>" * 200_000, "<" * 1_000_000, "<script>" + "</script " * 100_000):
+        began = time.time()
+        url_filter.text_of(bad)
+        assert time.time() - began < 5
 
 
 def test_bayes():
-    model = url_filter.Bayes([("allow", "", 5), ("block", "", 5), ("allow", "good", 9), ("block", "bad", 9)])
-    assert model.verdict(["bad"]) == "block" and model.verdict(["good"]) == "allow" and url_filter.Bayes([]).verdict(["x"]) == "allow"
+    model = url_filter.Bayes([("allow", "good", 9), ("block", "bad", 9)], {"allow": 5, "block": 5}, {"allow": 9, "block": 9}, 2)
+    assert model.verdict(["bad"]) == "block" and model.verdict(["good"]) == "allow" and url_filter.Bayes([], {}, {}, 0).verdict(["x"]) == "allow"
+
+
+def brute_urls(pages):
+    """verdict of each page (id, url, html), by the rules or else by segmentation and naive Bayes over whole counts."""
+    counts = Counter(w for _, _, html in pages for w in re.findall(r"[^\W\d_]+", url_filter.text_of(html or "").lower()) if len(w) > 1)
+
+    def cut(url):
+        rest = url.split("://", 1)[1] if url and "://" in url else ""
+        host = fold(re.split("[/?#]", rest)[0])
+        path = re.split("[?#]", rest[len(host) :])[0]
+        return host, path
+
+    def rule(host, path):
+        fits = [(len(h + p), v) for v, h, p in queries.URL_RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return max(fits)[1] if fits else None
+
+    known = {}
+
+    def tokens(host, path):
+        out = []
+        for x in re.findall(r"[^\W_]+", host):
+            if x not in known:
+                known[x] = brute_split(x, counts)[1]
+            out += ["h:" + w for w in known[x]]
+        return out + ["p:#" if x.isdigit() else "p:" + x for x in re.findall(r"[^\W_]+", path.lower())]
+
+    cuts = {i: cut(u) for i, u, _ in pages}
+    verdicts = {i: rule(*c) for i, c in cuts.items()}
+    docs, sums = Counter(v for v in verdicts.values() if v), Counter((v, t) for i, v in verdicts.items() if v for t in tokens(*cuts[i]))
+    seen = {t for _, t in sums}
+    names = sorted(docs) or ["allow"]
+    of = {v: sum(n for (w, _), n in sums.items() if w == v) for v in names}
+    out = {}
+    for i, v in verdicts.items():
+        score = [np.log(docs[x] / sum(docs.values())) + sum(np.log((sums[x, t] + 1) / (of[x] + len(seen) + 1)) for t in tokens(*cuts[i]) if t in seen) for x in names]
+        out[i] = (*cuts[i], v or names[int(np.argmax(score))])
+    return out
+
+
+@tables
+@pytest.mark.parametrize("bound", [1 << 20, 100])
+def test_urls_brute(spark, bound):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    rows = [(r.page_id, r.url, r.html) for r in pages.collect()]
+    got = url_filter.judge(pages.withColumns({"block": F.lit(1), "verdict": F.lit("x")}), queries.URL_RULES, bound=bound) if bound == 100 else queries.op4_url_filter(spark, SF)
+    got = {r.page_id: (r.host, r.path, r.verdict) for r in got.collect()}
+    want = brute_urls(rows)
+    assert got == want and len({v for *_, v in want.values()}) == 2
 
 
 def test_classifier(spark, odd):
