@@ -24,7 +24,7 @@ from . import textvec
 from .runtime import record, release, slices, written
 
 GRAMS = "model string, code long, n long"
-HELD = 1 << 22  # grams or characters that a task holds before it adds up or sends
+HELD = 1 << 21  # grams or characters that a task holds before it adds up or sends
 SALT = {kind: np.uint64((i * 0x9E3779B97F4A7C15 + 0x1234567) % (1 << 64)) for i, kind in enumerate(("4", "3", "2", "1", "abc", "bc", "c"))}
 _M48, _M32, _M16 = np.uint64((1 << 48) - 1), np.uint64((1 << 32) - 1), np.uint64((1 << 16) - 1)
 
