@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import incident_id, severity_rank
+from .primitives import folded
 
 #: The stage of each alert category, in order of an attack.
 STAGES = {"recon": 0, "web": 1, "web-attack": 1, "evasion": 1, "credential": 1, "malware": 2, "threat-intel": 2, "exfiltration": 3, "dos": 4}
@@ -37,30 +39,50 @@ def callbacks(conns: DataFrame, exploits: DataFrame, window: int) -> DataFrame:
     return rows.where(F.col("x").isNull() & (F.col("t") - F.col("exploit_t") <= window)).drop("x")
 
 
+class _Chain:
+    """The longest chain of one pair of hosts. Of each stage only the latest event counts: an earlier one is part of its chain, or out of
+    reach by then. State: one entry a stage."""
+
+    def __init__(self, gaps: Callable[[int], int]):
+        self.gaps = gaps
+        self.best: dict[int, tuple] = {}  # stage -> stages, events, t, set of stages, weight beside the victim
+
+    def step(self, t: int, stage: int, extra: int = 0) -> tuple:
+        """The best chain that ends here: most stages, then most events."""
+        mine = (1, 1, t, frozenset([stage]), extra)
+        for s, (stages, events, u, of, weight) in sorted(self.best.items()):
+            if s <= stage and t - u <= self.gaps(s):
+                there = (stages + (s < stage), events + 1, t, of | {stage}, weight + extra)
+                mine = there if there[:2] > mine[:2] else mine
+        self.best[stage] = mine
+        return mine
+
+
 def longest_chain(events: list[tuple[int, int]], gap: int) -> tuple[int, int]:
     """The most stages in a sequence of (t, stage) in time order that never goes back in stage, with gaps of at most gap; and its length."""
-    best: list[tuple[int, int]] = []
-    for i, (t, stage) in enumerate(events):
-        here = (1, 1)
-        for j in range(i):
-            u, before = events[j]
-            if before <= stage and t - u <= gap:
-                here = max(here, (best[j][0] + (before < stage), best[j][1] + 1))
-        best.append(here)
-    return max(best, default=(0, 0))
+    chain = _Chain(lambda _: gap)
+    return max((chain.step(t, stage)[:2] for t, stage in events), default=(0, 0))
 
 
 def multi_stage(alerts: DataFrame, gap: int, min_stages: int, sid: int = 0) -> DataFrame:
-    """Pairs of hosts whose alerts form a chain of at least min_stages stages; one pandas fold for each pair."""
+    """Pairs of hosts whose alerts form a chain of at least min_stages stages."""
 
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["t", "seq"])
-        stages, length = longest_chain(list(zip(part["t"], part["stage"])), gap)
-        a, b = part["src"].iloc[0], part["dst"].iloc[0]
-        row = [(a, b, incident_id("multi_stage", sid, a, b), stages, length, part["t"].min(), part["t"].max())]
-        return pd.DataFrame(row if stages >= min_stages else [], columns=["src", "dst", "id", "n_stages", "n_alerts", "first_t", "last_t"])
+    class Pair:
+        def __init__(self):
+            self.chain, self.best, self.first = _Chain(lambda _: gap), (0, 0), None
 
-    return alerts.groupBy("src", "dst").applyInPandas(fold, "src string, dst string, id string, n_stages long, n_alerts long, first_t long, last_t long")
+        def add(self, row):
+            self.best = max(self.best, self.chain.step(row.t, row.stage)[:2])
+            self.first = row.t if self.first is None else self.first
+            self.last = row
+            return ()
+
+        def end(self):
+            a, b = self.last.src, self.last.dst
+            return [(a, b, incident_id("multi_stage", sid, a, b), *self.best, self.first, self.last.t)] if self.best[0] >= min_stages else []
+
+    slim = alerts.select("src", "dst", "t", "seq", "stage")
+    return folded(slim, ["src", "dst"], Pair, "src string, dst string, id string, n_stages long, n_alerts long, first_t long, last_t long")
 
 
 def incident_updates(states: DataFrame, key: list[str]) -> DataFrame:
@@ -95,29 +117,22 @@ def chain_states(alerts: DataFrame, from_stages: list[int], first: int, window:
     slim = ["x", "y", "sure_t", "t", "seq", "stage", "weight", (F.col("dst") == F.col("y")).alias("on_victim")]
     events = own.select(*slim).unionByName(next_.select(*slim)).where("stage >= 0")
 
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        rows = list(part.sort_values(["t", "stage", "seq"]).itertuples(index=False))
-        best: list[tuple[int, int, int]] = []  # stages, events, the event before
-        told, out = 0, []
-        for i, e in enumerate(rows):
-            mine = (1, 1, -1)
-            for j in range(i):
-                f = rows[j]
-                if f.stage <= e.stage and e.t - f.t <= (first if f.stage == 0 else window):
-                    there = (best[j][0] + (f.stage < e.stage), best[j][1] + 1, j)
-                    mine = there if there[:2] > mine[:2] else mine
-            best.append(mine)
-            if mine[0] >= min_stages and mine[0] > told and e.t >= e.sure_t:
-                chain, k = [], i
-                while k >= 0:
-                    chain.append(rows[k])
-                    k = best[k][2]
-                stages = sorted({int(c.stage) for c in chain})
-                out.append((e.x, e.y, e.t, "incident_update" if told else "incident", stages, "critical" if len(stages) >= 3 else "high", len(chain), sum(int(c.weight) for c in chain if not c.on_victim)))
-                told = mine[0]
-        return pd.DataFrame(out, columns=[c.split()[0] for c in CHAINS.split(", ")])
-
-    return events.groupBy("x", "y").applyInPandas(fold, CHAINS)
+    class Pair:
+        def __init__(self):
+            self.chain, self.told = _Chain(lambda s: first if s == 0 else window), 0
+
+        def add(self, e):
+            stages, events, _, of, extra = self.chain.step(e.t, int(e.stage), 0 if e.on_victim else int(e.weight))
+            if stages < min_stages or stages <= self.told or e.t < e.sure_t:
+                return ()
+            row = (e.x, e.y, e.t, "incident_update" if self.told else "incident", sorted(of), "critical" if stages >= 3 else "high", events, extra)
+            self.told = stages
+            return [row]
+
+        def end(self):
+            return ()
+
+    return folded(events, ["x", "y"], Pair, CHAINS, order=("t", "stage", "seq"))
 
 
 def victim_weight(incidents: DataFrame, alerts: DataFrame, victim: str, day: int = 86_400_000_000_000) -> DataFrame:

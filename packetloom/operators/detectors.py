@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import entropy, left_label, median_of, registered_domain
-from .primitives import distinct_within, last_before, last_n, ordered, rate, recent, window_hits
+from .primitives import distinct_within, last_before, last_n, ordered, rate, rates, recent, window_hits
 
 
 def detection_filter(df: DataFrame, track: str, n: int, span: int) -> DataFrame:
@@ -36,7 +36,7 @@ def syn_flood(outcomes: DataFrame, key: str, n: int, span: int, ratio: float, ma
 
 def distinct_scan(probes: DataFrame, key: list[str], value: str, n: int, span: int) -> DataFrame:
     """Probes by which a key has reached n distinct values within span (port scan, host sweep, ping sweep)."""
-    return distinct_within(probes, key, value, span).where(F.col("n_distinct") >= n)
+    return distinct_within(probes, key, value, span, least=n)
 
 
 def rate_flood(df: DataFrame, key: list[str], value: Column, span: int, least: int, replies: Column | None = None, max_reply_ratio: float = 0.02) -> DataFrame:
@@ -44,9 +44,8 @@ def rate_flood(df: DataFrame, key: list[str], value: Column, span: int, least: i
     if replies is None:
         return rate(df, key, value, span).where(F.col("rate") >= least)
     forward = (~replies).cast("long")
-    rows = rate(df.withColumn("__fwd", forward), key, value * F.col("__fwd"), span).drop("anchor", "bucket")
-    rows = rate(rows, key, F.col("__fwd"), span, out="packets").drop("anchor", "bucket")
-    rows = rate(rows, key, 1 - F.col("__fwd"), span, out="replies").drop("anchor", "bucket")
+    way = F.col("__fwd")
+    rows = rates(df.withColumn("__fwd", forward), key, {"rate": value * way, "packets": way, "replies": 1 - way}, span)
     return rows.where((F.col("__fwd") == 1) & (F.col("rate") >= least) & (F.col("replies") <= max_reply_ratio * F.col("packets"))).drop("__fwd")
 
 
@@ -110,19 +109,17 @@ def flip_flops(df: DataFrame, ip: str, mac: str, idle: int, n: int, span: int, m
 
 def amplification(df: DataFrame, key: list[str], response: Column, query: Column, span: int, min_bytes: int, min_ratio: float, unmatched: Column | None = None) -> DataFrame:
     """Rows whose key got min_bytes of responses in the ring, and min_ratio times the bytes of its queries; or min_bytes of unmatched ones alone."""
-    rows = rate(df, key, response, span, out="response_bytes").drop("anchor", "bucket")
-    rows = rate(rows, key, query, span, out="query_bytes").drop("anchor", "bucket")
+    rows = rates(df, key, {"response_bytes": response, "query_bytes": query} | ({"unmatched_bytes": unmatched} if unmatched is not None else {}), span)
     much = (F.col("response_bytes") >= min_bytes) & (F.col("response_bytes") >= min_ratio * F.col("query_bytes"))
     if unmatched is None:
         return rows.where(much)
-    rows = rate(rows, key, unmatched, span, out="unmatched_bytes").drop("anchor", "bucket")
     return rows.where((F.col("unmatched_bytes") >= min_bytes) | much)
 
 
 def tunnel_subdomains(df: DataFrame, key: list[str], name: str, n: int, span: int, min_entropy: float, min_length: float) -> DataFrame:
     """Queries by which a key has asked for n distinct subdomains of one registered domain, of high entropy or great length on average."""
     rows = df.withColumn("domain", registered_domain(F.col(name))).withColumn("sub", left_label(F.col(name)))
-    rows = distinct_within(rows, [*key, "domain"], "sub", span, keep="subs").where(F.col("n_distinct") >= n)
+    rows = distinct_within(rows, [*key, "domain"], "sub", span, keep="subs", least=n)
     m = F.size("subs")
     rows = rows.withColumn("avg_entropy", F.aggregate("subs", F.lit(0.0), lambda a, s: a + entropy(s)) / m)
     rows = rows.withColumn("avg_length", F.aggregate("subs", F.lit(0.0), lambda a, s: a + F.length(s)) / m)
@@ -131,7 +128,7 @@ def tunnel_subdomains(df: DataFrame, key: list[str], name: str, n: int, span: in
 
 def nxdomain_burst(df: DataFrame, client: str, name: str, n: int, span: int, min_entropy: float) -> DataFrame:
     """Answers by which a client has met n distinct unknown names within span, half of them or more with a random-looking first label."""
-    rows = distinct_within(df, [client], name, span, keep="names").where(F.col("n_distinct") >= n)
+    rows = distinct_within(df, [client], name, span, keep="names", least=n)
     random = F.size(F.filter("names", lambda x: entropy(left_label(x)) >= min_entropy))
     return rows.withColumn("n_random", random.cast("long")).where(F.col("n_random") * 2 >= F.size("names")).drop("names")
 

@@ -47,19 +47,21 @@ def ip_feed_join(df: DataFrame, ip: str, ranges: DataFrame) -> DataFrame:
     nets = nets.select("entry", "bits", F.expr("n div shiftleft(1L, 32 - bits)").alias("prefix"))
     lengths = sorted(r.bits for r in nets.select("bits").distinct().collect())
     number = df.withColumn("__n", ip4_number(F.col(ip))).where("__n is not null")
-    tries = number.withColumn("__b", F.explode(F.array(*[F.lit(b) for b in lengths]) if lengths else F.array().cast("array<int>")))
+    # the best entry of each different address, so that rows alike stay as many as they are
+    tries = number.select("__n").distinct().withColumn("__b", F.explode(F.array(*[F.lit(b) for b in lengths]) if lengths else F.array().cast("array<int>")))
     tries = tries.withColumn("__p", F.expr("__n div shiftleft(1L, 32 - __b)"))
     hit = tries.join(_sized(nets), (F.col("__b") == nets["bits"]) & (F.col("__p") == nets["prefix"]))
-    best = hit.groupBy(*df.columns).agg(F.max_by("entry", "bits").alias("indicator"))
-    return best
+    best = hit.groupBy("__n").agg(F.max_by("entry", "bits").alias("indicator"))
+    return number.join(best, "__n").select(*df.columns, "indicator")
 
 
 def domain_feed_join(df: DataFrame, name: str, domains: DataFrame) -> DataFrame:
     """Rows whose name is a listed domain or below one, with the shortest such domain as indicator."""
     listed = domains.select(F.regexp_replace(F.lower("entry"), r"\.+$", "").alias("indicator")).distinct()
-    tries = df.withColumn("__d", F.explode(parent_domains(F.col(name))))
+    tries = df.select(F.col(name).alias("__name")).distinct().withColumn("__d", F.explode(parent_domains(F.col("__name"))))
     hit = tries.join(_sized(listed), F.col("__d") == F.col("indicator"))
-    return hit.groupBy(*df.columns).agg(F.min_by("indicator", F.length("indicator")).alias("indicator"))
+    best = hit.groupBy("__name").agg(F.min_by("indicator", F.length("indicator")).alias("indicator"))
+    return df.join(best, df[name] == best["__name"]).select(*[df[c] for c in df.columns], "indicator")
 
 
 def hash_feed_join(df: DataFrame, digest: Column, hashes: DataFrame) -> DataFrame:

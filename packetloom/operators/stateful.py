@@ -6,39 +6,17 @@ its number of rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .handshake import FIN, RST, SYN, connection
+from .primitives import folded
 
 SECOND = 1_000_000_000
 
 
-def folded(df: DataFrame, key: list[str], fold: Callable[[], object], schema: str) -> DataFrame:
-    """Each key's rows by (t, seq) through its own fold(): an object with add(row) and end(), which return rows of the schema."""
-    names = [x.split()[0] for x in schema.split(", ")]
-    at = [df.columns.index(k) for k in key]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, state = None, None
-        for pdf in batches:
-            out: list[tuple] = []
-            for row in pdf.itertuples(index=False):
-                mine = tuple(row[i] for i in at)
-                if state is None or mine != now:
-                    out += state.end() if state is not None else ()
-                    now, state = mine, fold()
-                out += state.add(row)
-            yield pd.DataFrame(out, columns=names)
-        if state is not None:
-            yield pd.DataFrame(list(state.end()), columns=names)
-
-    return df.repartition(*key).sortWithinPartitions(*key, "t", "seq").mapInPandas(run, schema)
-
-
 DNS_OUTCOMES = "what string, seq long, t long, client string, server string, cport int, id string, qname string, outcome string, query_size long"
 
 

@@ -86,9 +86,9 @@ def content_nocase_pages(spark, sf):
     return read(spark, sf, "pages").select("page_id", P.contains(F.col("url"), "Example.COM", nocase=True).alias("hit"))
 
 
-@query(r"SELECT doc_id, regexp_matches(text, '\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b') AS hit FROM documents WHERE length(text) <= 16384")
+@query(r"SELECT doc_id, regexp_matches(left(text, 16384), '\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b') AS hit FROM documents")
 def regex_documents_ip(spark, sf):
-    return read(spark, sf, "documents").where(F.length("text") <= 16384).select("doc_id", P.matches(F.col("text"), r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b").alias("hit"))
+    return read(spark, sf, "documents").select("doc_id", P.matches(F.col("text"), r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b").alias("hit"))
 
 
 @query(r"SELECT page_id, regexp_matches(url, '(?i)\.(COM|net)/[a-z]{2}/[0-9]+$') AS hit FROM pages")
@@ -249,9 +249,7 @@ def host_sweep(spark, sf):
 @query(", q AS (SELECT CAST(l_suppkey AS BIGINT) AS s, epoch_us(l_shipdate) AS t, l_orderkey * 8 + l_linenumber AS seq, l_returnflag AS f, l_partkey AS v FROM lineitem) SELECT s, t, max(n) AS most FROM (SELECT a.s, a.t, a.seq, count(DISTINCT b.v) AS n FROM q a JOIN q b ON a.s = b.s AND b.t BETWEEN a.t - 2592000000000 AND a.t AND (b.t < a.t OR b.seq <= a.seq) GROUP BY 1, 2, 3) GROUP BY 1, 2")
 def distinct_ties_lineitem(spark, sf):
     q = read(spark, sf, "lineitem").select(F.col("l_suppkey").alias("s"), S.micros("l_shipdate").alias("t"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seq"), F.col("l_partkey").alias("v"))
-    frame = F.collect_list(F.struct("seq", "t", "v")).over(Window.partitionBy("s").orderBy("t").rangeBetween(-30 * 24 * H, 0))
-    seen = F.array_distinct(F.transform(F.filter(frame, lambda x: (x["t"] < F.col("t")) | (x["seq"] <= F.col("seq"))), lambda x: x["v"]))
-    return q.withColumn("n", F.size(seen).cast("long")).groupBy("s", "t").agg(F.max("n").alias("most"))
+    return K.distinct_within(q, ["s"], "v", 30 * 24 * H, out="n").groupBy("s", "t").agg(F.max("n").alias("most"))
 
 
 # ---- S3

@@ -79,9 +79,13 @@ class Engine:
         spans = _kept(S.slow_spans(self.packets, rules, [p for p, name in PORTS.items() if name == "http"]))
         end = self.packets.agg(F.max("t").alias("__end"))  # one row
         kept = spans.withColumn("g", F.lit("TCP")).crossJoin(F.broadcast(end)).where("enter <= __end").drop("__end")
-        # the flow as a packet from its client, for whitelists and pass rules
+        return kept.where(~self.quiet_view)
+
+    @cached_property
+    def quiet_view(self) -> Column:
+        """What whitelist and pass rules silence of rows that stand for a packet from a client: flows, opening SYNs, probes."""
         quiet = [header(r) for r in self.rules.rules if r.action == "pass" and not r.options] + ([P.address("src", self.whitelist)] if self.whitelist else [])
-        return kept.where(~reduce(lambda a, b: a | b, quiet)) if quiet else kept
+        return F.coalesce(reduce(lambda a, b: a | b, quiet), F.lit(False)) if quiet else F.lit(False)
 
     @cached_property
     def probes(self) -> DataFrame:
@@ -123,17 +127,18 @@ class Engine:
         for kind in ("ip_feed", "domain_feed", "ja3_feed"):
             if given := r.get(kind):
                 return self._feed(r, fits, kind, given)
-        rows = self.packets.where(header(r)) if r.proto != "ip" else self.packets
+        rows = self.packets.where(header(r))
         audible = rows.where(~self.silenced)
+        view = header(r) & ~self.quiet_view  # of derived rows: in the rule's scope, and not silenced
         match r.detect:
             case "syn_flood":
-                hit = D.syn_flood(self.handshakes, side, n, span, float(r.get("min_incomplete_ratio", 0.8)), int(r.get("max_distinct_ports", 5)), F.col("bad"))
+                hit = D.syn_flood(self.handshakes.where(view), side, n, span, float(r.get("min_incomplete_ratio", 0.8)), int(r.get("max_distinct_ports", 5)), F.col("bad"))
                 return self._out(hit, sid, [F.col(side)])
             case "port_scan":
-                probes = self.probes.withColumn("target", F.concat_ws("/", F.col("dport").cast("string"), "g"))
+                probes = self.probes.where(view).withColumn("target", F.concat_ws("/", F.col("dport").cast("string"), "g"))
                 return self._out(D.distinct_scan(probes, ["src"], "target", int(r.get("distinct_ports")), span), sid, [F.col("src")])
             case "host_sweep":
-                return self._out(D.distinct_scan(self.probes, ["src", "dport", "g"], "dst", int(r.get("distinct_hosts")), span), sid, [F.col("src"), F.col("dport")])
+                return self._out(D.distinct_scan(self.probes.where(view), ["src", "dport", "g"], "dst", int(r.get("distinct_hosts")), span), sid, [F.col("src"), F.col("dport")])
             case "ping_sweep":
                 pings = audible.where("g = 'ICMP' and icmp_type in (8, 128)")
                 return self._out(D.distinct_scan(pings, ["src"], "dst", int(r.get("distinct_hosts")), span), sid, [F.col("src")])
@@ -156,7 +161,7 @@ class Engine:
                     side = "dst"
                     pair = F.least("src", "dst"), F.greatest("src", "dst")
                     both = self.packets.where("g = 'ICMP'").withColumns({"a": pair[0], "b": pair[1]})
-                    icmp = D.unsolicited(both, ["a", "b", "echo_id"], F.col("icmp_type").isin(8, 128), F.col("icmp_type").isin(0, 129), 10 * SECOND)
+                    icmp = D.unsolicited(both, ["a", "b", "echo_id"], F.col("icmp_type").isin(8, 128), F.col("icmp_type").isin(0, 129), 10 * SECOND).where(header(r)).where(~self.silenced)
                 else:
                     side = "dst"
                     icmp = icmp.where("icmp_type in (3, 4, 5, 11, 12)")
@@ -183,17 +188,17 @@ class Engine:
             case "dns_spoof":
                 kind = r.get("kind")
                 if kind == "id_race":
-                    heard = self.dns_responses.select("seq", "g", "src", "dst", "sport", "dport").distinct()
+                    heard = self.dns_responses.where(header(r)).select("seq", "g", "src", "dst", "sport", "dport").distinct()
                     ids = S.asked_names(self.dns_events).join(heard, "seq")
                     hit = D.distinct_scan(ids, ["client", "server", "qname"], "id", n, span)
                 elif kind == "qname_mismatch":
-                    hit = self.dns_responses.where("outcome = 'mismatch'")
+                    hit = self.dns_responses.where(header(r)).where("outcome = 'mismatch'")
                 else:
-                    hit = K.window_hits(self.dns_responses.where("outcome = 'unsolicited'"), ["client"], n, span)
+                    hit = K.window_hits(self.dns_responses.where(header(r)).where("outcome = 'unsolicited'"), ["client"], n, span)
                 return self._out(hit, sid, [F.col("client")])
             case "dns_amplification":
                 free = F.when(F.col("outcome") == "matched", 0).otherwise(F.col("size")).cast("long")
-                hit = D.amplification(self.dns_responses, ["client"], F.col("size"), F.coalesce("query_size", F.lit(0)), span, int(r.get("min_bytes")), float(r.get("min_ratio", 10)), unmatched=free)
+                hit = D.amplification(self.dns_responses.where(header(r)), ["client"], F.col("size"), F.coalesce("query_size", F.lit(0)), span, int(r.get("min_bytes")), float(r.get("min_ratio", 10)), unmatched=free)
                 return self._out(hit, sid, [F.col("client")])
             case "slowloris":
                 mine = self.slow.where(F.col("sid") == r.sid).where(header(r))
@@ -202,7 +207,7 @@ class Engine:
             case "arp_spoof":
                 return self._arp(r, sid, n, span)
             case "dns_tunnel":
-                asked = self.dns.where(~F.col("response") & F.col("qname").isNotNull())
+                asked = self.dns.where(header(r)).where(~F.col("response") & F.col("qname").isNotNull())
                 if allow := r.get("allow"):
                     asked = asked.where(~P.domain(F.col("qname"), _items(allow)))
                 if r.get("kind") == "txt":
@@ -210,7 +215,7 @@ class Engine:
                 hit = D.tunnel_subdomains(asked, ["src", "dst"], "qname", n, span, float(r.get("min_entropy", 3.5)), float(r.get("min_length", 50)))
                 return self._out(hit, sid, [F.col("src"), F.col("dst"), F.col("domain")])
             case "dns_nxdomain_burst":
-                none = self.dns.where(F.col("response") & (F.col("rcode") == "3") & F.col("qname").isNotNull())
+                none = self.dns.where(header(r)).where(F.col("response") & (F.col("rcode") == "3") & F.col("qname").isNotNull())
                 return self._out(D.nxdomain_burst(none, "dst", "qname", n, span, float(r.get("min_entropy", 3.0))), sid, [F.col("dst")])
             case "beacon":
                 return self._beacon(r, audible, sid)
@@ -251,7 +256,7 @@ class Engine:
         return self._out(hit.withColumns({"src": F.nullif("host", F.lit("")), "dst": F.lit(None).cast("string")}), sid, [F.col("host"), F.col("metric")])
 
     def _arp(self, r: Rule, sid: Column, n: int, span: int) -> DataFrame | None:
-        arp = self.heard.where("g = 'ARP'")
+        arp = self.heard.where(header(r))
         claims = arp.where("src <> '0.0.0.0'").withColumnRenamed("arp_sender_mac", "mac")
         hours = 4 * 3600 * SECOND
         kind = r.get("kind")

@@ -13,12 +13,12 @@ from packetloom.sources import pcap  # noqa: E402
 S = 10**9
 
 
-def fired(spark, tmp_path, frames, rules):
+def fired(spark, tmp_path, frames, rules, whitelist=None):
     """{sid: keys that fired} of a capture of (seconds, frame)."""
     (tmp_path / "x.pcap").write_bytes(T.pcap([(int(t * S), f) for t, f in sorted(frames, key=lambda x: x[0])]))
     rows = pcap.packets(pcap.read_frames(spark, f"{tmp_path}/x.pcap")).cache()
     out: dict[int, set] = {}
-    for r in Engine(R.parse(rules), rows).firings().collect():
+    for r in Engine(R.parse(rules), rows, whitelist).firings().collect():
         out.setdefault(r.sid, set()).add(r.key)
     return out
 
@@ -157,3 +157,25 @@ alert tcp any any -> any any (msg:"r"; detect:slowloris; kind:slow_read; track:b
 def test_nothing_applies(spark, tmp_path):
     rule = 'alert arp any any -> any any (msg:"s"; detect:arp_spoof; kind:static_violation; sid:1;)'
     assert fired(spark, tmp_path, [(1, T.ping("10.0.0.1", "10.0.0.2"))], rule) == {}
+
+
+def test_scope_and_silence_of_derived_rows(spark, tmp_path):
+    """Rules see handshakes, probes, DNS and echo answers only inside their header's addresses, and not those of silenced hosts."""
+    frames = []
+    for k, src in enumerate(("203.0.113.5", "10.0.0.5", "10.0.0.6", "10.0.0.7")):
+        frames += [(k + i / 100, T.tcp(src, 2000 + i, "192.0.2.9", 80, "S", seq=i)) for i in range(6)]  # opened, never answered
+        frames += [(k + 0.2 + i / 100, T.tcp(src, 3000 + i, "192.0.2.9", 100 + i, "S", seq=i)) for i in range(6)]
+        frames += [(k + 0.4 + i / 100, T.tcp(src, 4000 + i, f"192.0.2.{20 + i}", 25, "S", seq=i)) for i in range(6)]
+        frames += [(k + 0.6 + i / 100, T.ping("198.51.100.1", src, kind=0, ident=i)) for i in range(6)]  # answers to nothing
+        frames += [(k + 0.8 + i / 100, T.udp(src, 5000, "192.0.2.53", 53, T.query(i, f"x{i}qzv8k{i}wj2.evil.example"))) for i in range(6)]
+    frames.append((90, T.udp("192.0.2.1", 9, "192.0.2.2", 9)))
+    rules = """
+alert tcp 10.0.0.0/8 any -> any 80 (msg:"f"; detect:syn_flood; track:by_src; count:5; seconds:5; min_incomplete_ratio:0.8; max_distinct_ports:50; sid:1;)
+alert ip 10.0.0.0/8 any -> any any (msg:"p"; detect:port_scan; distinct_ports:6; seconds:5; sid:2;)
+alert ip 10.0.0.0/8 any -> any any (msg:"h"; detect:host_sweep; distinct_hosts:6; seconds:5; sid:3;)
+alert icmp any any -> 10.0.0.0/8 any (msg:"u"; detect:icmp_flood; kind:unsolicited_reply; count:5; seconds:5; sid:4;)
+alert ip 10.0.0.0/8 any -> any any (msg:"t"; detect:dns_tunnel; kind:subdomains; count:5; seconds:5; min_entropy:1; sid:5;)
+pass ip 10.0.0.7 any -> any any (msg:"quiet"; sid:9;)
+"""
+    got = fired(spark, tmp_path, frames, rules, whitelist="10.0.0.6")
+    assert {sid: {k.split("|")[0] for k in keys} for sid, keys in got.items()} == {1: {"10.0.0.5"}, 2: {"10.0.0.5"}, 3: {"10.0.0.5"}, 4: {"10.0.0.5", "10.0.0.6", "10.0.0.7"}, 5: {"10.0.0.5"}}

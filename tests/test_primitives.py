@@ -119,3 +119,28 @@ def test_scalars(spark):
     assert tuple(row) == (1.842371, "a/b%zz+A%", "a=1 2", "b.co.uk", "example.com", "[::1]", True)
     assert S.format_duration(39_000_000) == "39ms" and S.format_duration(3_723_500_000_000) == "1h2m3.5s" and S.parse_size("2K") == 2048
     assert S.fnv1a_64(b"") == 0xCBF29CE484222325
+
+
+def test_chain_matches_all_pairs():
+    """The chain that keeps one entry a stage equals the one over all earlier events."""
+    import random
+
+    from packetloom.operators import correlate
+
+    random.seed(4)
+    for _ in range(300):
+        events = sorted((random.randrange(60), random.randrange(5)) for _ in range(random.randrange(1, 25)))
+        best = []
+        for i, (t, stage) in enumerate(events):
+            best.append(max([(1, 1)] + [(best[j][0] + (s < stage), best[j][1] + 1) for j, (u, s) in enumerate(events[:i]) if s <= stage and t - u <= 9]))
+        assert correlate.longest_chain(events, 9) == max(best)
+
+
+def test_feeds_keep_equal_rows(spark):
+    from packetloom.operators import feeds
+
+    rows = spark.createDataFrame([("10.0.0.1", "a.b.example")] * 3 + [("192.0.2.1", "other.example")], "ip string, name string")
+    nets = spark.createDataFrame([("10.0.0.0/8",), ("10.0.0.0/16",)], "entry string")
+    assert [r.indicator for r in feeds.ip_feed_join(rows, "ip", nets).collect()] == ["10.0.0.0/16"] * 3
+    names = spark.createDataFrame([("b.example",), ("a.b.example",)], "entry string")
+    assert [r.indicator for r in feeds.domain_feed_join(rows, "name", names).collect()] == ["b.example"] * 3
