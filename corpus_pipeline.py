@@ -1,7 +1,11 @@
 """A pipeline that prepares `documents` as training text: each stage applies one operator of packetloom.llm.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next stage's docs.
-All but the last return the columns of documents.
+All but the last return the columns of documents; the last adds size, text_crc32, law, shard, slot and grown_shard.
+
+Defined cases: null or empty texts fail the quality rules, so no later stage meets them; a null lang is a language of its own, a null
+source the last one; rows that repeat a doc_id stay or go together in near_duplicates; a null doc_id is never a lesser copy of another row
+there. Other columns of documents are left out. An empty table gives an empty result.
 """
 
 from __future__ import annotations
