@@ -5,7 +5,7 @@ import os
 import pytest
 
 duckdb = pytest.importorskip("duckdb")
-from packetloom.plans import catalog  # noqa: E402
+from packetloom.plans import catalog, framed  # noqa: E402, F401  framed adds its queries
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
