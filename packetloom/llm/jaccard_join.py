@@ -18,8 +18,8 @@ Spread over a cluster, in four written steps:
    join their blocks; blocks over `chunk` shingles are dealt out in chunks, each with the leader.
 4. In a chunk members are first held against the leader. Those linked with it are one component already,
    so only the others search: merge of the short lists, binary probes of long ones, exact overlap. What is left unlinked in a block
-   of several chunks searches the other chunks too, a pair of chunks a task, so no task gets more than two. Edges
-   of a spanning forest come out; connected components follow.
+   of several chunks is dealt out anew: groups of such members search each other and groups of the rest, two groups a task, each
+   pair once. Edges of a spanning forest come out; connected components follow.
 
 Nothing is capped or sampled: steps 2 to 4 see every node, and links are exact up to 64-bit hash
 collisions. The driver gets only the `frequent` shingles (16 bytes each, a fixed bound).
@@ -38,7 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec
@@ -244,27 +244,30 @@ def _index(sets: list[np.ndarray], wanted: np.ndarray) -> dict[int, np.ndarray]:
     return dict(zip(token[cut].tolist(), np.split(member, cut[1:]))) if len(cut) else {}
 
 
-def linked_pairs(sets: list[np.ndarray], num: int, den: int, lead: int = 0) -> tuple[list[tuple[int, int]], list[int]]:
-    """Edges of a spanning forest of the link graph on `sets`, and the members that don't link with the leader."""
-    n, edges, forest = len(sets), [], Forest(len(sets))
+def led(sets: list[np.ndarray], num: int, den: int, lead: int) -> np.ndarray:
+    """Which sets link with the leader (itself included)."""
     sizes = np.array([len(s) for s in sets])
     head = sets[lead]
     every = np.concatenate(sets)
     at = np.minimum(np.searchsorted(head, every), len(head) - 1)
     shared = np.add.reduceat(head[at] == every, np.append(0, np.cumsum(sizes)[:-1]))
-    near = shared * (num + den) >= num * (sizes + sizes[lead])
-    for x in np.flatnonzero(near):
-        if forest.join(lead, int(x)):
-            edges.append((lead, int(x)))
+    return shared * (num + den) >= num * (sizes + sizes[lead])
+
+
+def linked_pairs(sets: list[np.ndarray], num: int, den: int, lead: int = 0) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the link graph on `sets`."""
+    forest = Forest(len(sets))
+    near = led(sets, num, den, lead)
+    edges = [(lead, int(x)) for x in np.flatnonzero(near) if forest.join(lead, int(x))]
     others = np.flatnonzero(~near).tolist()
-    if not others or n == 2:
-        return edges, others
-    index = _index(sets, np.unique(np.concatenate([sets[o] for o in others])))
-    for o in others:
-        for x in partners(sets[o], index, sizes, num, den):
-            if x != o and forest.join(o, x):
-                edges.append((o, x))
-    return edges, others
+    return edges + (asked(sets, others, list(range(len(sets))), num, den, forest) if others and len(sets) > 2 else [])
+
+
+def asked(sets: list[np.ndarray], asks: list[int], others: list[int], num: int, den: int, forest: Forest) -> list[tuple[int, int]]:
+    """Links of the asking sets with the others, as far as they join trees of the forest."""
+    index = _index([sets[o] for o in others], np.unique(np.concatenate([sets[a] for a in asks])))
+    sizes = np.array([len(sets[o]) for o in others])
+    return [(a, others[x]) for a in asks for x in partners(sets[a], index, sizes, num, den) if a != others[x] and forest.join(a, others[x])]
 
 
 def partners(query: np.ndarray, index: dict[int, np.ndarray], sizes: np.ndarray, num: int, den: int) -> list[int]:
@@ -275,20 +278,20 @@ def partners(query: np.ndarray, index: dict[int, np.ndarray], sizes: np.ndarray,
 
 
 def _search(key: tuple, rows: list[tuple[int, bool, np.ndarray]], num: int, den: int) -> list[tuple[int, int, int]]:
-    """What the members of one cell say: rows of EDGE. Queries of a cell of two chunks are held against the others only."""
+    """What the members of one cell say: rows of EDGE. Cells with two < 0 have the leader; in others the asking members are held
+    against those of group two."""
     block, one, two, whole = key
     if len(rows) < 2:
         return []
     nodes, sets = [r[0] for r in rows], [r[2] for r in rows]
-    if one == two:
-        edges, open_ = linked_pairs(sets, num, den, nodes.index(block))
-        return [(0, nodes[a], nodes[b]) for a, b in edges] + ([] if whole else [(1, block, nodes[x]) for x in open_])
-    asks, others = [r for r in rows if r[1]], [r for r in rows if not r[1]]
-    if not asks or not others:
-        return []
-    index = _index([r[2] for r in others], np.unique(np.concatenate([r[2] for r in asks])))
-    sizes = np.array([len(r[2]) for r in others])
-    return [(0, node, others[x][0]) for node, _, s in asks for x in partners(s, index, sizes, num, den)]
+    if two >= 0:
+        every = list(range(len(rows)))
+        asks, others = (every, every) if one == two else ([i for i in every if rows[i][1]], [i for i in every if not rows[i][1]])
+        found = asked(sets, asks, others, num, den, Forest(len(rows))) if asks and others else []
+        return [(0, nodes[a], nodes[b]) for a, b in found]
+    if whole:
+        return [(0, nodes[a], nodes[b]) for a, b in linked_pairs(sets, num, den, nodes.index(block))]
+    return [(1 - int(near), block, node) for node, near in zip(nodes, led(sets, num, den, nodes.index(block))) if node != block]
 
 
 def _blocks(k: int, num: int, den: int):
@@ -388,17 +391,23 @@ def jaccard_components(
         return cut.select("block", "one", "two", "whole", "asks", "node", "text").mapInArrow(_blocks(k, num, den), _ddl(EDGE)).distinct()
 
     homes = F.when(F.col("node") == F.col("block"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array("mine"))
-    first = dealt.select("block", "node", F.explode(homes).alias("one"), (F.col("chunks") == 1).alias("whole")).select("*", F.col("one").alias("two"), F.lit(True).alias("asks"))
+    first = dealt.select("block", "node", F.explode(homes).alias("one"), (F.col("chunks") == 1).alias("whole")).select("*", F.lit(-1).alias("two"), F.lit(True).alias("asks"))
     found = written(searched(first), "links")
     tables = [found]
-    open_ = found.where("kind = 1").select(F.col("u").alias("block"), F.col("v").alias("node"))
+    open_ = found.where("kind = 1").select(F.col("u").alias("block"), F.col("v").alias("node"), F.lit(True).alias("open"))
     if not open_.isEmpty():
-        asking = open_.join(dealt.select("block", "node", "mine", "chunks"), ["block", "node"])
-        others = F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: c != F.col("mine"))
-        queries = asking.select("block", "node", F.col("mine").alias("one"), F.explode(others).alias("two"), F.lit(True).alias("asks"))
-        chunks = asking.select("block", F.col("mine").alias("one")).distinct()
-        answers = dealt.join(chunks, "block").where("mine <> one").select("block", "node", "one", F.col("mine").alias("two"), F.lit(False).alias("asks"))
-        tables.append(written(searched(queries.unionByName(answers).withColumn("whole", F.lit(False))), "links"))
+        # groups of open members meet each other and the groups of the rest; the rest need not meet each other
+        many = members.where("node <> block").join(open_, ["block", "node"], "left").withColumn("open", F.coalesce("open", F.lit(False)))
+
+        def groups(which) -> Column:
+            return F.least(F.ceil(F.sum(F.when(which, F.col("n")).otherwise(0)) / chunk), F.ceil(F.count_if(which) / 8)).cast("int")
+
+        counts = many.groupBy("block").agg(groups(F.col("open")).alias("asking"), groups(~F.col("open")).alias("resting")).where("asking > 0")
+        own = F.when(F.col("open"), F.pmod(F.xxhash64("node"), F.col("asking"))).otherwise(F.col("asking") + F.pmod(F.xxhash64("node"), F.greatest("resting", F.lit(1)))).cast("int")
+        met = F.when(F.col("open"), F.sequence(F.lit(0), F.col("asking") + F.col("resting") - 1)).otherwise(F.sequence(F.lit(0), F.col("asking") - 1))
+        pairs = many.join(counts, "block").withColumn("own", own).select("block", "node", "own", F.explode(met).alias("other"))
+        cells = pairs.select("block", "node", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), F.lit(False).alias("whole"), (F.col("own") <= F.col("other")).alias("asks"))
+        tables.append(written(searched(cells), "links"))
     edges = tables[0] if len(tables) == 1 else tables[0].unionAll(tables[1])
     roots = components(edges.where("kind = 0").select("u", "v"))
     for df in (members, *tables):
