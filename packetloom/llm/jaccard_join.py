@@ -53,6 +53,7 @@ NAMED = pa.schema([("node", pa.int64()), ("text", pa.string())])
 POSTING = np.dtype([("token", "<u8"), ("node", "<i8"), ("n", "<u4"), ("pos", "<u4"), ("rare", "<u2")])
 BLOCK_TOKENS = 1 << 22  # shingles counted together before the rare ones among them are forgotten
 FLUSH = 1 << 20  # postings packed at once
+BITS = 1 << 26  # of the bitmap of wanted ids: 8 MB
 PAIRED = 24  # lists of up to so many postings are thinned pair by pair
 
 
@@ -353,6 +354,17 @@ def _frequent(scan: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
     return tokens, rank
 
 
+def _among(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs without most of those whose doc_id isn't among ids (an exact join follows): a bitmap of `BITS` hashed ids is broadcast,
+    whatever their number, so that texts nobody asks for don't travel."""
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(BITS))
+    maps = ids.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
+    here = docs.where("doc_id is not null").withColumn("bit", bit).join(F.broadcast(maps), F.bitmap_bucket_number("bit") == F.col("bucket"))
+    at = F.bitmap_bit_position("bit").cast("int")
+    byte = F.conv(F.hex(F.substring("bits", F.shiftright(at, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    return here.where(F.getbit(byte, at % 8) == 1).select(*docs.columns)
+
+
 def jaccard_components(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 75, den: int = 100,
     frequent: int = 1 << 21, chunk: int = 1 << 18,
@@ -381,9 +393,8 @@ def jaccard_components(
 
     def searched(cells: DataFrame) -> DataFrame:
         """cells (block, node, one, two, whole, asks) with the texts of their nodes, searched cell by cell."""
-        placed = cells.join(reps, "node").select("block", "node", "one", "two", "whole", "asks", F.col("rep").alias("doc_id"))
-        wanted = docs.join(placed.select("doc_id").distinct(), "doc_id", "left_semi")
-        cut = placed.join(wanted, "doc_id").drop("doc_id")
+        placed = cells.join(reps.hint("merge"), "node").select("block", "node", "one", "two", "whole", "asks", F.col("rep").alias("doc_id"))
+        cut = placed.join(_among(docs, placed.select("doc_id")).hint("merge"), "doc_id").drop("doc_id")
         if nameless:  # nodes that have null ids only are told by their texts
             texts = docs.where("doc_id is null and text is not null").select("text").mapInArrow(_nodes_of(k), "node long, text string").groupBy("node").agg(F.min("text").alias("text"))
             cut = cut.unionByName(placed.where("doc_id is null").drop("doc_id").join(texts, "node"))
