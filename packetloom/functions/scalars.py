@@ -20,6 +20,21 @@ def entropy(text: Column) -> Column:
     return F.when(F.length(text) == 0, F.lit(0.0)).otherwise(F.aggregate(shares, F.lit(0.0), lambda a, p: a - p * F.log2(p)))
 
 
+#: Payloads that ordinary ping programs send count up from 0 (after a time of 8 or 16 bytes), repeat a to w, or are zero.
+PINGS = [("".join(map(chr, range(256))), 0), ("".join(map(chr, range(256))), 8), ("".join(map(chr, range(256))), 16), ("abcdefghijklmnopqrstuvw", 0), ("\0", 0)]
+
+
+def standard_echo(payload: Column) -> Column:
+    """Whether an echo's payload (binary) is one that ordinary ping programs send; an empty one is, a missing one isn't."""
+    text = F.decode(payload, "ISO-8859-1")
+    n = F.length(text)
+    out = n == 0
+    for unit, after in PINGS:
+        whole = F.repeat(F.lit(unit), (n / len(unit)).cast("int") + 1)
+        out = out | (n > after) & (F.substring(text, F.lit(after + 1), n) == F.substring(whole, F.lit(after + 1), n - after))
+    return F.coalesce(out, F.lit(False))
+
+
 def percent_decode(text: Column) -> Column:
     """%XX decoded once, to ISO-8859-1 (one character a byte); broken escapes and + stay."""
     parts = F.split(text, "%")

@@ -11,7 +11,7 @@ from functools import cached_property, reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import SEVERITIES, entropy
+from ..functions.scalars import SEVERITIES, entropy, standard_echo
 from ..operators import correlate as C
 from ..operators import detectors as D
 from ..operators import feeds
@@ -223,7 +223,7 @@ class Engine:
                 return self._baseline(r, sid)
             case "icmp_tunnel":
                 text = F.decode("payload", "ISO-8859-1")
-                echoes = audible.where("g = 'ICMP' and icmp_type in (0, 8) and length(payload) > 0").withColumns({"size": F.length("payload"), "h": entropy(text)})
+                echoes = audible.where("g = 'ICMP' and icmp_type in (0, 8)").where(~standard_echo(F.col("payload"))).withColumns({"size": F.length("payload"), "h": entropy(text)})
                 return self._out(D.tunnel_sizes(echoes, ["src", "dst"], "size", "h", n, span), sid, [F.col("src"), F.col("dst")])
         return None
 

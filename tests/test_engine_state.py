@@ -179,3 +179,12 @@ pass ip 10.0.0.7 any -> any any (msg:"quiet"; sid:9;)
 """
     got = fired(spark, tmp_path, frames, rules, whitelist="10.0.0.6")
     assert {sid: {k.split("|")[0] for k in keys} for sid, keys in got.items()} == {1: {"10.0.0.5"}, 2: {"10.0.0.5"}, 3: {"10.0.0.5"}, 4: {"10.0.0.5", "10.0.0.6", "10.0.0.7"}, 5: {"10.0.0.5"}}
+
+
+def test_icmp_tunnel_not_by_ordinary_pings(spark, tmp_path):
+    noise = lambda i: bytes((x * 167 + i * 31 + x * x) % 251 for x in range(400 + 20 * i))
+    plain = bytes(range(256)) * 2
+    frames = [(i / 10, T.ping("10.0.0.1", "192.0.2.1", n=i, data=noise(i))) for i in range(10)]
+    frames += [(i / 10, T.ping("10.0.0.2", "192.0.2.1", n=i, data=plain[: 300 + 20 * i])) for i in range(10)]
+    got = fired(spark, tmp_path, frames, 'alert ip any any -> any any (msg:"i"; detect:icmp_tunnel; count:6; seconds:60; sid:1;)')
+    assert got == {1: {"10.0.0.1|192.0.2.1"}}

@@ -144,3 +144,14 @@ def test_feeds_keep_equal_rows(spark):
     assert [r.indicator for r in feeds.ip_feed_join(rows, "ip", nets).collect()] == ["10.0.0.0/16"] * 3
     names = spark.createDataFrame([("b.example",), ("a.b.example",)], "entry string")
     assert [r.indicator for r in feeds.domain_feed_join(rows, "name", names).collect()] == ["b.example"] * 3
+
+
+def test_standard_echo(spark):
+    from packetloom.functions.scalars import standard_echo
+
+    count = bytes(range(256)) * 6
+    good = [b"", count[:56], count[:1400], b"\x99" * 8 + count[8:56], b"\x77" * 16 + count[16:1400], (b"abcdefghijklmnopqrstuvw" * 3)[:32], bytes(64)]
+    bad = [b"\x99" * 8, b"\x77" * 16, count[:20] + b"x", b"abcdefghijklmnopqrstuvwxyz", b"\0\0\x01\x01" * 4, b"\xff" * 40, None]
+    rows = spark.createDataFrame([(i, None if b is None else bytearray(b)) for i, b in enumerate(good + bad)], "i int, b binary")
+    got = [r.ok for r in rows.select("i", standard_echo(rows.b).alias("ok")).orderBy("i").collect()]
+    assert got == [True] * len(good) + [False] * len(bad)
