@@ -113,8 +113,8 @@ def severity_rank(severity: Column) -> Column:
 def ip4_number(ip: Column) -> Column:
     """An IPv4 address as a BIGINT; null if it isn't one."""
     ok = F.regexp_like(ip, F.lit(r"^(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(\.(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}$"))
-    p = F.split(ip, r"\.")
-    return F.when(ok, sum((F.element_at(p, i + 1).cast("long") * (1 << (8 * (3 - i))) for i in range(4)), F.lit(0)))
+    number = F.aggregate(F.split(ip, r"\."), F.lit(0).cast("long"), lambda n, part: n * 256 + part.cast("long"))
+    return F.when(ok, number)
 
 
 def clean_controls(text: Column) -> Column:

@@ -5,11 +5,14 @@ The tables need a clock `t` and an order `seq` besides the columns that each fun
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalars import entropy, left_label, median_of, registered_domain
-from .primitives import distinct_within, last_before, last_n, ordered, rate, rates, recent, window_hits
+from .primitives import distinct_within, last_before, last_n, ordered, rate, rates, recent, scanned, window_hits
 
 
 def detection_filter(df: DataFrame, track: str, n: int, span: int) -> DataFrame:
@@ -73,14 +76,33 @@ def tunnel_sizes(df: DataFrame, key: list[str], size: str, entropy_: str, n: int
 
 
 def fragment_overlaps(frags: DataFrame, key: list[str], start: str, end: str, span: int) -> DataFrame:
-    """Fragments that overlap an earlier one of their datagram (not an exact copy) less than span before: an interval self-join on the key."""
-    a, b = frags.alias("a"), frags.alias("b")
-    same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in key]
-    cond = (F.col("b.seq") < F.col("a.seq")) & (F.col("a.t") - F.col("b.t") < span) & (F.col(f"b.{start}") < F.col(f"a.{end}")) & (F.col(f"a.{start}") < F.col(f"b.{end}"))
-    exact = (F.col(f"b.{start}") == F.col(f"a.{start}")) & (F.col(f"b.{end}") == F.col(f"a.{end}"))
-    for s in same:
-        cond = cond & s
-    return a.join(b, cond & ~exact, "left_semi")
+    """Fragments that overlap an earlier one of their datagram (not an exact copy) less than span before.
+
+    State is the different fragments of one span, each with its last time, sorted by where they begin."""
+
+    def fold():
+        last: dict[tuple[int, int], int] = {}  # in order of last time
+        ordered: list[tuple[int, int]] = []  # by start
+        longest = 0
+
+        def add(now, a, z):
+            nonlocal longest
+            while last and now - last[first := next(iter(last))] >= span:
+                del last[first], ordered[bisect_left(ordered, first)]
+            at = bisect_left(ordered, (z,))
+            hit = False
+            while at and ordered[at - 1][0] > a - longest and not hit:
+                at -= 1
+                hit = ordered[at][1] > a and ordered[at] != (a, z)
+            if last.pop((a, z), None) is None:
+                insort(ordered, (a, z))
+                longest = max(longest, z - a)
+            last[a, z] = now
+            return (1,) if hit else None
+
+        return add
+
+    return scanned(frags, key, fold, [start, end], [T.StructField("__hit", T.IntegerType())]).drop("__hit")
 
 
 def tiny_fragment(offset: Column, more: Column, length: Column, header: int, min_size: int) -> Column:

@@ -5,14 +5,20 @@ A feed is broadcast only under `BROADCAST_ROWS` expanded rows; beyond that the s
 
 from __future__ import annotations
 
+import ipaddress
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ip4_number, parent_domains
+from .predicates import expand_ip6
 
 BROADCAST_ROWS = 2_000_000
-#: Reserved IPv4 networks that no feed may list.
-RESERVED = ["0.0.0.0/8", "10.0.0.0/8", "100.64.0.0/10", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.168.0.0/16", "224.0.0.0/4", "240.0.0.0/4"]
+#: Reserved networks that no feed may list.
+RESERVED = [
+    "0.0.0.0/8", "10.0.0.0/8", "100.64.0.0/10", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.168.0.0/16", "224.0.0.0/4", "255.255.255.255/32",
+    "::/128", "::1/128", "fc00::/7", "fe80::/10", "ff00::/8",
+]
 
 
 def _sized(feed: DataFrame) -> DataFrame:
@@ -24,15 +30,14 @@ def parse_lines(lines: DataFrame, kind: str, column: str = "value") -> DataFrame
     entry = F.trim(F.regexp_replace(F.regexp_replace(F.col(column), "^﻿|\r$", ""), r"#.*$", ""))
     rows = lines.select(entry.alias("entry")).where("entry <> ''")
     if kind == "ip":
-        base, bits = F.substring_index("entry", "/", 1), F.when(F.instr("entry", "/") > 0, F.substring_index("entry", "/", -1).try_cast("int")).otherwise(32)
-        number = ip4_number(base)
-        reserved = F.lit(False)
-        for net in RESERVED:
-            a, n = net.split("/")
-            size = 1 << (32 - int(n))
-            low = sum(int(x) << (8 * (3 - i)) for i, x in enumerate(a.split(".")))
-            reserved = reserved | number.between(low, low + size - 1)
-        problem = F.when(number.isNull() | bits.isNull() | ~bits.between(0, 32), "not an address").when(reserved, "reserved")
+        net = address_bits(F.substring_index("entry", "/", 1))
+        bits = F.when(F.instr("entry", "/") > 0, F.substring_index("entry", "/", -1).try_cast("int")).otherwise(F.length(net))
+        problem = F.when(net.isNull() | bits.isNull() | ~bits.between(0, F.length(net)), "not an address")
+        problem = problem.when(net.startswith("0" * 80 + "1" * 16) & (F.length(net) == 128), "IPv4 in IPv6 form")
+        for reserved in map(ipaddress.ip_network, RESERVED):
+            first = format(int(reserved.network_address), f"0{reserved.max_prefixlen}b")[: reserved.prefixlen]
+            shared = F.least(bits, F.lit(reserved.prefixlen))  # two networks overlap if the shorter prefix begins the longer one
+            problem = problem.when((F.length(net) == reserved.max_prefixlen) & (net.substr(F.lit(1), shared) == F.lit(first).substr(F.lit(1), shared)), "reserved")
     elif kind == "domain":
         problem = F.when(~F.regexp_like("entry", F.lit(r"^([A-Za-z0-9_]([A-Za-z0-9_-]{0,61}[A-Za-z0-9_])?\.)+[A-Za-z]([A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.?$")), "not a domain")
     else:
@@ -40,19 +45,29 @@ def parse_lines(lines: DataFrame, kind: str, column: str = "value") -> DataFrame
     return rows.withColumn("problem", problem)
 
 
+def address_bits(ip: Column) -> Column:
+    """An address as 32 or 128 binary digits, which begin with those of its networks; null if it isn't one."""
+    v6 = F.transform(F.split(expand_ip6(ip), ":"), lambda x: F.lpad(F.conv(x, 16, 2), 16, "0"))
+    return F.coalesce(F.lpad(F.conv(ip4_number(ip).cast("string"), 10, 2), 32, "0"), F.when(F.size(v6) == 8, F.array_join(v6, "")))
+
+
 def ip_feed_join(df: DataFrame, ip: str, ranges: DataFrame) -> DataFrame:
-    """Rows whose IPv4 address is in a CIDR of `ranges` (entry), with the longest one as indicator: an equi-join on (bits, prefix)."""
-    bits = F.when(F.instr("entry", "/") > 0, F.substring_index("entry", "/", -1).cast("int")).otherwise(32)
-    nets = ranges.select("entry", bits.alias("bits"), ip4_number(F.substring_index("entry", "/", 1)).alias("n")).distinct()
-    nets = nets.select("entry", "bits", F.expr("n div shiftleft(1L, 32 - bits)").alias("prefix"))
-    lengths = sorted(r.bits for r in nets.select("bits").distinct().collect())
-    number = df.withColumn("__n", ip4_number(F.col(ip))).where("__n is not null")
+    """Rows whose IPv4 or IPv6 address is in a CIDR of `ranges` (entry), with the longest one as indicator: an equi-join on the first bits.
+
+    An address is tried once for each length that the feed has: 33 + 129 at most."""
+    whole = address_bits(F.substring_index("entry", "/", 1))
+    bits = F.when(F.instr("entry", "/") > 0, F.substring_index("entry", "/", -1).cast("int")).otherwise(F.length("net"))
+    nets = ranges.select("entry", whole.alias("net")).where("net is not null").distinct().withColumn("bits", bits)
+    nets = nets.select("entry", "bits", F.length("net").alias("width"), F.expr("substring(net, 1, bits)").alias("prefix"))
+    lengths = [(r.width, r.bits) for r in nets.select("width", "bits").distinct().collect()]
+    widths = F.array(*[F.struct(F.lit(w).alias("width"), F.lit(b).alias("bits")) for w, b in sorted(lengths)]) if lengths else F.array().cast("array<struct<width:int,bits:int>>")
     # the best entry of each different address, so that rows alike stay as many as they are
-    tries = number.select("__n").distinct().withColumn("__b", F.explode(F.array(*[F.lit(b) for b in lengths]) if lengths else F.array().cast("array<int>")))
-    tries = tries.withColumn("__p", F.expr("__n div shiftleft(1L, 32 - __b)"))
-    hit = tries.join(_sized(nets), (F.col("__b") == nets["bits"]) & (F.col("__p") == nets["prefix"]))
-    best = hit.groupBy("__n").agg(F.max_by("entry", "bits").alias("indicator"))
-    return number.join(best, "__n").select(*df.columns, "indicator")
+    own = df.select(F.col(ip).alias("__ip")).distinct().withColumn("__bits", address_bits(F.col("__ip"))).where("__bits is not null")
+    tries = own.withColumn("__l", F.explode(widths)).where(F.length("__bits") == F.col("__l.width"))
+    tries = tries.select("__ip", F.col("__l.width").alias("__w"), F.col("__l.bits").alias("__b"), F.expr("substring(__bits, 1, __l.bits)").alias("__p"))
+    hit = tries.join(_sized(nets), (F.col("__w") == nets["width"]) & (F.col("__b") == nets["bits"]) & (F.col("__p") == nets["prefix"]))
+    best = hit.groupBy("__ip").agg(F.max_by("entry", F.struct("bits", "entry")).alias("indicator"))
+    return df.join(best, df[ip] == best["__ip"]).select(*[df[c] for c in df.columns], "indicator")
 
 
 def domain_feed_join(df: DataFrame, name: str, domains: DataFrame) -> DataFrame:

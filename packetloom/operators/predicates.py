@@ -20,9 +20,13 @@ def address(ip: str, spec: str) -> Column:
         return F.lit(not negated)
     yes = [x for x in items if not x.startswith("!")]
     no = [x[1:] for x in items if x.startswith("!")]
-    inside = _any([_network(ip, x) for x in yes]) if yes else F.lit(True)
-    out = inside & ~_any([_network(ip, x) for x in no]) if no else inside
-    out = F.coalesce(out, F.lit(False))
+
+    def holds(number: Column) -> Column:  # the address parsed once, however many items there are
+        inside = _any([_network(number, x) for x in yes]) if yes else F.lit(True)
+        return inside & ~_any([_network(number, x) for x in no]) if no else inside
+
+    parsed = F.struct(ip4_number(F.col(ip)).alias("v4"), expand_ip6(F.col(ip)).alias("v6"))
+    out = F.coalesce(F.element_at(F.transform(F.array(parsed), holds), 1), F.lit(False))
     return ~out if negated else out
 
 
@@ -33,14 +37,14 @@ def _any(columns: list[Column]) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
-def _network(ip: str, cidr: str) -> Column:
+def _network(number: Column, cidr: str) -> Column:
     if cidr == "any":
         return F.lit(True)
     net = ipaddress.ip_network(cidr, strict=False)
     if net.version == 4:
-        return ip4_number(F.col(ip)).between(int(net.network_address), int(net.broadcast_address))
+        return number["v4"].between(int(net.network_address), int(net.broadcast_address))
     low, high = net.network_address.exploded, net.broadcast_address.exploded
-    return expand_ip6(F.col(ip)).between(low, high)
+    return number["v6"].between(low, high)
 
 
 def expand_ip6(ip: Column) -> Column:
@@ -50,7 +54,8 @@ def expand_ip6(ip: Column) -> Column:
     right = F.when(F.size(halves) > 1, F.filter(F.split(F.element_at(halves, -1), ":"), lambda x: x != "")).otherwise(F.array().cast("array<string>"))
     gap = F.array_repeat(F.lit("0"), F.greatest(8 - F.size(left) - F.size(right), F.lit(0)))
     full = F.concat(left, F.when(F.size(halves) > 1, gap).otherwise(F.array().cast("array<string>")), right)
-    return F.when(F.instr(ip, ":") > 0, F.array_join(F.transform(full, lambda x: F.lpad(x, 4, "0")), ":"))
+    ok = (F.instr(ip, ":") > 0) & (F.size(full) == 8) & (F.size(halves) <= 2) & F.forall(full, lambda x: F.regexp_like(x, F.lit("^[0-9a-f]{1,4}$")))
+    return F.when(ok, F.array_join(F.transform(full, lambda x: F.lpad(x, 4, "0")), ":"))
 
 
 def port(column: str, spec: str) -> Column:

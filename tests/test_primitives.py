@@ -146,6 +146,29 @@ def test_feeds_keep_equal_rows(spark):
     assert [r.indicator for r in feeds.domain_feed_join(rows, "name", names).collect()] == ["b.example"] * 3
 
 
+def test_address_feeds(spark):
+    from packetloom.operators import feeds
+
+    rows = spark.createDataFrame([(x,) for x in ("2001:db8::1", "2001:db8:0:1::5", "2001:0DB8:0:1:0:0:0:6", "2001:db9::1", "10.0.0.1", "nothing", "::1", "1::2::3")], "ip string")
+    nets = spark.createDataFrame([("2001:db8::/32",), ("2001:db8:0:1::/64",), ("2001:db8:0:1::5",), ("10.0.0.0/31",), ("0.0.0.0/0",), ("bad",)], "entry string")
+    got = {r.ip: r.indicator for r in feeds.ip_feed_join(rows, "ip", nets).collect()}
+    assert got == {"2001:db8::1": "2001:db8::/32", "2001:db8:0:1::5": "2001:db8:0:1::5", "2001:0DB8:0:1:0:0:0:6": "2001:db8:0:1::/64", "10.0.0.1": "10.0.0.0/31"}
+    lines = ["2001:db8::/32", "fe80::1", "fc00::/6", "::1", "::/0", "2001:db8::/129", "2001:db8::x", "::ffff:0a00:0001", "0.0.0.0/0", "203.0.113.0/24", "10.0.0.0/7", "250.0.0.0/8", "248.0.0.0/5"]
+    problems = [r.problem for r in feeds.parse_lines(spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1), "ip").collect()]
+    assert problems == [None, *["reserved"] * 4, *["not an address"] * 2, "IPv4 in IPv6 form", "reserved", None, "reserved", None, "reserved"]
+
+
+def test_fragment_overlaps(spark):
+    rng, rows, t = random.Random(5), [], 0
+    for i in range(400):
+        t += rng.choice([0, 0, 1, 9, 40])
+        a = rng.randrange(60)
+        rows.append((i, t, rng.randrange(3), a, a + rng.randrange(7)))
+    df = spark.createDataFrame(rows, "seq long, t long, key int, a long, z long")
+    want = [x[0] for x in rows if any(y[0] < x[0] and y[2] == x[2] and x[1] - y[1] < 60 and y[3] < x[4] and x[3] < y[4] and y[3:] != x[3:] for y in rows)]
+    assert sorted(r.seq for r in D.fragment_overlaps(df, ["key"], "a", "z", 60).collect()) == want
+
+
 def test_standard_echo(spark):
     from packetloom.functions.scalars import standard_echo
 
