@@ -1,10 +1,7 @@
-"""TCP state: handshake outcomes, and payloads put in order. Both fold over the packets of one connection, never more."""
+"""Outcomes of TCP handshakes: a fold over the packets of one connection, never more."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -63,67 +60,3 @@ class _Handshakes:
 
     def end(self) -> list[tuple]:
         return [self._end(key, h[1] + TIMEOUT_NS, h[0], "timeout") for key, h in list(self.open.items())]
-
-
-SEGMENTS = "seq long, t long, src string, sport int, dst string, dport int, data binary, stream_anomaly string"
-
-
-def ordered_payloads(part: pd.DataFrame, hold: int = 16, wait_ns: int = 5_000_000_000) -> Iterator[tuple]:
-    """(seq, t, data, anomaly) of one direction in sequence order: early segments are held (at most `hold`, or until the gap is
-    wait_ns old), bytes sent again are cut off, and bytes that differ from those sent before are an overlap_conflict."""
-    expect, held, sent, first_wait = None, {}, b"", None
-    for p in part.sort_values(["t", "seq"]).itertuples(index=False):
-        anomaly = None
-        if p.tcp_flags & SYN:
-            expect, held, sent = (p.tcp_seq + 1) % (1 << 32), {}, b""
-            continue
-        data = bytes(p.payload or b"")
-        if not data:
-            continue
-        if expect is None:
-            expect = p.tcp_seq
-        ahead = (p.tcp_seq - expect + (1 << 31)) % (1 << 32) - (1 << 31)
-        if ahead > 0:
-            old = held.get(p.tcp_seq)
-            if old is not None and old[:1] and any(a != b for a, b in zip(old, data)):
-                anomaly = "overlap_conflict"
-            held.setdefault(p.tcp_seq, data)
-            first_wait = first_wait if first_wait is not None else p.t
-            if len(held) > hold or p.t - first_wait >= wait_ns:
-                anomaly = anomaly or ("too_many_ooo_segments" if len(held) > hold else None)
-                expect = min(held, key=lambda s: (s - expect) % (1 << 32))
-                ahead, data = 0, b""
-            else:
-                if anomaly:
-                    yield p.seq, p.t, b"", anomaly
-                continue
-        if ahead < 0:
-            again = data[:-ahead]
-            known = sent[len(sent) + ahead :][: len(again)] if -ahead <= len(sent) else b""
-            if known and known != again[: len(known)]:
-                anomaly = "overlap_conflict"
-            data = data[-ahead:]
-        out = data
-        expect = (expect + len(data)) % (1 << 32)
-        while expect in held:
-            more = held.pop(expect)
-            out += more
-            expect = (expect + len(more)) % (1 << 32)
-        if not held:
-            first_wait = None
-        sent = (sent + out)[-(1 << 16) :]
-        if out or anomaly:
-            yield p.seq, p.t, out, anomaly
-
-
-def reassemble(packets: DataFrame, ports: list[int]) -> DataFrame:
-    """Ordered payload of each direction of the connections on some ports, a row for each packet that completed data."""
-    tcp = packets.where((F.col("g") == "TCP") & (F.col("sport").isin(ports) | F.col("dport").isin(ports)))
-
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        side = tuple(part[["src", "sport", "dst", "dport"]].iloc[0])
-        rows = [(s, t, *side, data, anomaly) for s, t, data, anomaly in ordered_payloads(part)]
-        return pd.DataFrame(rows, columns=["seq", "t", "src", "sport", "dst", "dport", "data", "stream_anomaly"])
-
-    slim = tcp.select("seq", "t", "src", "sport", "dst", "dport", "tcp_flags", "tcp_seq", "payload")
-    return slim.groupBy("src", "sport", "dst", "dport").applyInPandas(fold, SEGMENTS)

@@ -79,7 +79,7 @@ def scanned(df: DataFrame, key: list[str], fold: Callable[[], Callable[..., tupl
 
 
 def _arrow(kind: T.DataType) -> pa.DataType:
-    plain = {T.LongType(): pa.int64(), T.IntegerType(): pa.int32(), T.DoubleType(): pa.float64(), T.StringType(): pa.string()}
+    plain = {T.LongType(): pa.int64(), T.IntegerType(): pa.int32(), T.DoubleType(): pa.float64(), T.StringType(): pa.string(), T.BinaryType(): pa.binary()}
     return pa.list_(_arrow(kind.elementType)) if isinstance(kind, T.ArrayType) else plain[kind]
 
 

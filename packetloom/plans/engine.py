@@ -19,8 +19,9 @@ from ..operators import handshake as H
 from ..operators import predicates as P
 from ..operators import primitives as K
 from ..operators import stateful as S
+from ..operators.streams import reassembled
 from ..sources.decode import PORTS
-from .rules import Rule, RuleSet, header, predicate, stages_of
+from .rules import Rule, RuleSet, header, predicate, reads_streams, stages_of
 
 SECOND = 1_000_000_000
 WINDOW = 60 * SECOND
@@ -39,9 +40,9 @@ def _kept(df: DataFrame) -> DataFrame:
 class Engine:
     def __init__(self, rules: RuleSet, packets: DataFrame, whitelist: str | None = None, feed_tables: dict[str, DataFrame] | None = None):
         self.rules, self.feed_tables, self.whitelist = rules, feed_tables or {}, whitelist
-        if "stream_anomaly" not in packets.columns:
-            packets = packets.withColumn("stream_anomaly", F.lit(None).cast("string"))
-        self.packets = packets
+        #: app_data: the table comes from reassembled() already
+        self.joined = "app_data" in packets.columns
+        self.packets = packets if self.joined else packets.withColumns({"app_data": F.lit(None).cast("binary"), "stream_anomaly": F.lit(None).cast("string")})
         silent = [predicate(r) for r in rules.rules if r.action == "pass"] + ([P.address("src", whitelist)] if whitelist else [])
         #: silences alerts only: state is still fed by every packet
         self.silenced: Column = reduce(lambda a, b: a | b, silent) if silent else F.lit(False)
@@ -50,13 +51,18 @@ class Engine:
     def heard(self) -> DataFrame:
         return self.packets.where(~self.silenced)
 
+    @cached_property
+    def told(self) -> DataFrame:
+        """heard, with the messages of TCP connections put together."""
+        return self.heard if self.joined else _kept(reassembled(self.packets)).where(~self.silenced)
+
     @cached_property
     def handshakes(self) -> DataFrame:
         return _kept(H.outcomes(self.packets)).withColumns({"g": F.lit("TCP"), "bad": F.col("outcome") != "complete"})
 
     @cached_property
     def dns(self) -> DataFrame:
-        m = self.heard.where("app_protocol = 'dns'").withColumn("m", F.explode("app_msgs"))
+        m = self.told.where("app_protocol = 'dns'").withColumn("m", F.explode("app_msgs"))
         return m.withColumns({"qname": F.col("m")["qname"], "response": F.col("m")["is_response"] == "true", "rcode": F.col("m")["rcode"], "id": F.col("m")["id"], "qtype": F.col("m")["qtype_name"]}).drop("m", "app_msgs")
 
     @cached_property
@@ -100,7 +106,8 @@ class Engine:
         plain = [r for r in alerts if not r.detect and not any(k.endswith("_feed") or k == "detection_filter" for k, _ in r.options)]
         out = []
         if plain:  # one pass for all of them
-            hit = self.heard.withColumn("sid", F.explode(P.multi_rule({r.sid: predicate(r) for r in plain})))
+            seen = self.told if any(map(reads_streams, plain)) else self.heard
+            hit = seen.withColumn("sid", F.explode(P.multi_rule({r.sid: predicate(r) for r in plain})))
             out.append(self._out(hit, F.col("sid"), [F.col("src"), F.col("dst")]))
         for r in alerts:
             if r not in plain and (rows := self._special(r)) is not None:
@@ -118,7 +125,7 @@ class Engine:
         sid, span = F.lit(r.sid), int(r.get("seconds", 0)) * SECOND
         n = int(r.get("count", 1))
         side = "dst" if r.get("track") == "by_dst" else "src"
-        fits = self.heard.where(predicate(r)) if not r.detect else None
+        fits = (self.told if reads_streams(r) else self.heard).where(predicate(r)) if not r.detect else None
         if given := r.get("detection_filter"):
             words = dict(x.split() for x in given.split(","))
             track = words["track"].removeprefix("by_")
@@ -218,7 +225,7 @@ class Engine:
                 none = self.dns.where(header(r)).where(F.col("response") & (F.col("rcode") == "3") & F.col("qname").isNotNull())
                 return self._out(D.nxdomain_burst(none, "dst", "qname", n, span, float(r.get("min_entropy", 3.0))), sid, [F.col("dst")])
             case "beacon":
-                return self._beacon(r, audible, sid)
+                return self._beacon(r, self.told if r.get("allow") else audible, sid)
             case "baseline":
                 return self._baseline(r, sid)
             case "icmp_tunnel":
@@ -269,8 +276,14 @@ class Engine:
             return self._out(D.flip_flops(claims, "src", "mac", hours, n, span), sid, [F.col("src")])
         if kind == "unsolicited_reply":
             pair = {"a": F.when(F.col("arp_op") == 1, F.col("src")).otherwise(F.col("dst")), "b": F.when(F.col("arp_op") == 1, F.col("dst")).otherwise(F.col("src"))}
-            alone = D.unsolicited(arp.withColumns(pair), ["a", "b"], F.col("arp_op") == 1, F.col("arp_op") == 2, 5 * SECOND)
-            return self._out(D.detection_filter(alone.where("src <> dst"), "src", n, span), sid, [F.col("src"), F.col("arp_sender_mac")])
+            # who asked is known from every packet, silenced or not
+            all_ = self.packets.where("g = 'ARP' and src <> '0.0.0.0' and arp_op in (1, 2)")
+            alone = D.unsolicited(all_.where("src <> dst").withColumns(pair), ["a", "b"], F.col("arp_op") == 1, F.col("arp_op") == 2, 5 * SECOND)
+            alone = alone.select(all_.columns).where(header(r)).where(~self.silenced)
+            # of announcements, asked for by nobody, the first two of an address and MAC within the time are free
+            claim = ["src", "arp_sender_mac"]
+            free = K.window_hits(all_.where("src = dst").where(header(r)).where(~self.silenced), claim, 3, span)
+            return self._out(K.window_hits(alone.unionByName(free.select(all_.columns)), claim, n, span), sid, [F.col("src"), F.col("arp_sender_mac")])
         if kind == "multi_ip":
             return self._out(D.distinct_scan(claims, ["mac"], "src", n, span), sid, [F.col("mac")])
         if kind == "mismatch":

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -254,6 +255,12 @@ def stages_of(rule: Rule, option: str, given: RuleSet) -> list[int]:
     return sorted(given.stage_names.index(n.strip()) for n in names.split(","))
 
 
+def reads_streams(rule: Rule) -> bool:
+    """Whether a rule asks for what TCP segments say together."""
+    asked = {"content", "regex", "app_field", "app_reason", "app_content", "app_domain", "stream_anomaly", "domain_feed", "ja3_feed"}
+    return rule.proto in ("tcp", "ip") and any(k in asked for k, _ in rule.options)
+
+
 def header(rule: Rule) -> Column:
     group = F.col("g").isin("IP", "TCP", "UDP", "ICMP") if rule.proto == "ip" else F.col("g") == rule.proto.upper()
     forward = P.address("src", rule.src) & P.port("sport", rule.sport) & P.address("dst", rule.dst) & P.port("dport", rule.dport)
@@ -265,7 +272,7 @@ def header(rule: Rule) -> Column:
 def predicate(rule: Rule) -> Column:
     """Header and signature options of a rule over the packets table; feeds and detectors are left to the engine."""
     out = header(rule)
-    payload, messages = F.decode(F.col("payload"), "ISO-8859-1"), []
+    payload, completed, messages = F.decode(F.col("payload"), "ISO-8859-1"), F.decode(F.col("app_data"), "ISO-8859-1"), []
     contents: list[list] = []
     for key, value in rule.options:
         if key == "flags":
@@ -295,16 +302,24 @@ def predicate(rule: Rule) -> Column:
         elif key == "stream_anomaly":
             out = out & ((F.col("stream_anomaly") == value) if value else F.col("stream_anomaly").isNotNull())
         elif key == "regex" and value.startswith("data"):
-            out = out & P.matches(payload, unquote(value.partition(",")[2]))
+            out = out & P.matches(F.coalesce(completed, payload), unquote(value.partition(",")[2]))
         elif key in ("app_field", "app_reason", "app_content", "app_domain", "regex"):
             messages.append((key, value))
-    for text, nocase in contents:
-        out = out & P.contains(payload, text, nocase)
+    if contents:  # all of them in the segment, or all in the messages it completes
+        out = out & _any_of([_all_of([P.contains(where, text, nocase) for text, nocase in contents]) for where in (payload, completed)])
     if messages:  # all of them on the same message
         out = out & F.exists("app_msgs", lambda m: _message(m, messages))
     return F.coalesce(out, F.lit(False))
 
 
+def _all_of(parts: list[Column]) -> Column:
+    return reduce(lambda a, b: a & b, parts)
+
+
+def _any_of(parts: list[Column]) -> Column:
+    return reduce(lambda a, b: a | b, [F.coalesce(p, F.lit(False)) for p in parts])
+
+
 def _message(m: Column, options: list[tuple[str, str]]) -> Column:
     out = F.lit(True)
     for key, value in options:

@@ -118,15 +118,6 @@ def test_handshakes(spark, capture):
     assert got == {"reset": 25, "complete": 1, "timeout": 1}
 
 
-def test_reassembly(spark, tmp_path):
-    a = ("10.0.0.1", 4000, "192.0.2.1", 80)
-    parts = [("S", 99, b""), ("A", 100, b"abc"), ("A", 106, b"ghi"), ("A", 103, b"def"), ("A", 103, b"def"), ("A", 106, b"gXi"), ("A", 109, b"j")]
-    (tmp_path / "r.pcap").write_bytes(T.pcap([(i * S // 10, T.tcp(*a, f, s, 0, d)) for i, (f, s, d) in enumerate(parts)], nano=True))
-    got = handshake.reassemble(pcap.packets(pcap.read_frames(spark, f"{tmp_path}/r.pcap")), [80]).orderBy("seq").collect()
-    assert b"".join(bytes(r.data) for r in got) == b"abcdefghij"
-    assert [r.seq for r in got if r.stream_anomaly == "overlap_conflict"] == [5]
-
-
 def test_pcap_source(spark, capture, tmp_path):
     pcap.register(spark)
     rows = spark.read.format("pcap").option("path", str(capture)).load()
