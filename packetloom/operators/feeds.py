@@ -55,17 +55,19 @@ def ip_feed_join(df: DataFrame, ip: str, ranges: DataFrame) -> DataFrame:
     """Rows whose IPv4 or IPv6 address is in a CIDR of `ranges` (entry), with the longest one as indicator: an equi-join on the first bits.
 
     An address is tried once for each length that the feed has: 33 + 129 at most."""
-    whole = address_bits(F.substring_index("entry", "/", 1))
+    known = lambda c: F.explode(F.filter(F.array(address_bits(c)), lambda x: x.isNotNull()))  # noqa: E731  parsed once, whatever reads it
     bits = F.when(F.instr("entry", "/") > 0, F.substring_index("entry", "/", -1).cast("int")).otherwise(F.length("net"))
-    nets = ranges.select("entry", whole.alias("net")).where("net is not null").distinct().withColumn("bits", bits)
+    nets = ranges.select("entry").distinct().select("entry", known(F.substring_index("entry", "/", 1)).alias("net")).withColumn("bits", bits)
     nets = nets.select("entry", "bits", F.length("net").alias("width"), F.expr("substring(net, 1, bits)").alias("prefix"))
-    lengths = [(r.width, r.bits) for r in nets.select("width", "bits").distinct().collect()]
+    counts = nets.groupBy("width", "bits").agg(F.count("*").alias("n")).collect()  # a row for each length
+    lengths = [(r.width, r.bits) for r in counts]
+    nets = F.broadcast(nets) if sum(r.n for r in counts) <= BROADCAST_ROWS else nets
     widths = F.array(*[F.struct(F.lit(w).alias("width"), F.lit(b).alias("bits")) for w, b in sorted(lengths)]) if lengths else F.array().cast("array<struct<width:int,bits:int>>")
     # the best entry of each different address, so that rows alike stay as many as they are
-    own = df.select(F.col(ip).alias("__ip")).distinct().withColumn("__bits", address_bits(F.col("__ip"))).where("__bits is not null")
+    own = df.select(F.col(ip).alias("__ip")).distinct().select("__ip", known(F.col("__ip")).alias("__bits"))
     tries = own.withColumn("__l", F.explode(widths)).where(F.length("__bits") == F.col("__l.width"))
     tries = tries.select("__ip", F.col("__l.width").alias("__w"), F.col("__l.bits").alias("__b"), F.expr("substring(__bits, 1, __l.bits)").alias("__p"))
-    hit = tries.join(_sized(nets), (F.col("__w") == nets["width"]) & (F.col("__b") == nets["bits"]) & (F.col("__p") == nets["prefix"]))
+    hit = tries.join(nets, (F.col("__w") == nets["width"]) & (F.col("__b") == nets["bits"]) & (F.col("__p") == nets["prefix"]))
     best = hit.groupBy("__ip").agg(F.max_by("entry", F.struct("bits", "entry")).alias("indicator"))
     return df.join(best, df[ip] == best["__ip"]).select(*[df[c] for c in df.columns], "indicator")
 

@@ -25,7 +25,10 @@ def address(ip: str, spec: str) -> Column:
         inside = _any([_network(number, x) for x in yes]) if yes else F.lit(True)
         return inside & ~_any([_network(number, x) for x in no]) if no else inside
 
-    parsed = F.struct(ip4_number(F.col(ip)).alias("v4"), expand_ip6(F.col(ip)).alias("v6"))
+    v6 = any(":" in x for x in items)
+    v4 = any("." in x for x in items)
+    none = F.lit(None)
+    parsed = F.struct((ip4_number(F.col(ip)) if v4 else none.cast("long")).alias("v4"), (expand_ip6(F.col(ip)) if v6 else none.cast("string")).alias("v6"))
     out = F.coalesce(F.element_at(F.transform(F.array(parsed), holds), 1), F.lit(False))
     return ~out if negated else out
 
