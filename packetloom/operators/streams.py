@@ -175,7 +175,7 @@ class Conversation:
         if self.protocol == "http":
             return 0 if data.startswith(decode.METHODS if me == self.client else b"HTTP/1.") else None
         if self.protocol == "dns":
-            return 0 if len(data) >= 14 and _plausible_dns(data) else None
+            return 0 if len(data) >= 14 and decode.plausible_dns(data) else None
         if self.protocol == "tls":
             return 0 if data[:2] == b"\x16\x03" else None
         if self.protocol == "ftp":
@@ -241,7 +241,7 @@ class Conversation:
         data = side.buffer
         if len(data) < 14:
             return False
-        if not _plausible_dns(data):
+        if not decode.plausible_dns(data):
             raise Lost
         size = 2 + int.from_bytes(data[:2], "big")
         if len(data) < size:
@@ -274,12 +274,6 @@ class Conversation:
         return True
 
 
-def _plausible_dns(data: bytes) -> bool:
-    """A length that holds a header, an assigned kind of query, one question at most."""
-    kind = data[4] >> 3 & 15
-    return int.from_bytes(data[:2], "big") >= 12 and kind <= 6 and kind != 3 and int.from_bytes(data[6:8], "big") <= 1
-
-
 def _body(lines: list[bytes]) -> tuple[int | None, bool]:
     """The length a head gives its body (None: none given, -1: unclear) and whether it comes in chunks."""
     sizes, chunked = set(), False

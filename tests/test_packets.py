@@ -2,6 +2,7 @@
 
 import hashlib
 import os
+import struct
 import sys
 
 import pytest
@@ -35,6 +36,31 @@ def test_decode_dns():
     assert X.dns(loop)[0]["malformed_reason"] and X.dns(b"x")[0]["malformed_reason"]
 
 
+@pytest.mark.parametrize("ident", [7, 0x1603])
+@pytest.mark.parametrize("port", [5000, 80, 8000, 8080, 8443, 21])
+def test_dns_of_any_id_and_client_port(ident, port):
+    """An id that looks like a TLS record and a client port of another protocol leave a message on port 53 DNS."""
+    for response in (False, True):
+        ends = ("192.0.2.53", 53, "10.0.0.1", port) if response else ("10.0.0.1", port, "192.0.2.53", 53)
+        message = T.query(ident, "a.example", response=response)
+        for frame in (T.udp(*ends, message), T.tcp(*ends, "PA", 7, 9, struct.pack("!H", len(message)) + message)):
+            d = X.decode(frame)
+            assert d["app_protocol"] == "dns" and (d["app_msgs"][0]["id"], d["app_msgs"][0]["qname"]) == (str(ident), "a.example")
+    d = X.decode(T.tcp("10.0.0.1", port, "192.0.2.53", 53, "PA", 7, 9, struct.pack("!H", 0x1603) + T.query(ident, "a.example")))
+    assert d["app_protocol"] == "dns"  # a length that looks like a TLS record
+
+
+def test_application_needs_looks():
+    assert X.decode(T.udp("10.0.0.1", 5000, "192.0.2.1", 443, T.hello("a.example")))["app_protocol"] == "UNKNOWN"
+    for port in (53, 443, 5000):  # by looks on a port of another protocol
+        assert X.decode(T.tcp("10.0.0.1", 5000, "192.0.2.1", port, "PA", 7, 9, b"GET / HTTP/1.1\r\n\r\n"))["app_protocol"] == "http"
+    for port in (53, 80, 5000):
+        assert X.decode(T.tcp("10.0.0.1", 5000, "192.0.2.1", port, "PA", 7, 9, T.hello("a.example")))["app_msgs"][0]["sni"] == "a.example"
+    assert X.decode(T.tcp("10.0.0.1", 8080, "192.0.2.1", 21, "PA", 7, 9, b"USER a\r\n"))["app_protocol"] == "ftp"
+    assert X.decode(T.tcp("192.0.2.1", 21, "10.0.0.1", 8080, "PA", 7, 9, b"530 no\r\n"))["app_msgs"][0]["response_code"] == "530"
+    assert X.decode(T.tcp("10.0.0.1", 5000, "192.0.2.1", 80, "PA", 7, 9, b"\0\1 no HTTP"))["app_protocol"] == "http"
+
+
 def test_decode_tls():
     m = X.tls(T.hello("A.Example"))[0]
     assert m["sni"] == "a.example" and m["ja3"] == "771,4865-49199,0-10-11,29-23,0" and m["ja3_hash"] == hashlib.md5(m["ja3"].encode()).hexdigest()
