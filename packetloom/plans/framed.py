@@ -16,6 +16,7 @@ from .catalog import packets, query
 from .engine import Engine
 
 FILES = 16  # captures that the frames are dealt to
+FIRST = 10 << 24  # the address of user 0
 NUMBER = (1 << 40) - 1  # the frame's number within seq
 
 
@@ -33,7 +34,15 @@ def _text(*parts: str | Column) -> Column:
 
 
 def _src() -> Column:
-    return F.concat(F.lit("0A00"), _n(F.expr("user_id div 256"), 2), _n(F.col("user_id") % 256, 2))
+    """An address for each of 2^32 users, 10.0.0.0 the first: more than 65,536 of them go on at 10.1.0.0."""
+    return _n((F.col("user_id") + FIRST) % (1 << 32), 8)
+
+
+def _user(address: Column) -> Column:
+    """An address of _src() as `packets` writes it, where what follows 10.0 is the user's number by 256: 10.1.2.3 is 10.0.258.3."""
+    octets = F.split(address, r"\.")
+    n = sum((octets[i].cast("long") * (1 << 24 - 8 * i) for i in range(4)), F.lit(-FIRST))
+    return F.concat(F.lit("10.0."), F.shiftright(F.pmod(n, F.lit(1 << 32)), 8).cast("string"), F.lit("."), octets[3])
 
 
 def _dst() -> Column:
@@ -102,7 +111,7 @@ _NUMBERS = ["ttl", "ip_proto", "sport", "dport", "tcp_flags", "tcp_seq", "icmp_t
 def decode_frames(spark, sf):
     got = _mixed(spark, sf)
     numbers = [F.coalesce(F.col("ip_ttl" if c == "ttl" else c).cast("long"), F.lit(-1).cast("long")).alias(c) for c in _NUMBERS]
-    return got.select(F.col("seq").bitwiseAND(F.lit(NUMBER)).alias("seq"), "g", "src", "dst", "eth_src", "quoted_src", *numbers)
+    return got.select(F.col("seq").bitwiseAND(F.lit(NUMBER)).alias("seq"), "g", _user(F.col("src")).alias("src"), "dst", "eth_src", "quoted_src", *numbers)
 
 
 @query(_X + """SELECT seq, CASE WHEN event_type = 'click' THEN 'http' ELSE 'dns' END AS protocol, CASE WHEN event_type = 'click' THEN '/' || k || '?q=' || seq END AS uri,
