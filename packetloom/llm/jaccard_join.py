@@ -14,8 +14,10 @@ Spread over a cluster, in four written steps:
    stand in one of them. Postings travel as packed arrays, one of a node per task however many copies it has.
    In short lists,
    postings whose length and position rule out every link are dropped. The set with the smallest share of rare shingles leads a list.
-3. A leader with the members of all its lists is a block. Every linked pair shares a list, hence a block. Texts
-   join their blocks; blocks over `chunk` shingles are dealt out in chunks, each with the leader.
+3. A leader with the members of all its lists is a block. Every linked pair shares a list, hence a block. In blocks of up to WHOLE
+   members, each pair's bitmaps (parities of hashes, a bit or two for each shingle) are compared: as sets differ in no
+   fewer elements than bitmaps in bits, members that differ in too many bits from all others meet by chance and go, before any text
+   moves. Such chance meetings grow faster than the corpus; what is left are nearly all linked. Texts join their blocks; blocks over `chunk` shingles are dealt out in chunks, each with the leader.
 4. In a chunk members are first held against the leader. Those linked with it are one component already,
    so only the others search: merge of the short lists, binary probes of long ones, exact overlap. What is left unlinked in a block
    of several chunks is dealt out anew: groups of such members search each other and groups of the rest, two groups a task, each
@@ -45,7 +47,7 @@ from . import textvec
 from .components import components
 from .runtime import most_common, partitions, prepare, record, release, slices, written
 
-SCAN = pa.schema([("kind", pa.int8()), ("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("token", pa.int64()), ("seen", pa.int64())])
+SCAN = pa.schema([("kind", pa.int8()), ("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("token", pa.int64()), ("seen", pa.int64()), ("bits", pa.binary())])
 POST = pa.schema([("bucket", pa.int32()), ("postings", pa.binary())])
 MEMBER = pa.schema([("block", pa.int64()), ("node", pa.int64()), ("n", pa.int64())])
 EDGE = pa.schema([("kind", pa.int8()), ("u", pa.int64()), ("v", pa.int64())])  # 0: a link; 1: block and a member that its leader doesn't link with
@@ -54,6 +56,7 @@ POSTING = np.dtype([("token", "<u8"), ("node", "<i8"), ("n", "<u4"), ("pos", "<u
 BLOCK_TOKENS = 1 << 22  # shingles counted together before the rare ones among them are forgotten
 FLUSH = 1 << 20  # postings packed at once
 BITS = 1 << 26  # of the bitmap of wanted ids: 8 MB
+WHOLE = 1 << 12  # members of a block that is thinned, at most
 PAIRED = 24  # lists of up to so many postings are thinned pair by pair
 
 
@@ -62,6 +65,14 @@ def needed(n: int, m: int, num: int, den: int) -> int:
     return -(-num * (n + m) // (num + den))
 
 
+def parities(s: np.ndarray) -> bytes:
+    """A bit for each residue of the set's hashes: whether an odd number of them have it. There are as many residues as elements, up
+    to the next power of two. Bits in which two sets differ are no more than the elements in which they differ."""
+    width = max(64, 1 << (len(s) - 1).bit_length()) if len(s) else 64
+    odd = np.bincount((s & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
 def _scan(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -72,14 +83,14 @@ def _scan(k: int):
             m = len(tokens)
             if m:
                 none = pa.nulls(m, pa.int64())
-                yield record({"kind": np.ones(m, np.int8), "doc_id": none, "n": none, "node": none, "token": tokens, "seen": seen}, SCAN)
+                yield record({"kind": np.ones(m, np.int8), "doc_id": none, "n": none, "node": none, "token": tokens, "seen": seen, "bits": pa.nulls(m, pa.binary())}, SCAN)
 
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index("doc_id"))
             for lo, hi, col in slices(batch, "text"):
                 sets = textvec.shingle_sets(col, k)
                 none = pa.nulls(hi - lo, pa.int64())
-                yield record({"kind": np.zeros(hi - lo, np.int8), "doc_id": ids.slice(lo, hi - lo), "n": np.array([len(s) for s in sets], np.int64), "node": np.array([textvec.set_signature(s) for s in sets], np.int64), "token": none, "seen": none}, SCAN)
+                yield record({"kind": np.zeros(hi - lo, np.int8), "doc_id": ids.slice(lo, hi - lo), "n": np.array([len(s) for s in sets], np.int64), "node": np.array([textvec.set_signature(s) for s in sets], np.int64), "token": none, "seen": none, "bits": [parities(s) for s in sets]}, SCAN)
                 held += sets
                 size += sum(map(len, sets))
                 if size >= BLOCK_TOKENS:
@@ -181,6 +192,54 @@ def _lists(num: int, den: int):
     return run
 
 
+def thinned(block: int, rows: list[tuple[int, int, bytes]], num: int, den: int) -> list[tuple[int, int, int]]:
+    """Rows (block, node, n) of the members (node, n, parities) of a block that may link with another one. Members that no chain of
+    such pairs joins part into blocks of their own, each led by the old leader or the member with most partners."""
+    rows = sorted(rows, key=lambda r: (r[1], r[0]))
+    n = np.array([r[1] for r in rows], np.int64)
+    widths = np.array([len(r[2]) for r in rows])
+    ends = np.searchsorted(n, n * den // num, side="right")
+    group, partners, first, width, table = np.arange(len(rows)), np.zeros(len(rows), np.int64), 0, 0, None
+    for i in np.flatnonzero(ends > np.arange(len(rows)) + 1).tolist():
+        if widths[i] != width:
+            first, width = i, int(widths[i])
+            parts = [np.frombuffer(r[2], np.uint64).reshape(-1, width // 8) for r in rows[i : ends[np.searchsorted(widths, width, side="right") - 1]]]
+            table = np.stack([np.bitwise_xor.reduce(x, axis=0) for x in parts])  # parities of as many residues as the smallest set has
+        sizes = n[i] + n[i + 1 : ends[i]]
+        differ = np.bitwise_count(table[i + 1 - first : ends[i] - first] ^ table[i - first]).sum(1, dtype=np.int64)
+        fit = i + 1 + np.flatnonzero(differ <= sizes - 2 * needed(sizes, 0, num, den))
+        if len(fit):
+            partners[i] += len(fit)
+            partners[fit] += 1
+            met = np.unique(np.append(group[fit], group[i]))
+            if len(met) > 1:
+                group[np.isin(group, met)] = met[0]
+    out = []
+    for one in np.unique(group[partners > 0]):
+        mine = np.flatnonzero(group == one)
+        lead = next((block for i in mine if rows[i][0] == block), rows[mine[np.argmax(partners[mine])]][0])
+        out += [(lead, rows[i][0], rows[i][1]) for i in mine]
+    return out
+
+
+def _thin(num: int, den: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows = None, []
+        for batch in batches:
+            found: list[tuple[int, int, int]] = []
+            for block, *row in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("block", "node", "n", "bits"))):
+                if block != key:
+                    found += thinned(key, rows, num, den) if rows else []
+                    key, rows = block, []
+                rows.append(tuple(row))
+            if found:
+                yield record(dict(zip(MEMBER.names, zip(*found))), MEMBER)
+        if rows and (found := thinned(key, rows, num, den)):
+            yield record(dict(zip(MEMBER.names, zip(*found))), MEMBER)
+
+    return run
+
+
 class Forest:
     """Union-find over 0..n-1."""
 
@@ -384,7 +443,13 @@ def jaccard_components(
     reps = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"))
 
     posted = docs.select("text").mapInArrow(_post(k, num, den, parts * 4, shared), _ddl(POST))
-    members = written(posted.repartition(parts, "bucket").mapInArrow(_lists(num, den), _ddl(MEMBER)).distinct(), "members")
+    met = written(posted.repartition(parts, "bucket").mapInArrow(_lists(num, den), _ddl(MEMBER)).distinct(), "met")
+    counted = met.join(met.groupBy("block").agg((F.count("*") <= WHOLE).alias("thin")), "block")
+    bits = scan.where("kind = 0 and n > 0").select("node", "bits").groupBy("node").agg(F.first("bits").alias("bits"))
+    thin = counted.where("thin").drop("thin").join(bits.hint("merge"), "node").select("block", "node", "n", "bits")
+    thin = thin.repartition(parts, "block").sortWithinPartitions("block", "node").mapInArrow(_thin(num, den), _ddl(MEMBER))
+    members = written(thin.unionAll(counted.where("not thin").select("block", "node", "n")).distinct(), "members")
+    release(met)
 
     sized = members.groupBy("block").agg(F.least(F.ceil(F.sum("n") / chunk), F.ceil(F.count("*") / 8)).cast("int").alias("chunks"))
     mine = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")

@@ -102,6 +102,43 @@ def test_jaccard_near_group(spark):
         assert got == brute_components(rows)
 
 
+@pytest.mark.parametrize("num, den", [(75, 100), (30, 100), (1, 1)])
+def test_thinned(num, den):
+    """Every linked pair keeps a block; blocks have their leader and no member without a partner; chance meetings go."""
+    rng = np.random.default_rng(7)
+    sets = [np.unique(rng.integers(0, 1 << 63, rng.integers(1, 1200), dtype=np.uint64)) for _ in range(80)]
+    sets += [np.unique(np.append(s[rng.random(len(s)) > 0.12], rng.integers(0, 1 << 63, len(s) // 9, dtype=np.uint64))) for s in sets[:30] * 2]
+    sets = [s for s in sets if len(s)]
+    out = jaccard_join.thinned(0, [(i, len(s), jaccard_join.parities(s)) for i, s in enumerate(sets)], num, den)
+    blocks = defaultdict(set)
+    for block, node, n in out:
+        assert n == len(sets[node])
+        blocks[block].add(node)
+    linked = {(a, b) for a in range(len(sets)) for b in range(a) if den * (n := len(np.intersect1d(sets[a], sets[b]))) >= num * (len(sets[a]) + len(sets[b]) - n)}
+    assert linked <= {(a, b) for nodes in blocks.values() for a in nodes for b in nodes} and all(b in nodes and len(nodes) > 1 for b, nodes in blocks.items())
+    if num == 75:
+        assert linked and not {i for i in range(30, 80) if len(sets[i]) > 50} & set().union(*blocks.values())
+
+
+@pytest.mark.parametrize("whole", [1 << 12, 3])
+def test_jaccard_chance(spark, monkeypatch, whole):
+    """Texts that share a passage and no more aren't searched, except in blocks too large to be thinned."""
+    rows = [(i, " ".join([f"p{i // 3}-{j}" for j in range(6)] + [f"c{i % 4}-{j}" for j in range(6)] + [f"w{i % 58}-{j}" for j in range(50)])) for i in range(60)]
+    tables, write = {}, jaccard_join.written
+
+    def spy(df, label):
+        out = write(df, label)
+        tables[label] = [tuple(r) for r in out.collect()] if label == "members" else None
+        return out
+
+    monkeypatch.setattr(jaccard_join, "written", spy)
+    monkeypatch.setattr(jaccard_join, "WHOLE", whole)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(df, frequent=10).collect())
+    assert got == brute_components(rows)
+    assert whole == 3 or len({node for _, node, _ in tables["members"]}) == 4  # 0 and 58, 1 and 59
+
+
 def test_divide_skip():
     rng = np.random.default_rng(0)
     for _ in range(30):
